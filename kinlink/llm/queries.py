@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import simhash_trie, warc_store
+from kinlink.llm import bradley_terry, chat, media, simhash_trie, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bradley_terry.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.document_media(spark, _table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -21,8 +34,20 @@ def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_simhash_trie, op9_warc_store)}
-
+    return {f.__name__: f for f in (op1_snapshot_collapse, op3_bradley_terry, op5_interleaved_media, op8_simhash_trie, op9_warc_store)}
+
+
+OP1_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce("text", '') AS "text",
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce("text", '')) AS position
+           FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, position, count(*) OVER (PARTITION BY conv_id) AS n,
+             list({'r': role, 't': "text"}) OVER (PARTITION BY conv_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS p FROM t),
+f AS (SELECT p, min(conv_id) AS conv_id, count(*) AS n_copies FROM k WHERE position = n GROUP BY p),
+g AS (SELECT f.conv_id, f.n_copies, len(f.p) AS n_turns FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.position < k.n AND k.p = f.p))
+SELECT g.conv_id, g.n_turns, g.n_copies, string_agg('<|' || t.role || '|>' || chr(10) || t."text" || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.position) AS rendered
+FROM g JOIN t ON t.conv_id = g.conv_id GROUP BY ALL
+"""
 
 _HEX32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 
@@ -42,4 +67,4 @@ FROM p JOIN m ON p.body = m.body JOIN e ON e.h = p.h
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_store": OP9_SQL}
+    return {"op1_snapshot_collapse": OP1_SQL, "op9_warc_store": OP9_SQL}
