@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import bradley_terry, chat, media, simhash_trie, warc_store
+from kinlink.llm import bradley_terry, chat, decontam, media, sanitise, simhash_trie, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op5_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
 
 
+def op6_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.spans_report(sanitise.find_spans(_table(spark, sf_dir, "documents")))
+
+
+def op7_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,7 @@ def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_snapshot_collapse, op3_bradley_terry, op5_interleaved_media, op8_simhash_trie, op9_warc_store)}
+    return {f.__name__: f for f in (op1_snapshot_collapse, op3_bradley_terry, op5_interleaved_media, op6_disclosure_sanitiser, op7_template_windows, op8_simhash_trie, op9_warc_store)}
 
 
 OP1_SQL = """
