@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import bradley_terry, chat, decontam, media, sanitise, simhash_trie, warc_store
+from kinlink.llm import bpe_dropout, bradley_terry, chat, decontam, media, sanitise, simhash_trie, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bradley_terry.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_dropout.tokenise(_table(spark, sf_dir, "documents")).drop("pieces")
+
+
 def op5_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.document_media(spark, _table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
@@ -42,7 +46,7 @@ def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_snapshot_collapse, op3_bradley_terry, op5_interleaved_media, op6_disclosure_sanitiser, op7_template_windows, op8_simhash_trie, op9_warc_store)}
+    return {f.__name__: f for f in (op1_snapshot_collapse, op3_bradley_terry, op4_merge_dropout, op5_interleaved_media, op6_disclosure_sanitiser, op7_template_windows, op8_simhash_trie, op9_warc_store)}
 
 
 OP1_SQL = """
