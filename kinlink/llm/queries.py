@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import bpe_dropout, bradley_terry, chat, decontam, media, sanitise, simhash_trie, warc_store
+from kinlink.llm import bpe_dropout, bradley_terry, chat, decontam, media, sanitise, simhash_trie, suffix_dedup, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,12 @@ def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"), outputs=False).drop("kept", "spans")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_snapshot_collapse, op3_bradley_terry, op4_merge_dropout, op5_interleaved_media, op6_disclosure_sanitiser, op7_template_windows, op8_simhash_trie, op9_warc_store)}
+    return {f.__name__: f for f in (op1_snapshot_collapse, op3_bradley_terry, op4_merge_dropout, op5_interleaved_media, op6_disclosure_sanitiser, op7_template_windows, op8_simhash_trie, op9_warc_store, op10_suffix_dedup)}
 
 
 OP1_SQL = """
