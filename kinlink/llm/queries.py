@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import bpe_dropout, bradley_terry, chat, decontam, media, sanitise, simhash_trie, suffix_dedup, warc_store
+from kinlink.llm import bpe_dropout, bradley_terry, chat, decontam, hpylm, media, sanitise, simhash_trie, suffix_dedup, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bradley_terry.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_snapshot_collapse, op3_bradley_terry, op4_merge_dropout, op5_interleaved_media, op6_disclosure_sanitiser, op7_template_windows, op8_simhash_trie, op9_warc_store, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_snapshot_collapse, op2_pitman_yor, op3_bradley_terry, op4_merge_dropout, op5_interleaved_media, op6_disclosure_sanitiser, op7_template_windows, op8_simhash_trie, op9_warc_store, op10_suffix_dedup)}
 
 
 OP1_SQL = """
