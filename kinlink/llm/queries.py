@@ -53,8 +53,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"), outputs=False).drop("kept", "spans")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_snapshot_collapse, op2_pitman_yor, op3_bradley_terry, op4_merge_dropout, op5_interleaved_media, op6_disclosure_sanitiser, op7_template_windows, op8_simhash_trie, op9_warc_store, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_snapshot_collapse, op2_pitman_yor, op3_bradley_terry, op4_merge_dropout, op5_interleaved_media, op6_disclosure_sanitiser, op7_template_windows, op8_simhash_trie, op9_warc_store, op10_suffix_dedup, pipeline)}
 
 
 OP1_SQL = """

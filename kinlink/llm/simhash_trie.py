@@ -205,3 +205,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, seed: int =
     label = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     found = salted_lookup(prints, label, "fp", "doc_id", how="inner")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 3, bits: int = 2, seed: int = 42) -> DataFrame:
+    """Rows of docs whose doc_id is the smallest of its component, and rows with a null doc_id. Only ids are joined."""
+    gone = near_duplicates(docs, width, bits, seed).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
