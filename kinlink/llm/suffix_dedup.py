@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import materialise, shards, text_table
+from kinlink.llm.common import materialise, release_shuffles, shards, text_table
 
 LENGTH, SEED, HOT = 50, 20, 20_000
 #: Bytes of text that are hashed at a time (a bound on arrays; a longer text is cut with overlap), and bytes of
@@ -205,7 +205,7 @@ def _grouped(keys: np.ndarray, *columns):
     return (k[first], *((how.reduceat(v[order], first) if len(k) else v) for v, how in columns))
 
 
-_OWNER_SQL = "shard int, block int, owner binary, low binary, span binary, docs binary"
+_OWNER_SQL = "shard int, owner binary, block binary, low binary, span binary, docs binary"
 _SHARED_SQL = "block int, owner binary, hot binary"
 _CONTEXT_SQL = "shard int, block int, owner binary, low binary, span binary, size binary, hot binary, context binary"
 _LEAST_SQL = "block int, owner binary, hot binary, name binary, strings binary, least binary"
@@ -217,46 +217,55 @@ def _tables(schema: str, rows: list[tuple]) -> pa.Table:
 
 
 def _owner_step(length: int, seed: int, n: int):
-    def run(key, docs):
-        block, ids, texts = key[0].as_py(), docs.column("doc_id").to_numpy(), docs.column("text").to_pylist()
-        found: list = []
-        for x, start, size, text, _ in _slices(ids, texts, length):
-            h, _, _, t = owners(x, start, size, length, seed)
-            doc = ids[text[t]]
-            found.append(_grouped(h, (doc, np.minimum), (doc, np.maximum), (np.ones(len(h), np.int64), np.add)))
-        if not found:
-            return _tables(_OWNER_SQL, [])
-        h, low, high, many = _grouped(np.concatenate([f[0] for f in found]), *((np.concatenate([f[i] for f in found]), u) for i, u in ((1, np.minimum), (2, np.maximum), (3, np.add))))
-        shard = (h % np.uint64(n)).astype(np.int64)
-        rows = []
-        for s in range(n):
-            own = np.flatnonzero(shard == s)
-            if len(own):
-                rows.append((s, block, pack(h[own], True), pack(low[own]), pack(high[own] - low[own]), pack(many[own])))
-        return _tables(_OWNER_SQL, rows)
+    """Per batch and owner and block of documents: smallest and largest doc_id, occurrences."""
+
+    def run(batches):
+        for b in batches:
+            ids, block, texts = b.column("doc_id").to_numpy(), b.column("block").to_numpy(), b.column("text").to_pylist()
+            found: list = []
+            for x, start, size, text, _ in _slices(ids, texts, length):
+                h, _, _, t = owners(x, start, size, length, seed)
+                found.append((h, text[t]))
+            if not found:
+                continue
+            h, text = (np.concatenate(f) for f in zip(*found))
+            order = np.lexsort((block[text], h))
+            h, doc, own = h[order], ids[text[order]], block[text[order]]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])]) if len(h) else np.zeros(0, np.int64)
+            if not len(first):
+                continue
+            low, high, many = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), np.diff(np.r_[first, len(h)])
+            h, own = h[first], own[first]
+            shard = (h % np.uint64(n)).astype(np.int64)
+            rows = []
+            for s in range(n):
+                at = np.flatnonzero(shard == s)
+                if len(at):
+                    rows.append((s, pack(h[at], True), pack(own[at]), pack(low[at]), pack(high[at] - low[at]), pack(many[at])))
+            yield from _tables(_OWNER_SQL, rows).to_batches()
 
     return run
 
 
 def _shared_step(hot: int):
+    """To each block of documents: its owners that are in two documents."""
+
     def run(key, table):
-        block, parts = table.column("block").to_pylist(), [[], [], [], []]
-        for i, (c, ordered) in enumerate((("owner", True), ("low", False), ("span", False), ("docs", False))):
-            parts[i] = [unpack(x, ordered) for x in table.column(c).to_pylist()]
-        h = np.concatenate(parts[0])
-        low = np.concatenate(parts[1]).view(np.int64)
-        high = low + np.concatenate(parts[2]).view(np.int64)
-        many = np.concatenate(parts[3]).view(np.int64)
-        keys, least, most, total = _grouped(h, (low, np.minimum), (high, np.maximum), (many, np.add))
-        shared = keys[least < most]
-        crowded = total[least < most] > hot
-        rows = []
-        for b, own in zip(block, parts[0]):
-            at = np.searchsorted(shared, own)
-            ok = shared[np.minimum(at, len(shared) - 1)] == own if len(shared) else np.zeros(len(own), bool)
-            if ok.any():
-                rows.append((b, pack(own[ok], True), pack(crowded[at[ok]].astype(np.int64))))
-        return _tables(_SHARED_SQL, rows)
+        cols = [np.concatenate([unpack(x, c == "owner") for x in table.column(c).to_pylist()]) for c in ("owner", "block", "low", "span", "docs")]
+        h, block, low, span, many = cols[0], *(c.view(np.int64) for c in cols[1:])
+        keys, least, most, total = _grouped(h, (low, np.minimum), (low + span, np.maximum), (many, np.add))
+        ok = least < most
+        shared, crowded = keys[ok], total[ok] > hot
+        if not len(shared):
+            return _tables(_SHARED_SQL, [])
+        at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+        hit = np.flatnonzero(shared[at] == h)
+        order = hit[np.lexsort((at[hit], block[hit]))]
+        at, block = at[order], block[order]
+        new = np.r_[True, (at[1:] != at[:-1]) | (block[1:] != block[:-1])]
+        at, block = at[new], block[new]
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        return _tables(_SHARED_SQL, [(int(block[i]), pack(shared[at[i:j]], True), pack(crowded[at[i:j]].astype(np.int64))) for i, j in zip(cut, np.r_[cut[1:], len(at)])])
 
     return run
 
@@ -342,7 +351,12 @@ def _least_step(length: int):
                 elif d < old[1]:
                     old[1] = d
         names = sorted(least, key=lambda c: least[c][0])
-        result: dict[bytes, np.ndarray] = {}
+        result: dict[bytes, tuple] = {}  # smallest documents, and the smallest of these
+        # An owner's only context needs no order: its strings are nowhere else.
+        of = np.array([least[c][0] for c in names], np.uint64)
+        alone = np.r_[True, of[1:] != of[:-1]] & np.r_[of[1:] != of[:-1], True] if len(names) else np.zeros(0, bool)
+        result.update((names[i], (np.full(len(names[i]) - length + 1, least[names[i]][1]), least[names[i]][1])) for i in np.flatnonzero(alone).tolist())
+        names = [names[i] for i in np.flatnonzero(~alone).tolist()]
         i = 0
         while i < len(names):  # owners stay whole; a block of them is sorted at a time
             j, width = i, 0
@@ -350,11 +364,11 @@ def _least_step(length: int):
                 width += len(names[j]) + 1
                 j += 1
             some = names[i:j]
-            result.update(zip(some, smallest_documents(some, np.array([least[c][1] for c in some], np.int64), length)))
+            result.update((c, (x, int(x.min()))) for c, x in zip(some, smallest_documents(some, np.array([least[c][1] for c in some], np.int64), length)))
             i = j
         rows = []
         for block, owner, hot, high, own in asked:
-            found = [(o, c, result[c], one) for o, one, h, c in zip(owner.tolist(), hot.tolist(), high.tolist(), own) if result[c].min() < h]
+            found = [(o, c, result[c][0], one) for o, one, h, c in zip(owner.tolist(), hot.tolist(), high.tolist(), own) if result[c][1] < h]
             if found:
                 name = b"".join(xxhash.xxh3_128_digest(f[1]) for f in found)
                 rows.append((block, pack(np.array([f[0] for f in found], np.uint64), True), pack(np.array([f[3] for f in found])), name, pack(np.array([len(f[2]) for f in found])), pack(np.concatenate([f[2] for f in found]))))
@@ -421,10 +435,15 @@ def _removal_step(length: int, seed: int, outputs: bool):
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT, outputs: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with outputs, the kept bytes and the removed spans."""
-    n = shards(docs.sparkSession)
+    spark = docs.sparkSession
+    n = shards(spark)
     rows = text_table(docs).where("doc_id is not null").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-    dealt = rows.groupBy("block").applyInArrow(_owner_step(length, seed, n), _OWNER_SQL)
+    dealt = rows.mapInArrow(_owner_step(length, seed, n), _OWNER_SQL)
     shared = materialise(dealt.groupBy("shard").applyInArrow(_shared_step(hot), _SHARED_SQL), "owners")
+    del dealt
+    release_shuffles(spark)
     contexts = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_context_step(length, seed, n), _CONTEXT_SQL)
     least = materialise(contexts.groupBy("shard").applyInArrow(_least_step(length), _LEAST_SQL), "least")
+    del contexts
+    release_shuffles(spark)
     return rows.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(_removal_step(length, seed, outputs), _RESULT_SQL)
