@@ -1 +1 @@
-"""plans of the linkage engine."""
+"""Composed plans: normalisation, linkage end to end."""

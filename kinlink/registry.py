@@ -1,11 +1,727 @@
-"""Names of all queries of the linkage engine and their SQL."""
+"""Names of all queries of the linkage engine over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinlink.functions import geo, text, tokens
+from kinlink.operators import blocking, explore, features, learn, metrics, validate
+from kinlink.plans import golden, linkage
+from kinlink.plans import oracle as O
+from kinlink.profiles import BULK, GATED, NOTEBOOK, PACKAGE, PROFILES
+from kinlink.sources import entities
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__.strip("_")
+        _Q[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- inputs ----------------------------------------------------------------------------------------------------------
+
+
+def _ent(spark: SparkSession, d: str) -> DataFrame:
+    return entities.adapted(spark, d)
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    return _ent(spark, d).unionByName(golden.golden(spark))
+
+
+def _norm(spark: SparkSession, d: str, profile=PACKAGE) -> tuple[DataFrame, DataFrame]:
+    rows = linkage.normalized(_ent(spark, d), profile, other_scripts=False)
+    return rows.where("source = 'S1'"), rows.where("source in ('S2', 'S3')")
+
+
+def _top(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s1, pool = _norm(spark, d)
+    return s1, pool, blocking.block_topk(s1, pool)
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    return entities.truth_pairs(entities.adapted_truth(spark, d))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """label and a made-up score: quality labels against text length."""
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    score = F.round(F.least(F.col("n_chars"), F.lit(5000)) / 5000.0, 4)
+    return docs.select("doc_id", score.alias("score")).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+def _r6(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# ---- sources ---------------------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {O.ENT} SELECT * FROM ent")
+def scan_entities(spark, d):
+    return _ent(spark, d)
+
+
+_NA = ", ".join(O.q(x) for x in O.D.NA_STRINGS)
+
+
+@_query(f"WITH {O.GOLD} SELECT entity_id, CASE WHEN business_name NOT IN ({_NA}) THEN business_name END AS business_name FROM ent")
+def na_strings(spark, d):
+    return _gold(spark, d).select("entity_id", entities.na_to_null(F.col("business_name")).alias("business_name"))
+
+
+@_query(f"WITH {O.ENT}, {O.TRUTH} SELECT s1_id, candidate_id FROM truth")
+def gt_explode(spark, d):
+    return _truth(spark, d)
+
+
+@_query(f"WITH {O.ENT} SELECT DISTINCT entity_id FROM ent WHERE source = 'S1'")
+def required_ids(spark, d):
+    return entities.source(spark, d, "S1").select("entity_id").distinct()
+
+
+# ---- projections, filters --------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {O.ENT} SELECT entity_id, source, country FROM ent WHERE source IN ('S2', 'S3')")
+def candidate_pool(spark, d):
+    two, three = (entities.source(spark, d, s).drop("source") for s in ("S2", "S3"))
+    return blocking.candidate_pool(two, three).select("entity_id", "source", "country")
+
+
+_NORM = f"{O.GOLD}, {O.NORM}"
+
+
+def _words(spark, d):
+    return linkage.with_words(linkage.normalized(_gold(spark, d), PACKAGE, other_scripts=False))
+
+
+@_query(f"WITH {_NORM} SELECT entity_id, " + ", ".join(f"({O.W_NAME})[{i + 1}] AS name_word_{i + 1}" for i in range(12)) + " FROM norm")
+def name_word_columns(spark, d):
+    return _words(spark, d).select("entity_id", *[f"name_word_{i + 1}" for i in range(12)])
+
+
+@_query(f"WITH {_NORM} SELECT entity_id, array_to_string({O.W_NAME}, '|') AS name_words, array_to_string({O.W_ADDR}, '|') AS address_words FROM norm")
+def word_lists(spark, d):
+    return _words(spark, d).select("entity_id", F.concat_ws("|", "name_words").alias("name_words"), F.concat_ws("|", "address_words").alias("address_words"))
+
+
+@_query(f"WITH {O.ENT} SELECT a.entity_id AS s1_id, count(*) AS pool_size FROM ent a JOIN ent b ON a.country = b.country WHERE a.source = 'S1' AND b.source <> 'S1' GROUP BY 1")
+def country_partition(spark, d):
+    rows = _ent(spark, d)
+    size = rows.where("source <> 'S1'").groupBy("country").agg(F.count("*").alias("pool_size"))
+    return rows.where("source = 'S1'").join(size, "country").select(F.col("entity_id").alias("s1_id"), "pool_size")
+
+
+@_query(f"WITH {O.BLOCK} SELECT s1_entity_id, entity_id, len1, gt1, addr FROM ov WHERE len1 > 0 OR gt1 > 0 OR addr > 0")
+def signal_gate(spark, d):
+    return blocking.gated(blocking.token_overlap(*_norm(spark, d)), PACKAGE)
+
+
+@_query(f"WITH {O.ENT}, {O.NORM}, w AS (SELECT s1_entity_id, entity_id FROM (SELECT DISTINCT a.entity_id AS s1_entity_id, b.entity_id FROM (SELECT entity_id, country, unnest({O.W_NAME}[1:12]) AS t FROM norm WHERE source = 'S1' UNION SELECT entity_id, country, array_to_string({O.W_NAME}[1:12], '') FROM norm WHERE source = 'S1' AND len({O.W_NAME}) >= 2) a JOIN (SELECT entity_id, country, unnest({O.W_NAME}[1:12]) AS t FROM norm WHERE source <> 'S1') b USING (country, t))) SELECT * FROM w")
+def retrieval_name(spark, d):
+    return blocking.retrieved(*_norm(spark, d), "name")
+
+
+@_query(f"WITH {O.ENT}, {O.NORM} SELECT DISTINCT a.entity_id AS s1_entity_id, b.entity_id FROM (SELECT entity_id, country, unnest(list_sort(list_distinct({O.over(O.W_ADDR)}))[1:15]) AS t FROM norm WHERE source = 'S1') a JOIN (SELECT entity_id, country, unnest({O.over(O.W_ADDR)}) AS t FROM norm WHERE source <> 'S1') b USING (country, t)")
+def retrieval_addr(spark, d):
+    return blocking.retrieved(*_norm(spark, d), "address", 15)
+
+
+@_query(f"WITH {O.SCORES} SELECT doc_id, label, score FROM sc WHERE score >= 0.3")
+def decision(spark, d):
+    return learn.decide(_scores(spark, d).select("doc_id", "label", "score"), 0.3)
+
+
+@_query(f"WITH {_NORM} SELECT entity_id, (state IS NOT NULL)::INT AS has_state, (house_number IS NOT NULL)::INT AS has_house_number FROM norm")
+def presence_flags(spark, d):
+    return linkage.normalized(_gold(spark, d), PACKAGE, other_scripts=False).select("entity_id", "has_state", "has_house_number")
+
+
+@_query(f"WITH {O.ENT}, {O.TRUTH} SELECT s1_id, candidate_id FROM truth WHERE s1_id IN (SELECT entity_id FROM ent WHERE source = 'S1' AND country = 'US')")
+def gt_semi(spark, d):
+    own = entities.source(spark, d, "S1").where("country = 'US'").select(F.col("entity_id").alias("s1_id"))
+    return _truth(spark, d).join(own, "s1_id", "left_semi")
+
+
+# ---- joins and blocking ----------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {O.BLOCK} SELECT * FROM ov")
+def token_overlap(spark, d):
+    return blocking.token_overlap(*_norm(spark, d))
+
+
+_TOPCOLS = "s1_entity_id, entity_id, name_overlap_len1, name_overlap_gt1, name_overlap_count, address_overlap_count, state_match, matching_score, rank"
+
+
+@_query(f"WITH {O.BLOCK} SELECT {_TOPCOLS} FROM top")
+def block_topk(spark, d):
+    return _top(spark, d)[2].select(*_TOPCOLS.split(", "))
+
+
+@_query(f"WITH {O.BLOCK} SELECT {_TOPCOLS} FROM top")
+def block_topk_pruned(spark, d):
+    return blocking.pruned_candidates(*_norm(spark, d), frequent=50).select(*_TOPCOLS.split(", "))
+
+
+@_query(f"WITH {O.BLOCK} SELECT s1_entity_id, entity_id, state_match FROM sco")
+def state_match(spark, d):
+    return blocking.scored_candidates(*_norm(spark, d)).select("s1_entity_id", "entity_id", "state_match")
+
+
+@_query(f"WITH {O.BLOCK} SELECT s1_entity_id, entity_id, matching_score FROM sco")
+def score_b(spark, d):
+    return blocking.scored_candidates(*_norm(spark, d)).select("s1_entity_id", "entity_id", "matching_score")
+
+
+_CPU = f"""cpu AS (SELECT a.entity_id AS s1_entity_id, b.entity_id,
+   CASE WHEN len(list_intersect(a.w, b.w)) = 0 AND a.j IS NOT NULL AND list_contains(b.w, a.j) THEN len(a.w0) ELSE len(list_intersect(a.w, b.w)) END::INT AS name,
+   len(list_intersect(a.aw, b.aw))::INT AS addr, coalesce(a.state = b.state, false)::INT AS state_match
+   FROM (SELECT *, {O.W_NAME} AS w0, list_distinct({O.W_NAME}) AS w, list_distinct({O.over(O.W_ADDR)}) AS aw, CASE WHEN len({O.W_NAME}) >= 2 THEN array_to_string({O.W_NAME}, '') END AS j FROM norm WHERE source = 'S1') a
+   JOIN (SELECT *, list_distinct({O.W_NAME}) AS w, list_distinct({O.over(O.W_ADDR)}) AS aw FROM norm WHERE source <> 'S1') b ON a.country = b.country
+   WHERE len(list_intersect(a.w, b.w)) > 0 OR len(list_intersect(a.aw, b.aw)) > 0 OR (a.j IS NOT NULL AND list_contains(b.w, a.j)))"""
+
+
+@_query(f"WITH {O.ENT}, {O.NORM}, {_CPU} SELECT s1_entity_id, entity_id, name, addr, state_match, (2 * name + addr + state_match)::DOUBLE AS matching_score FROM cpu")
+def score_a(spark, d):
+    return blocking.formula_a(*_norm(spark, d)).select("s1_entity_id", "entity_id", "name", "addr", "state_match", "matching_score")
+
+
+@_query(f"WITH {O.ENT}, {O.NORM}, {_CPU} SELECT s1_entity_id, entity_id, matching_score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_entity_id ORDER BY matching_score DESC, entity_id) AS rank FROM (SELECT *, (2 * name + addr + state_match)::DOUBLE AS matching_score FROM cpu)) WHERE rank <= 15")
+def block_cpu(spark, d):
+    return blocking.ranked(blocking.formula_a(*_norm(spark, d)), 15).select("s1_entity_id", "entity_id", "matching_score", "rank")
+
+
+_GEN = "[" + ", ".join(map(O.q, O.D.GENERIC_WORDS)) + "]"
+_GATED = f"""gt AS (SELECT a.entity_id AS s1_entity_id, b.entity_id, a.state AS s, b.state AS c, list_intersect(list_distinct(list_concat(a.w, a.j)), b.w) AS ov, len(list_intersect(a.aw, b.aw))::INT AS addr, a.j AS j
+   FROM (SELECT *, {O.W_NAME} AS w, list_distinct({O.over(O.W_ADDR)}) AS aw, {O.JOINED} AS j FROM norm WHERE source = 'S1') a
+   JOIN (SELECT *, list_distinct({O.W_NAME}) AS w, list_distinct({O.over(O.W_ADDR)}) AS aw FROM norm WHERE source <> 'S1') b ON a.country = b.country),
+  gs AS (SELECT s1_entity_id, entity_id, len(list_filter(ov, lambda x: list_contains({_GEN}, x)))::INT AS generic, len(list_filter(ov, lambda x: length(x) = 1 AND NOT list_contains({_GEN}, x)))::INT AS len1,
+   len(list_filter(ov, lambda x: length(x) > 1 AND NOT list_contains({_GEN}, x)))::INT AS brand, addr, coalesce(s = c, false)::INT AS state_match FROM gt WHERE len(ov) > 0)"""
+
+
+@_query(f"WITH {O.ENT}, {O.NORM}, {_GATED} SELECT s1_entity_id, entity_id, generic, len1, brand, addr, state_match, (generic + 2 * len1 + 8 * brand + 4 * addr + 4 * state_match)::DOUBLE AS matching_score FROM gs")
+def score_gated(spark, d):
+    return blocking.scored_candidates(*_norm(spark, d), GATED).select("s1_entity_id", "entity_id", "generic", "len1", "brand", "addr", "state_match", "matching_score")
+
+
+@_query(f"WITH {O.ENT}, {O.NORM}, {_GATED} SELECT s1_entity_id, entity_id FROM gs")
+def name_gate(spark, d):
+    return blocking.gated(blocking.token_overlap(*_norm(spark, d), GATED), GATED).select("s1_entity_id", "entity_id")
+
+
+@_query(f"WITH {O.BLOCK} SELECT top.s1_entity_id, top.entity_id, a.clean_name AS s1_name, b.clean_name AS candidate_name FROM top JOIN norm a ON a.entity_id = s1_entity_id JOIN norm b ON b.entity_id = top.entity_id")
+def pair_attach(spark, d):
+    s1, pool, top = _top(spark, d)
+    return features.attach(s1, blocking.attached(top, pool)).select("s1_entity_id", "entity_id", F.col("_name").alias("s1_name"), F.col("clean_name").alias("candidate_name"))
+
+
+@_query(f"WITH {O.BLOCK}, {O.TRUTH} SELECT top.s1_entity_id AS s1_id, top.entity_id AS candidate_id, (t.s1_id IS NOT NULL)::INT AS label FROM top LEFT JOIN truth t ON t.s1_id = top.s1_entity_id AND t.candidate_id = top.entity_id")
+def labels_attach(spark, d):
+    pairs = _top(spark, d)[2].select(F.col("s1_entity_id").alias("s1_id"), F.col("entity_id").alias("candidate_id"))
+    return features.with_labels(pairs, _truth(spark, d))
+
+
+def _ranks(spark, d):
+    s1, _, top = _top(spark, d)
+    return s1, metrics.truth_ranks(_truth(spark, d), top)
+
+
+_RANKS = f"{O.BLOCK}, {O.TRUTH}, {O.RANKS}"
+
+
+@_query(f"WITH {_RANKS} SELECT * FROM ranks")
+def truth_rank(spark, d):
+    return _ranks(spark, d)[1]
+
+
+@_query(f"WITH {O.ENT}, {O.TRUTH} SELECT t.s1_id, t.candidate_id, b.source, a.business_name AS s1_name, a.business_address AS s1_address, b.business_name AS candidate_name, b.business_address AS candidate_address FROM truth t JOIN ent a ON a.entity_id = t.s1_id JOIN ent b ON b.entity_id = t.candidate_id")
+def inspect_matches(spark, d):
+    rows = _ent(spark, d)
+    return explore.inspect_matches(rows.where("source = 'S1'"), rows.where("source <> 'S1'"), _truth(spark, d))
+
+
+@_query(f"WITH {O.BLOCK} SELECT DISTINCT s1_entity_id, entity_id FROM top")
+def dedupe_candidates(spark, d):
+    top = _top(spark, d)[2].select("s1_entity_id", "entity_id")
+    return top.union(top).dropDuplicates(["s1_entity_id", "entity_id"])
+
+
+@_query(f"WITH {O.ENT} SELECT entity_id FROM ent WHERE source = 'S1' ORDER BY entity_id LIMIT 50")
+def first_n(spark, d):
+    return entities.source(spark, d, "S1").select("entity_id").orderBy("entity_id").limit(50)
+
+
+# ---- aggregates over candidates and truth ----------------------------------------------------------------------------
+
+
+@_query(f"WITH {O.BLOCK} SELECT a.entity_id AS s1_entity_id, a.business_name, a.country, a.state, count(top.entity_id) AS total_candidates, coalesce(max(matching_score), 0.0) AS max_score, coalesce(round_even(avg(matching_score), 2), 0.0) AS avg_score, coalesce(sum(state_match), 0)::BIGINT AS state_matches FROM (SELECT * FROM norm WHERE source = 'S1') a LEFT JOIN top ON top.s1_entity_id = a.entity_id GROUP BY ALL")
+def blocking_summary(spark, d):
+    s1, _, top = _top(spark, d)
+    return blocking.blocking_summary(s1, top)
+
+
+@_query(f"WITH {_RANKS} SELECT CASE WHEN rank IS NULL THEN 'Missed' WHEN rank = 1 THEN '1' WHEN rank <= 5 THEN '2-5' WHEN rank <= 10 THEN '6-10' ELSE '11-15' END AS band, count(*) AS n FROM ranks GROUP BY 1")
+def rank_bands(spark, d):
+    return metrics.rank_bands(_ranks(spark, d)[1])
+
+
+@_query(f"""WITH {_RANKS}, p AS (SELECT s1_id, count(*) AS n, count(rank) AS f, list_sort(list(rank) FILTER (rank IS NOT NULL)) AS r FROM ranks GROUP BY 1)
+SELECT s1_id AS s1_entity_id, a.business_name, a.country, n AS gt_matches, f AS recovered_in_top_15, printf('%.1f%%', 100.0 * f / n) AS recall_rate, coalesce(array_to_string(r, ','), '') AS ranks_of_matches,
+ coalesce(r[1]::VARCHAR, '-') AS first_match_rank, CASE WHEN f = n THEN 'Full' WHEN f > 0 THEN 'Partial' ELSE 'Missed' END AS status FROM p JOIN ent a ON a.entity_id = s1_id""")
+def recall_report(spark, d):
+    return metrics.recall_report(*_ranks(spark, d))
+
+
+_PER = "p AS (SELECT a.entity_id AS s1_id, count(candidate_id) AS n, count(rank) AS f, min(rank) AS first FROM (SELECT * FROM ent WHERE source = 'S1') a LEFT JOIN ranks ON ranks.s1_id = a.entity_id GROUP BY 1)"
+_RECALL = f"count(*) AS records, sum(n)::BIGINT AS targets, sum(f)::BIGINT AS found, " + O.r6(recall=O.ratio("sum(f)", "sum(n)"), hit_rate=O.ratio("count_if(f > 0)", "count_if(n > 0)"), full_recovery=O.ratio("count_if(n > 0 AND f = n)", "count_if(n > 0)"), mrr=O.ratio("sum(coalesce(1.0::DOUBLE / first, 0))", "count_if(n > 0)"))
+
+
+@_query(f"WITH {_RANKS}, {_PER} SELECT {_RECALL} FROM p")
+def blocking_recall(spark, d):
+    return metrics.blocking_recall(*_ranks(spark, d)).select("records", "targets", "found", *_r6("recall", "hit_rate", "full_recovery", "mrr"))
+
+
+@_query(f"WITH {_RANKS}, {_PER} SELECT s1_id, first::INT AS first_rank, round(coalesce(1.0::DOUBLE / first, 0), 6) AS reciprocal FROM p")
+def mrr(spark, d):
+    s1, ranks = _ranks(spark, d)
+    first = ranks.groupBy("s1_id").agg(F.min("rank").alias("first_rank"))
+    rows = s1.select(F.col("entity_id").alias("s1_id")).join(first, "s1_id", "left")
+    return rows.withColumn("reciprocal", F.round(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)), 6))
+
+
+@_query(f"WITH {O.BLOCK} SELECT x.pairs, k.kept, round(1.0 - k.kept / x.pairs, 6) AS reduction FROM (SELECT (count(*) FILTER (source = 'S1') * count(*) FILTER (source <> 'S1'))::BIGINT AS pairs FROM ent) x, (SELECT count(*) AS kept FROM top) k")
+def reduction_ratio(spark, d):
+    s1, pool, top = _top(spark, d)
+    return metrics.reduction_ratio(s1, pool, top).select("pairs", "kept", *_r6("reduction"))
+
+
+_GTOP = "gtop AS (SELECT * FROM (SELECT s1_entity_id, entity_id, row_number() OVER (PARTITION BY s1_entity_id ORDER BY generic + 2 * len1 + 8 * brand + 4 * addr + 4 * state_match DESC, entity_id) AS rank FROM gs) WHERE rank <= 15), granks AS (SELECT t.s1_id, t.candidate_id, gtop.rank FROM truth t LEFT JOIN gtop ON gtop.s1_entity_id = t.s1_id AND gtop.entity_id = t.candidate_id)"
+
+
+@_query(f"WITH {_RANKS}, {_GATED}, {_GTOP}, {_PER}, p2 AS (SELECT a.entity_id AS s1_id, count(candidate_id) AS n, count(rank) AS f, min(rank) AS first FROM (SELECT * FROM ent WHERE source = 'S1') a LEFT JOIN granks ON granks.s1_id = a.entity_id GROUP BY 1) SELECT 'package' AS formula, {_RECALL} FROM p UNION ALL SELECT 'gated', {_RECALL} FROM p2")
+def formula_ab(spark, d):
+    s1, pool = _norm(spark, d)
+    truth = _truth(spark, d)
+    runs = {p.name: metrics.blocking_recall(s1, metrics.truth_ranks(truth, blocking.block_topk(s1, pool, p))) for p in (PACKAGE, GATED)}
+    return metrics.compared(runs).select("formula", "records", "targets", "found", *_r6("recall", "hit_rate", "full_recovery", "mrr"))
+
+
+def _lists(spark, d):
+    return entities.truth_lists(entities.adapted_truth(spark, d))
+
+
+_LISTS = f"{O.ENT}, {O.TRUTH}"
+
+
+@_query(f"WITH {_LISTS} SELECT least(len(ids), 4)::INT AS matches, count(*) AS records FROM truthl GROUP BY 1")
+def match_histogram(spark, d):
+    return explore.match_histogram(_lists(spark, d))
+
+
+@_query(f"WITH {_LISTS} SELECT count(*) AS records, count_if(len(ids) = 0)::BIGINT AS singletons, count_if(len(ids) > 0)::BIGINT AS matched FROM truthl")
+def singleton_share(spark, d):
+    return explore.singleton_share(_lists(spark, d))
+
+
+_HAS = "len(list_filter(ids, lambda x: starts_with(x, '{}'))) > 0"
+
+
+@_query(f"WITH {_LISTS} SELECT CASE WHEN len(ids) = 0 THEN 'No Match' WHEN {_HAS.format('S2-')} AND {_HAS.format('S3-')} THEN 'Both' WHEN {_HAS.format('S2-')} THEN 'Only S2' WHEN {_HAS.format('S3-')} THEN 'Only S3' ELSE 'Other' END AS origin, count(*) AS records FROM truthl GROUP BY 1")
+def origin_split(spark, d):
+    return explore.origin_split(_lists(spark, d))
+
+
+@_query(f"WITH {O.ENT} SELECT source, country, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6)::DOUBLE AS share FROM ent GROUP BY source, country")
+def country_share(spark, d):
+    return explore.country_share(_ent(spark, d)).select("source", "country", "n", *_r6("share"))
+
+
+_SIZE = "len(list_filter(string_split_regex(coalesce({}, ''), '\\s+'), lambda w: w <> ''))"
+_LEN = ", ".join(f"round(avg(length(coalesce({c}, ''))), 6) AS {n}_chars_avg, max(length(coalesce({c}, '')))::INT AS {n}_chars_max, round(avg({_SIZE.format(c)}), 6) AS {n}_words_avg, max({_SIZE.format(c)})::INT AS {n}_words_max" for n, c in (("name", "business_name"), ("address", "business_address")))
+
+
+@_query(f"WITH {O.ENT} SELECT source, {_LEN} FROM ent GROUP BY source")
+def text_lengths(spark, d):
+    rows = explore.text_lengths(_ent(spark, d))
+    return rows.select("source", *[F.round(c, 6).alias(c) if c.endswith("avg") else F.col(c) for c in rows.columns[1:]])
+
+
+@_query(f"WITH {O.ENT}, t AS (SELECT unnest(string_split_regex(regexp_replace(lower(business_name), '[^a-z0-9_\\s]', '', 'g'), '\\s+')) AS token FROM ent WHERE country = 'US') SELECT token, count(*) AS n FROM t WHERE length(token) > 1 GROUP BY 1 ORDER BY n DESC, token LIMIT 20")
+def top_tokens(spark, d):
+    return explore.top_tokens(_ent(spark, d).where("country = 'US'"), "business_name")
+
+
+@_query(f"WITH {O.ENT} SELECT source, count(*) AS n FROM ent GROUP BY 1")
+def row_counts(spark, d):
+    return explore.row_counts(_ent(spark, d))
+
+
+@_query(f"WITH {O.GOLD}, {O.NORM} SELECT source, sum((house_number IS NOT NULL)::INT)::BIGINT AS with_house, round(avg((house_number IS NOT NULL)::INT), 6) AS share FROM norm GROUP BY 1")
+def house_coverage(spark, d):
+    rows = linkage.normalized(_gold(spark, d), PACKAGE, other_scripts=False)
+    return explore.house_coverage(rows).select("source", "with_house", *_r6("share"))
+
+
+# ---- text, geography -------------------------------------------------------------------------------------------------
+
+
+def _name_col():
+    return F.col("business_name")
+
+
+def _addr_col():
+    return F.col("business_address")
+
+
+
+def _text(name: str, expression: str, column):
+    _query(O.text_query(expression), name)(lambda spark, d: _gold(spark, d).select("entity_id", column().alias("out")))
+
+
+_E = "coalesce(business_name, '')"
+_text("translit_latin", f"lower({O.latin(_E)})", lambda: F.lower(text.transliterate(text.or_empty(_name_col()), False)))
+_text("clean_universal", O.plain("business_name"), lambda: text.clean_plain(_name_col(), False))
+_text("clean_urls", O.urls(_E), lambda: text.strip_urls(text.or_empty(_name_col())))
+_text("clean_handles", O.rr(_E, O.D.HANDLE, ""), lambda: text.strip_handles(text.or_empty(_name_col())))
+_text("clean_domains", O.rr(_E, "(?i)" + O.D.DOMAIN_END, " "), lambda: text.strip_domains(text.or_empty(_name_col())))
+_text("clean_possessive", O.rr(_E, "(?i)" + O.D.POSSESSIVE, ""), lambda: text.strip_possessives(text.or_empty(_name_col())))
+_text("clean_brackets", O.rr(_E, r"[\(\[\{]([^\)\]\}]+)[\)\]\}]", r" \1 "), lambda: text.unwrap_brackets(text.or_empty(_name_col())))
+_text("clean_symbols", O.rr(O.rr(_E, r"\s*&\s*", " and "), r"\s*\+\s*", " "), lambda: text.spell_symbols(text.or_empty(_name_col())))
+
+
+def _harmony(x: str) -> str:
+    for a, b in O.D.HARMONISED:
+        x = O.rr(x, O.words_rule(a), b)
+    return x
+
+
+_text("harmonize", _harmony(O.plain("business_name")), lambda: text.harmonise(text.clean_plain(_name_col(), False)))
+_text("normalize_name", O.name_package("business_name"), lambda: text.normalize_name(_name_col(), PACKAGE, False))
+_text("normalize_address", O.address(O.plain("business_address"), O.D.ADDRESS_PACKAGE, [], ""), lambda: text.squeeze(text._expanded(text.clean_plain(_addr_col(), False), O.D.ADDRESS_PACKAGE)))
+_text("normalize_address_fr", O.address(O.plain("business_address"), O.D.ADDRESS_PACKAGE, O.D.ADDRESS_FRANCE, "trim(country)"), lambda: text.normalize_address(_addr_col(), F.col("country"), PACKAGE, False))
+_text("normalize_address_bulk", O.address(O.plain("business_address"), O.D.ADDRESS_BULK, O.D.ADDRESS_BULK_FRANCE, "country"), lambda: text.normalize_address(_addr_col(), F.col("country"), _BULK_PLAIN, False))
+
+
+def _plain_profile(p):
+    from dataclasses import replace
+
+    return replace(p, clean="plain")
+
+
+_BULK_PLAIN, _NOTEBOOK_PLAIN = _plain_profile(BULK), _plain_profile(NOTEBOOK)
+_text("normalize_address_nb", O.address(O.plain("business_address"), O.D.ADDRESS_NOTEBOOK, [], ""), lambda: text.normalize_address(_addr_col(), F.col("country"), _NOTEBOOK_PLAIN, False))
+_text("normalize_address_test", O.address(O.plain("business_address"), O.D.ADDRESS_NOTEBOOK, O.D.ADDRESS_FRANCE, "country"), lambda: text.normalize_address_test(_addr_col(), F.col("country"), _NOTEBOOK_PLAIN, False))
+
+
+def _bare(x: str) -> str:
+    base = O.plain(x)
+    y = _harmony(base)
+    for g in O.D.DESCRIPTORS:
+        y = O.rr(y, O.words_rule(g), " ")
+    return f"coalesce(nullif({O.squeeze(y)}, ''), {base})"
+
+
+_text("normalize_name_nb", _bare("business_name"), lambda: text.normalize_name(_name_col(), _NOTEBOOK_PLAIN, False))
+
+
+@_query()
+def clean_ocr(spark, d):
+    return _gold(spark, d).select("entity_id", text.fix_digits(F.lower(text.or_empty(_name_col()))).alias("out"))
+
+
+@_query()
+def normalize_name_hygiene(spark, d):
+    """All profiles' names, scripts included."""
+    return _gold(spark, d).select("entity_id", *[text.normalize_name(_name_col(), p).alias(n) for n, p in PROFILES.items()])
+
+
+def _geo(name: str, where: str, expression: str, column):
+    sql = f"WITH {O.GOLD} SELECT entity_id, CASE WHEN {O.strip(O.A)} = '' THEN NULL ELSE {expression} END AS state FROM ent WHERE {where}"
+    _query(sql, name)(lambda spark, d: _gold(spark, d).where(where).select("entity_id", F.when(geo.stripped(text.or_empty(_addr_col())) != "", column(text.or_empty(_addr_col()))).alias("state")))
+
+
+_geo("state_us", "country = 'US'", O.US, geo.state_us)
+_geo("state_india", "country = 'India'", O.INDIA, geo.state_india)
+_geo("state_france", "country = 'France'", O.FRANCE, geo.state_france)
+_geo("state_native", "country = 'India'", O.anywhere(O.A, O.D.INDIA_NATIVE, False), geo.state_native)
+
+
+def _states(name: str, rules: str, expression: str):
+    _query(f"WITH {O.GOLD} SELECT entity_id, {expression} AS state FROM ent", name)(lambda spark, d: _gold(spark, d).select("entity_id", geo.state(_addr_col(), F.col("country"), rules).alias("state")))
+
+
+_states("state_all", "package", O.STATE)
+_states("state_nb", "notebook", O.nb_states("notebook"))
+_states("state_gated", "gated", O.nb_states("gated"))
+_states("state_bulk", "bulk", O.bulk_states())
+
+
+@_query(f"WITH {O.GOLD} SELECT entity_id, {O.HOUSE} AS house_number FROM ent")
+def house_number(spark, d):
+    return _gold(spark, d).select("entity_id", geo.house_first_part(_addr_col()).alias("house_number"))
+
+
+@_query(f"WITH {O.GOLD} SELECT entity_id, {O.CASCADE} AS house_number FROM ent")
+def house_cascade(spark, d):
+    return _gold(spark, d).select("entity_id", geo.house_cascade(_addr_col()).alias("house_number"))
+
+
+def _tokens(name: str, expression: str, column):
+    _query(f"WITH {_NORM} SELECT entity_id, array_to_string(list_sort(list_distinct({expression})), '|') AS tokens FROM norm", name)(
+        lambda spark, d: linkage.normalized(_gold(spark, d), PACKAGE, other_scripts=False).select("entity_id", F.concat_ws("|", F.array_sort(F.array_distinct(column(tokens.words(F.col("clean_name")))))).alias("tokens"))
+    )
+
+
+_tokens("tokens_len1", O.one(O.W_NAME), tokens.one_letter)
+_tokens("tokens_gt1", O.over(O.W_NAME), tokens.longer)
+_tokens("joined_brand", f"list_concat({O.over(O.W_NAME)}, {O.JOINED})", lambda w: F.array_union(tokens.longer(w), tokens.joined(w)))
+_tokens("token_class", f"list_filter({O.W_NAME}, lambda x: list_contains({_GEN}, x))", tokens.generic)
+
+
+@_query(f"WITH {O.BLOCK}, {O.FEAT} SELECT s1_entity_id AS s1_id, entity_id AS candidate_id, array_to_string(list_sort(list_intersect(nw1, nw2)), '|') AS common, array_to_string(list_sort(list_distinct(list_concat(nw1, nw2))), '|') AS every FROM wl")
+def common_tokens(spark, d):
+    s1, pool, top = _top(spark, d)
+    a, b = tokens.words(F.col("_name")), tokens.words(F.col("clean_name"))
+    rows = features.attach(s1, blocking.attached(top, pool))
+    return rows.select(F.col("s1_entity_id").alias("s1_id"), F.col("entity_id").alias("candidate_id"), F.concat_ws("|", F.array_sort(F.array_intersect(a, b))).alias("common"), F.concat_ws("|", F.array_sort(F.array_union(a, b))).alias("every"))
+
+
+_FCOLS = ", ".join(f"round({f}, 6) AS {f}" if f in ("blocking_score", "word_jaccard", "address_word_jaccard", "name_x_addr_jaccard", "score_per_word") else f for f in features.FEATURES)
+
+
+@_query(f"WITH {O.BLOCK}, {O.FEAT} SELECT s1_id, candidate_id, source, {_FCOLS} FROM feat")
+def pair_features(spark, d):
+    rows = linkage.linked_pairs(*_norm(spark, d))
+    return rows.select("s1_id", "candidate_id", "source", *[F.round(f, 6).alias(f) if dict(rows.dtypes)[f] == "double" else F.col(f) for f in features.FEATURES])
+
+
+# ---- learning, metrics -----------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {O.SCORES} SELECT count(*) AS n, sum(label)::BIGINT AS positives, (count(*) - sum(label))::BIGINT AS negatives, round((count(*) - sum(label)) / greatest(sum(label), 1), 6)::DOUBLE AS weight, round(100.0 * sum(label) / count(*), 6)::DOUBLE AS positive_percent FROM sc")
+def class_balance(spark, d):
+    return metrics.class_balance(_scores(spark, d)).select("n", "positives", "negatives", *_r6("weight", "positive_percent"))
+
+
+@_query(f"WITH {O.SCORES} SELECT round((SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END)::DOUBLE / count(*) FROM sc a, sc b WHERE a.label = 1 AND b.label = 0), 6) AS roc_auc")
+def roc_auc(spark, d):
+    return metrics.roc_auc(_scores(spark, d)).select(*_r6("roc_auc"))
+
+
+@_query(f"WITH {O.SCORES}, g AS (SELECT score, sum(label) AS p, count(*) AS n FROM sc GROUP BY 1), c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS s FROM g) SELECT round((sum(p * tp / s) / sum(p))::DOUBLE, 6) AS average_precision FROM c")
+def avg_precision(spark, d):
+    return metrics.average_precision(_scores(spark, d)).select(*_r6("average_precision"))
+
+
+@_query(f"WITH {O.SCORES}, s AS (SELECT count_if(score >= 0.3 AND label = 1)::BIGINT AS tp, count_if(score >= 0.3 AND label = 0)::BIGINT AS fp, count_if(score < 0.3 AND label = 1)::BIGINT AS fn FROM sc) SELECT tp, fp, fn, {O.r6(**O.prf('tp', 'fp', 'fn'))} FROM s")
+def prf_at_threshold(spark, d):
+    return metrics.prf_at(_scores(spark, d), 0.3).select("tp", "fp", "fn", *_r6("precision", "recall", "f1", "f05"))
+
+
+@_query(f"WITH {O.SCORES}, {O.GRID} SELECT threshold, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(f05, 6) AS f05 FROM tt")
+def threshold_scan(spark, d):
+    return metrics.threshold_table(_scores(spark, d)).select("threshold", "tp", "fp", "fn", *_r6("precision", "recall", "f1", "f05"))
+
+
+@_query(f"WITH {O.SCORES}, {O.GRID} SELECT threshold, round(f1, 6) AS f1 FROM tt ORDER BY tt.f1 DESC, threshold LIMIT 1")
+def best_threshold(spark, d):
+    return metrics.best_threshold(_scores(spark, d)).select("threshold", *_r6("f1"))
+
+
+def _report_sql() -> str:
+    p1, p0 = O.prf("n11", "n10", "n01"), O.prf("n00", "n01", "n10")
+    lines = [("0", [p0[m] for m in ("precision", "recall", "f1")], "n00 + n10"), ("1", [p1[m] for m in ("precision", "recall", "f1")], "n11 + n01")]
+    total, right = "n00 + n10 + n11 + n01", O.ratio("n00 + n11", "n00 + n10 + n11 + n01")
+    lines.append(("accuracy", [right] * 3, total))
+    lines.append(("macro avg", [f"({p0[m]} + {p1[m]}) / 2" for m in ("precision", "recall", "f1")], total))
+    lines.append(("weighted avg", [O.ratio(f"{p0[m]} * (n00 + n10) + {p1[m]} * (n11 + n01)", total) for m in ("precision", "recall", "f1")], total))
+    cells = ", ".join(f"count_if((score >= 0.3)::INT = {a} AND label = {b})::BIGINT AS n{a}{b}" for a in (0, 1) for b in (0, 1))
+    return f"WITH {O.SCORES}, c AS (SELECT {cells} FROM sc) " + " UNION ALL ".join(f"SELECT '{n}' AS class, round({v[0]}, 6) AS precision, round({v[1]}, 6) AS recall, round({v[2]}, 6) AS f1, ({s})::BIGINT AS support FROM c" for n, v, s in lines)
+
+
+@_query(_report_sql())
+def class_report(spark, d):
+    return metrics.class_report(_scores(spark, d), 0.3).select("class", *_r6("precision", "recall", "f1"), "support")
+
+
+def _predicted(spark, d):
+    s1, _, top = _top(spark, d)
+    return s1, top.where("rank <= 3 and matching_score >= 20").select(F.col("s1_entity_id").alias("s1_id"), F.col("entity_id").alias("candidate_id"), (F.col("matching_score") / 100).alias("score"))
+
+
+_PRED = f"{O.BLOCK}, {O.TRUTH}, pred AS (SELECT s1_entity_id AS s1_id, entity_id AS candidate_id, matching_score / 100 AS score FROM top WHERE rank <= 3 AND matching_score >= 20)"
+_F05 = f"""f AS (SELECT a.entity_id AS s1_id, (SELECT count(*) FROM truth t WHERE t.s1_id = a.entity_id) AS t, (SELECT count(*) FROM pred p WHERE p.s1_id = a.entity_id) AS p,
+ (SELECT count(*) FROM truth t JOIN pred p USING (s1_id, candidate_id) WHERE t.s1_id = a.entity_id) AS b FROM ent a WHERE source = 'S1'),
+ e AS (SELECT s1_id, CASE WHEN t = 0 AND p = 0 THEN 1.0 ELSE {O.ratio(f"5 * {O.ratio('b', 'p')} * {O.ratio('b', 't')}", f"{O.ratio('b', 'p')} + 4 * {O.ratio('b', 't')}")} END AS f05 FROM f)"""
+
+
+@_query(f"WITH {_PRED}, {_F05} SELECT s1_id, round(f05, 6)::DOUBLE AS f05 FROM e")
+def entity_f05(spark, d):
+    s1, predicted = _predicted(spark, d)
+    return metrics.entity_f05(s1, _truth(spark, d), predicted).select("s1_id", *_r6("f05"))
+
+
+@_query(f"WITH {_PRED}, {_F05} SELECT round(avg(f05), 6)::DOUBLE AS macro_f05 FROM e")
+def macro_f05(spark, d):
+    s1, predicted = _predicted(spark, d)
+    return metrics.macro_f05(s1, _truth(spark, d), predicted).select(*_r6("macro_f05"))
+
+
+@_query()
+def macro_threshold(spark, d):
+    s1, _, top = _top(spark, d)
+    pairs = features.with_labels(top.select(F.col("s1_entity_id").alias("s1_id"), F.col("entity_id").alias("candidate_id"), F.least(F.col("matching_score") / 60, F.lit(1.0)).alias("score")), _truth(spark, d))
+    return metrics.macro_threshold(s1, _truth(spark, d), pairs).select("threshold", *_r6("macro_f05"))
+
+
+@_query()
+def group_kfold(spark, d):
+    return learn.group_folds(_top(spark, d)[2].select(F.col("s1_entity_id").alias("s1_id")))
+
+
+@_query()
+def sample_fraction(spark, d):
+    return _ent(spark, d).select("entity_id").sample(0.1, 42)
+
+
+@_query()
+def sample_rows(spark, d):
+    return _ent(spark, d).select("entity_id").orderBy(F.rand(42)).limit(10)
+
+
+def _labelled(spark, d):
+    return features.with_labels(linkage.linked_pairs(*_norm(spark, d)), _truth(spark, d))
+
+
+@_query()
+def oof_scores(spark, d):
+    _, scored = learn.train_folds(_labelled(spark, d), k=2, trees=5)
+    return scored.select("s1_id", "candidate_id", "source", "label", F.round("score", 6).alias("model_match_prob"), (F.col("score") >= 0.5).cast("int").alias("predicted_match"))
+
+
+@_query()
+def feature_importance(spark, d):
+    models, _ = learn.train_folds(_labelled(spark, d), k=2, trees=5)
+    return learn.importances(spark, models)
+
+
+# ---- lists, export, validation ---------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_PRED} SELECT s1_id, string_agg(candidate_id, ',' ORDER BY score DESC, candidate_id) AS ids FROM pred GROUP BY 1")
+def match_lists(spark, d):
+    return explore.match_lists(_predicted(spark, d)[1])
+
+
+@_query(f"WITH {O.BLOCK} SELECT s1_entity_id AS s1_id, string_agg(entity_id, ',' ORDER BY rank) AS ids FROM top GROUP BY 1")
+def candidate_lists(spark, d):
+    top = _top(spark, d)[2]
+    return explore.match_lists(top.select(F.col("s1_entity_id").alias("s1_id"), F.col("entity_id").alias("candidate_id"), F.col("matching_score").alias("score")))
+
+
+_FILLED = f"{_PRED}, l AS (SELECT s1_id, string_agg(candidate_id, ',' ORDER BY score DESC, candidate_id) AS ids FROM pred GROUP BY 1), fl AS (SELECT a.entity_id AS s1_id, coalesce(l.ids, '') AS ids FROM (SELECT * FROM ent WHERE source = 'S1') a LEFT JOIN l ON l.s1_id = a.entity_id)"
+
+
+def _filled(spark, d):
+    s1, predicted = _predicted(spark, d)
+    return explore.filled_lists(s1, explore.match_lists(predicted))
+
+
+@_query(f"WITH {_FILLED} SELECT * FROM fl")
+def fill_singletons(spark, d):
+    return _filled(spark, d)
+
+
+@_query(f"WITH {_FILLED} SELECT s1_id AS source1_entity_id, ids AS matched_entity_ids FROM fl")
+def export_matching(spark, d):
+    """Written as text and read again."""
+    return _round_trip(spark, _filled(spark, d).toDF("source1_entity_id", "matched_entity_ids"))
+
+
+@_query(f"WITH {O.BLOCK}, l AS (SELECT s1_entity_id AS s1_id, string_agg(entity_id, ',' ORDER BY rank) AS ids FROM top GROUP BY 1) SELECT a.entity_id AS source1_entity_id, coalesce(l.ids, '') AS candidate_entity_ids FROM (SELECT * FROM ent WHERE source = 'S1') a LEFT JOIN l ON l.s1_id = a.entity_id")
+def export_candidates(spark, d):
+    s1 = _norm(spark, d)[0]
+    return _round_trip(spark, explore.filled_lists(s1, candidate_lists(spark, d)).toDF("source1_entity_id", "candidate_entity_ids"))
+
+
+def _round_trip(spark, rows):
+    import uuid
+
+    from kinlink.sources import sinks
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    path = f"{root}/kinlink/export-{uuid.uuid4().hex}"
+    sinks.write_lists(rows, path)
+    key, listed = rows.columns
+    back = spark.read.schema(f"{key} string, {listed} string").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    return back.select(key, F.coalesce(listed, F.lit("")).alias(listed))
+
+
+@_query(f"WITH {_FILLED} SELECT count(*) AS records, sum(CASE WHEN ids = '' THEN 0 ELSE len(string_split(ids, ',')) END)::BIGINT AS matches, count_if(ids = '')::BIGINT AS singletons, round(100.0 * count_if(ids = '') / count(*), 6)::DOUBLE AS singleton_percent FROM fl")
+def prediction_totals(spark, d):
+    return explore.prediction_totals(_filled(spark, d)).select("records", "matches", "singletons", *_r6("singleton_percent"))
+
+
+#: Lines of a result file with one fault of each kind.
+_LINES = [
+    "source1_entity_id\tmatched_entity_ids", "S1-0\tS2-1,S3-2", "S1-10\t", "S1-10\tS2-3", "S1-20\tS2-1,S2-1", "S1-30\tS1-9", "S1-40\tX-1", "S1-50\tS2-1,,S3-2",
+    "S1-60\tS2-999999", "S1-70", "", "S1-5\tS2-3", "S1-80\tS2-3\textra",
+]
+_LIST_SQL = "l AS (SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, {O.q(x)})" for i, x in enumerate(_LINES)) + ") v(line_no, value)), b AS (SELECT line_no::BIGINT AS line_no, value, string_split(value, chr(9)) AS c FROM l WHERE line_no > 1 AND trim(value) <> ''), r AS (SELECT line_no, trim(c[1]) AS s1_id, len(c) < 2 AS malformed, CASE WHEN trim(coalesce(array_to_string(c[2:], chr(9)), '')) = '' THEN [] ELSE string_split(array_to_string(c[2:], chr(9)), ',') END AS ids FROM b), x AS (SELECT line_no, s1_id, unnest(ids) AS id FROM r WHERE NOT malformed)"
+
+
+def _parsed(spark):
+    return entities.parse_lists(spark.createDataFrame([(i + 1, x) for i, x in enumerate(_LINES)], "line_no long, value string"))
+
+
+@_query(f"WITH {_LIST_SQL} SELECT line_no, s1_id, array_to_string(ids, '|') AS ids, malformed FROM r")
+def val_parse(spark, d):
+    return _parsed(spark).select("line_no", "s1_id", F.concat_ws("|", "ids").alias("ids"), "malformed")
+
+
+@_query("SELECT i::INT AS i, fault FROM (VALUES (0, false), (1, true), (2, true), (3, true)) v(i, fault)")
+def val_header(spark, d):
+    heads = ["source1_entity_id\tmatched_entity_ids", "source1_entity_id,matched_entity_ids", "id\tids", None]
+    return spark.createDataFrame([(i, validate._header_fault(h, validate.MATCHING_HEADER, "f") is not None) for i, h in enumerate(heads)], "i int, fault boolean")
+
+
+def _val(name: str, sql: str, f):
+    _query(f"WITH {O.ENT}, {_LIST_SQL} {sql}", name)(f)
+
+
+def _required(spark, d):
+    return entities.source(spark, d, "S1").select("entity_id")
+
+
+_val("val_malformed", "SELECT line_no FROM r WHERE malformed", lambda spark, d: validate.malformed(_parsed(spark)))
+_val("val_dup_rows", "SELECT s1_id, count(*) AS n FROM r WHERE NOT malformed GROUP BY 1 HAVING count(*) > 1", lambda spark, d: validate.duplicate_rows(_parsed(spark)))
+_val("val_dup_ids", "SELECT s1_id, array_to_string(ids, ',') AS ids FROM r WHERE NOT malformed AND len(ids) <> len(list_distinct(ids))", lambda spark, d: validate.duplicate_ids(_parsed(spark)))
+_val("val_self_match", "SELECT s1_id, id FROM x WHERE id LIKE 'S1-%'", lambda spark, d: validate.self_matches(_parsed(spark)))
+_val("val_prefix", "SELECT s1_id, id FROM x WHERE NOT regexp_matches(id, '^S[123]-')", lambda spark, d: validate.wrong_prefixes(_parsed(spark)))
+_val("val_unknown_ids", "SELECT s1_id, id FROM x WHERE regexp_matches(id, '^S[23]-') AND id NOT IN (SELECT entity_id FROM ent WHERE source <> 'S1')", lambda spark, d: validate.unknown_ids(_parsed(spark), _ent(spark, d).where("source <> 'S1'").select("entity_id")))
+_val("val_missing", "SELECT entity_id FROM ent WHERE source = 'S1' AND entity_id NOT IN (SELECT s1_id FROM r WHERE NOT malformed)", lambda spark, d: validate.missing_records(_parsed(spark), _required(spark, d)))
+_val("val_extra", "SELECT DISTINCT s1_id AS entity_id FROM r WHERE NOT malformed AND s1_id NOT IN (SELECT entity_id FROM ent WHERE source = 'S1')", lambda spark, d: validate.extra_records(_parsed(spark), _required(spark, d)))
+_val("val_subset", "SELECT DISTINCT s1_id, id FROM x WHERE (s1_id, id) NOT IN (SELECT s1_id, id FROM x WHERE line_no <= 6)", lambda spark, d: validate.not_candidates(_parsed(spark), _parsed(spark).where("line_no <= 6")))
+_val("val_stats", "SELECT count(*) AS rows, count_if(len(ids) > 0)::BIGINT AS non_empty, count_if(len(ids) = 0)::BIGINT AS empty FROM r WHERE NOT malformed", lambda spark, d: validate.row_stats(_parsed(spark)))
+_val("val_examples", "SELECT (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT id AS v FROM x ORDER BY v LIMIT 5)) AS examples, (SELECT count(DISTINCT id) FROM x) AS total", lambda spark, d: validate.examples(validate.listed(_parsed(spark)), "id"))
