@@ -85,7 +85,7 @@ def _span_hash(base: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 class Segmenter:
     def __init__(self, vocabulary: dict, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
         self.v, self.seed, self.variants = vocabulary, seed, max(1, variants)
-        self.limit = np.uint64(min(max(rate, 0.0), 1.0) * (2**64 - 1024))
+        self.limit = np.uint64(int(min(max(rate, 0.0), 1.0) * (2**64 - 2048)))
         data = vocabulary["data"]
         self.flat = np.frombuffer(b"".join(data), np.uint8)
         self.size = np.array([len(x) for x in data], np.int64)

@@ -169,14 +169,14 @@ def sanitised(docs: DataFrame, spans: DataFrame) -> DataFrame:
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64(text)))
     tag = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("tag")))
     cut = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("tag")))
-    plan = spans.select("key", F.array_sort(F.concat(tag, cut)).alias("_cuts")).where(F.size("_cuts") > 0).distinct()
+    plan = spans.select("key", F.array_sort(F.concat(tag, cut)).alias("__pii_cuts")).where(F.size("__pii_cuts") > 0).distinct()
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         ahead = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.when(ahead, F.concat(F.substr(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"]), s["tag"])).otherwise(F.lit("")))
+        piece = F.concat(acc["out"], F.when(ahead, F.concat(F.substr(F.col("__pii_text"), acc["at"] + 1, s["start"] - acc["at"]), s["tag"])).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
 
-    done = F.aggregate("_cuts", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    rows = docs.withColumns({"_text": text, "_key": key}).join(plan.withColumnRenamed("key", "_key"), "_key", "left")
-    return rows.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
+    done = F.aggregate("__pii_cuts", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("__pii_text"), acc["at"] + 1, F.length("__pii_text"))))
+    rows = docs.withColumns({"__pii_text": text, "__pii_key": key}).join(plan.withColumnRenamed("key", "__pii_key"), "__pii_key", "left")
+    return rows.withColumn("text", F.when(F.col("__pii_cuts").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
