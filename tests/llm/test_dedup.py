@@ -133,3 +133,40 @@ def test_suffix_array():
         for k in (2, 4, 300):
             t = rng.integers(1, k, n)
             assert suffix_dedup.suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+
+
+def jaccard(a, b, width=5):
+    x, y = set(simhash_trie.shingles(a, width)), set(simhash_trie.shingles(b, width))
+    return len(x & y) / max(1, len(x | y))
+
+
+@pytest.mark.parametrize("small", [64, 2])
+def test_similar_documents_are_found_and_others_kept(docs_of, monkeypatch, small):
+    monkeypatch.setattr(simhash_trie, "SMALL", small)
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i in range(60):
+        words = rng.choices(WORDS, k=rng.randint(60, 300))
+        rows.append((i, " ".join(words)))
+        for k in range(rng.randint(0, 3)):
+            other = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 80))):
+                other[rng.randrange(len(other))] = f"x{rng.random()}"
+            if jaccard(rows[i][1], " ".join(other)) >= 0.85:
+                want[1000 + 10 * i + k] = i
+                rows.append((1000 + 10 * i + k, " ".join(other)))
+    rows.sort()
+    kept = {r.doc_id for r in simhash_trie.representatives(docs_of(rows + [(None, rows[0][1]), (5000, ""), (5001, None)])).collect()}
+    assert kept == set(range(60)) | {None, 5000}
+
+
+def test_leaf_links_equal_brute_force():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 2**63, (30, simhash_trie.WORDS), dtype=np.uint64)
+    words[10:20] = words[:10] ^ np.uint64(7)
+    leaf, own, member = np.zeros(30, np.int64), np.ones(30, bool), np.arange(30)
+    for small in (64, 2):
+        simhash_trie.SMALL, before = small, simhash_trie.SMALL
+        label = simhash_trie.leaf_links(leaf, own, member, words, 20)
+        simhash_trie.SMALL = before
+        assert label.tolist() == [*range(10), *range(10), *range(20, 30)]
