@@ -20,7 +20,7 @@ def group_folds(pairs: DataFrame, k: int = 5) -> DataFrame:
     """s1_id, fold: groups dealt out in turn by size, so all pairs of a record share a fold and folds are even. Sizes are
     ranked within hash buckets, not in one window over all groups."""
     size = pairs.groupBy("s1_id").agg(F.count("*").alias("n"))
-    bucket = F.pmod(F.xxhash64("s1_id"), F.lit(64))
+    bucket = F.pmod(F.xxhash64("s1_id"), F.lit(1024))
     place = F.row_number().over(W.partitionBy(bucket).orderBy(F.desc("n"), "s1_id"))
     return size.select("s1_id", F.pmod(place + bucket - 1, F.lit(k)).cast("int").alias("fold"))
 

@@ -84,23 +84,41 @@ def class_balance(rows: DataFrame) -> DataFrame:
     return rows.agg(n.alias("n"), positive.alias("positives"), (n - positive).alias("negatives"), ((n - positive) / F.greatest(positive, F.lit(1))).alias("weight"), ratio(100.0 * positive, n).alias("positive_percent"))
 
 
+#: Cells of the score range that running sums go through.
+CELLS = 4096
+
+
 def _by_score(rows: DataFrame) -> DataFrame:
     """Positives and rows of each distinct score; what follows works on these, not on rows."""
     return rows.groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
 
 
+def running(rows: DataFrame, values: dict[str, Column], descending: bool = False) -> DataFrame:
+    """Sums of values over all scores up to and with a row's, for scores in 0..1. Scores are summed up by cell first; each
+    cell is then a window of its own that starts from the sum of the cells ahead, so no task sees all scores."""
+    cell = F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * CELLS).cast("int")
+    order = F.desc if descending else F.asc
+    marked = rows.withColumns({"_cell": cell, **{f"_v_{k}": v for k, v in values.items()}})
+    totals = marked.groupBy("_cell").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])  # at most CELLS + 1 rows
+    ahead = W.orderBy(order("_cell")).rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select("_cell", *[F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_b_{k}") for k in values])
+    own = W.partitionBy("_cell").orderBy(order("score")).rowsBetween(W.unboundedPreceding, 0)
+    joined = marked.join(F.broadcast(before), "_cell")
+    summed = joined.withColumns({k: F.col(f"_b_{k}") + F.sum(f"_v_{k}").over(own) for k in values})
+    return summed.select(*rows.columns, *values)
+
+
 def roc_auc(rows: DataFrame) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties half."""
-    below = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    own = _by_score(rows).withColumn("less", F.coalesce(F.sum(F.col("n") - F.col("p")).over(below), F.lit(0)))
-    wins = F.sum(F.col("p") * (F.col("less") + (F.col("n") - F.col("p")) / 2.0))
-    return own.agg(ratio(wins, F.sum("p") * F.sum(F.col("n") - F.col("p"))).alias("roc_auc"))
+    negatives = F.col("n") - F.col("p")
+    own = running(_by_score(rows), {"upto": negatives})
+    wins = F.sum(F.col("p") * (F.col("upto") - negatives / 2.0))
+    return own.agg(ratio(wins, F.sum("p") * F.sum(negatives)).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """Precision at each distinct score, weighted by the recall that it adds."""
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    own = _by_score(rows).withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down)})
+    own = running(_by_score(rows), {"tp": F.col("p"), "seen": F.col("n")}, descending=True)
     return own.agg(ratio(F.sum(F.col("p") * F.col("tp") / F.col("seen")), F.sum("p")).alias("average_precision"))
 
 
