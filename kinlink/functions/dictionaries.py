@@ -74,6 +74,11 @@ Ile-de-France=paris, seine-et-marne, yvelines, essonne, hauts-de-seine, seine-sa
     for place in places.split(", ")
 ]
 
+#: Places that the bulk profile does not know.
+FRANCE_PLACES_NOT_BULK = _list("la teste-de-buch; lege-cap-ferret; la baule-escoublac; saint-herblain")
+
+INDIA_ALIASES_BULK = _pairs("tamilnadu=Tamil Nadu; orissa=Odisha; uttaranchal=Uttarakhand")
+
 LEGAL_WORDS = "corp corporation inc incorporated llc ltd limited pvt private co company gmbh sa sas sarl".split()
 STOPWORDS = "the and of in at on for by de la le du des et".split()
 
@@ -130,6 +135,7 @@ POSSESSIVE = r"['’]s\b"
 NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 # ------------------------------------------------------------------------------------------------------------------
 
+FRANCE_PLACES_BULK = [x for x in FRANCE_PLACES if x[0] not in FRANCE_PLACES_NOT_BULK]
 US_52 = [n for _, n in US_STATES]
 US_CODES = [(c.lower(), n) for c, n in US_STATES]
 US_51 = [(c, n) for c, n in US_STATES if c != "PR"]

@@ -62,11 +62,11 @@ def state_india(address: Column) -> Column:
     return F.coalesce(_first_known(names, _lower(D.INDIA_STATES)), _anywhere(low, _lower(D.INDIA_STATES)))
 
 
-def state_france(address: Column) -> Column:
+def state_france(address: Column, places: list[tuple[str, str]] = D.FRANCE_PLACES) -> Column:
     """A region's name inside the text; else a place as one of the last two parts; else a longer place anywhere."""
     low = F.lower(transliterate(address, False))
     names = F.transform(tail(parts(low), 2), lambda p: stripped(F.regexp_replace(p, r"[^a-z\s-]", "")))
-    return F.coalesce(_anywhere(low, _lower(D.FRANCE_REGIONS), whole=False), _first_known(names, D.FRANCE_PLACES), _anywhere(low, [x for x in D.FRANCE_PLACES if len(x[0]) > 3]))
+    return F.coalesce(_anywhere(low, _lower(D.FRANCE_REGIONS), whole=False), _first_known(names, places), _anywhere(low, [x for x in places if len(x[0]) > 3]))
 
 
 def _lookup_us(full: bool = True, rows=None) -> list[tuple[str, str]]:
@@ -133,14 +133,14 @@ def state_bulk_india(address: Column) -> Column:
 
 
 def _lookup_india_bulk() -> list[tuple[str, str]]:
-    return list(dict([(c.lower(), n) for c, n in D.INDIA_CODES] + [(n.lower(), n) for _, n in D.INDIA_CODES] + [x for x in D.INDIA_ALIASES if x[0] in ("tamilnadu", "orissa", "pondicherry")]).items())
+    return list(dict([(c.lower(), n) for c, n in D.INDIA_CODES] + [(n.lower(), n) for _, n in D.INDIA_CODES] + D.INDIA_ALIASES_BULK).items())
 
 
 _STATES = {
     "package": (state_us, state_india, state_france),
     "notebook": (state_notebook_us, state_notebook_india, state_notebook_france),
     "notebook_test": (state_notebook_us, state_notebook_india, state_france),
-    "bulk": (state_bulk_us, state_bulk_india, state_france),
+    "bulk": (state_bulk_us, state_bulk_india, lambda a: state_france(a, D.FRANCE_PLACES_BULK)),
     "gated": (lambda a: state_notebook_us(a, full=False), lambda a: state_notebook_india(a, gated=True), lambda a: state_notebook_france(a, gated=True)),
 }
 

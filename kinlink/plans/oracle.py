@@ -94,7 +94,13 @@ A = "coalesce(business_address, '')"
 US = f"""coalesce({first_known(f"list_transform(flatten(list_transform({tail(parts(A), 3)}, lambda p: string_split_regex(p, '\\s+'))), lambda w: lower(regexp_replace(w, '[^a-zA-Z]', '', 'g')))", D.US_CODES)}, {anywhere(f"lower({A})", low(D.US_52))})"""
 INDIA = f"""coalesce({first_known(f"list_transform({tail(parts(f'lower({A})'), 2)}, lambda p: {strip(rr('p', '[^a-z ]', ''))})", low(D.INDIA_STATES))}, {anywhere(f"lower({A})", low(D.INDIA_STATES))})"""
 FL = f"lower({latin(A)})"
-FRANCE = f"""coalesce({anywhere(FL, low(D.FRANCE_REGIONS), False)}, {first_known(f"list_transform({tail(parts(FL), 2)}, lambda p: {strip(rr('p', '[^a-z -]', ''))})", D.FRANCE_PLACES)}, {anywhere(FL, [x for x in D.FRANCE_PLACES if len(x[0]) > 3])})"""
+
+
+def france(places) -> str:
+    return f"""coalesce({anywhere(FL, low(D.FRANCE_REGIONS), False)}, {first_known(f"list_transform({tail(parts(FL), 2)}, lambda p: {strip(rr('p', '[^a-z -]', ''))})", places)}, {anywhere(FL, [x for x in places if len(x[0]) > 3])})"""
+
+
+FRANCE = france(D.FRANCE_PLACES)
 STATE = f"CASE WHEN {strip(A)} = '' THEN NULL WHEN trim(country) = 'US' THEN {US} WHEN trim(country) = 'India' THEN {INDIA} WHEN trim(country) = 'France' THEN {FRANCE} END"
 
 
@@ -123,7 +129,7 @@ def bulk_states() -> str:
     def one(pairs):
         return f"""coalesce({first_known(f"list_transform({tail(parts(FL), 2)}, lambda p: {strip(rr('p', '[^a-z ]', ''))})", pairs)}, {anywhere(FL, [p for p in pairs if len(p[0]) > 2])})"""
 
-    return f"CASE WHEN {strip(A)} = '' THEN NULL WHEN trim(country) = 'US' THEN {one(geo._lookup_us(rows=D.US_STATES))} WHEN trim(country) = 'India' THEN {one(geo._lookup_india_bulk())} WHEN trim(country) = 'France' THEN {FRANCE} END"
+    return f"CASE WHEN {strip(A)} = '' THEN NULL WHEN trim(country) = 'US' THEN {one(geo._lookup_us(rows=D.US_STATES))} WHEN trim(country) = 'India' THEN {one(geo._lookup_india_bulk())} WHEN trim(country) = 'France' THEN {france(D.FRANCE_PLACES_BULK)} END"
 
 
 FIRST = strip(f"string_split({A}, ',')[1]")

@@ -104,3 +104,11 @@ def test_words_and_columns(spark):
 def test_every_profile_runs(spark):
     for p in PROFILES.values():
         assert linkage.normalized(golden.golden(spark), p).count() == len(golden.RECORDS)
+
+
+def test_bulk_knows_fewer_places(spark):
+    rows = spark.createDataFrame([("2 r, Saint-Herblain", "France"), ("9, Pune, Uttaranchal", "India"), ("9, Pondicherry", "India")], "a string, c string")
+    by = {p: [r[0] for r in rows.select(geo.state(F.col("a"), F.col("c"), p)).collect()] for p in ("bulk", "notebook", "package")}
+    assert by["bulk"] == [None, "Uttarakhand", None]
+    assert by["notebook"] == [None, "Uttarakhand", "Puducherry"]
+    assert by["package"] == ["Pays de la Loire", None, None]
