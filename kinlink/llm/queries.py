@@ -92,5 +92,60 @@ FROM p JOIN m ON p.body = m.body JOIN e ON e.h = p.h
 """
 
 
+_RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[ -]?[0-9])+",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+}
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_AT = "(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0))::INT"
+_WORD = r"\p{L}[\p{L}\p{N}]*"
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce("text", '') AS t, coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce("text", '')) AS key FROM documents),
+u AS (SELECT key, any_value(t) AS t, count(*) AS n FROM d GROUP BY key),
+loc AS ({" UNION ALL ".join(f"SELECT key, {i} AS rank, '{k}' AS kind, regexp_extract_all(t, '{r}') AS v, string_split_regex(t, '{r}') AS g FROM u" for i, (k, r) in enumerate(_RULES.items()))}),
+every AS (SELECT key, rank, kind, v[i] AS value, {_AT} AS s FROM loc, range(1, len(v) + 1) x(i)),
+b AS (SELECT *, s + length(value)::INT AS e FROM every WHERE CASE kind WHEN 'email' THEN true
+   WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda p: coalesce(try_cast(p AS HUGEINT) <= 255, false))) = 4
+   WHEN 'card' THEN length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length({_DIGITS})), lambda j:
+     CASE WHEN j % 2 = 0 THEN substr(reverse({_DIGITS}), j + 1, 1)::INT ELSE (substr(reverse({_DIGITS}), j + 1, 1)::INT * 2) % 10 + (substr(reverse({_DIGITS}), j + 1, 1)::INT * 2) // 10 END)) % 10 = 0
+   ELSE length({_DIGITS}) BETWEEN 8 AND 15 END),
+c AS (SELECT b.key, kind || ':' || CASE WHEN kind = 'email' THEN lower(value) ELSE regexp_replace(value, '[^0-9.]', '', 'g') END AS entity, s, e,
+   CASE WHEN s > 80 THEN regexp_replace(substr(t, s - 79, 80), '^\\S+', '') ELSE substr(t, 1, s) END AS l,
+   CASE WHEN e + 80 < length(t) THEN regexp_replace(substr(t, e + 1, 80), '\\S+$', '') ELSE substr(t, e + 1, 80) END AS r FROM b JOIN u ON u.key = b.key),
+cw AS (SELECT key, entity, s - length(l)::INT AS off, true AS is_left, regexp_extract_all(l, '{_WORD}') AS v, string_split_regex(l, '{_WORD}') AS g FROM c
+   UNION ALL SELECT key, entity, e, false, regexp_extract_all(r, '{_WORD}'), string_split_regex(r, '{_WORD}') FROM c),
+near AS (SELECT DISTINCT key, entity, lower(v[i]) AS term, off + {_AT} AS s, off + {_AT} + length(v[i])::INT AS e FROM cw, range(1, len(v) + 1) x(i) WHERE CASE WHEN is_left THEN i > len(v) - 5 ELSE i <= 5 END),
+free AS (SELECT * FROM near WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = near.key AND near.s < b.e AND b.s < near.e)),
+pe AS (SELECT entity, term, sum(n) AS both_ FROM (SELECT DISTINCT key, entity, term FROM free) f JOIN u ON u.key = f.key GROUP BY ALL HAVING sum(n) >= 2),
+de AS (SELECT entity, sum(n) AS df FROM (SELECT DISTINCT key, entity FROM c) x JOIN u ON u.key = x.key GROUP BY 1),
+dt AS (SELECT term, sum(n) AS df FROM (SELECT n, unnest(list_distinct(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM u) GROUP BY 1),
+n AS (SELECT count(*) AS n FROM d),
+hit AS (SELECT entity, term FROM pe JOIN de USING (entity) JOIN dt USING (term), n WHERE n > de.df AND ln((both_ * n / (dt.df * de.df))::DOUBLE) / ln((n / de.df)::DOUBLE) >= 0.8),
+tm AS (SELECT DISTINCT free.key, s, e FROM free JOIN hit USING (entity, term)),
+ba AS (SELECT key, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS x, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _RULES)} FROM b GROUP BY key),
+ta AS (SELECT key, string_agg('term:' || s || ':' || e, ',' ORDER BY s, e) AS x, count(*) AS n_term FROM tm GROUP BY key)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _RULES)}, sha256(coalesce(ba.x, '')) AS base_sha256, concat_ws(',', ba.x, ta.x) AS spans, coalesce(n_term, 0) AS n_term
+FROM d LEFT JOIN ba ON ba.key = d.key LEFT JOIN ta ON ta.key = d.key
+"""
+
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce("text", '')) AS b FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT k, doc_id, i, array_slice(b, i, i + 49) AS s FROM d, range(1, octet_length(b) - 48) t(i)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+g AS (SELECT w.k, w.i, lag(w.i) OVER (PARTITION BY w.k ORDER BY w.i) AS p FROM w JOIN m ON w.s = m.s WHERE m.least < w.doc_id),
+r AS (SELECT k, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS run FROM g),
+sp AS (SELECT k, run, min(i) AS a, max(i) + 49 AS z FROM r GROUP BY k, run),
+n AS (SELECT k, count(*) AS n_spans, sum(z - a + 1)::BIGINT AS n_removed, max(z) AS z FROM sp GROUP BY k),
+cut AS (SELECT k, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM sp
+        UNION ALL SELECT d.k, coalesce(n.z, 0) + 1, octet_length(d.b) FROM d LEFT JOIN n ON n.k = d.k),
+h AS (SELECT d.k, string_agg(hex(array_slice(d.b, cut.f, cut.t)), '' ORDER BY cut.f) AS x FROM cut JOIN d ON d.k = cut.k WHERE cut.f <= cut.t GROUP BY d.k)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(n.n_removed, 0) AS n_removed, coalesce(n.n_spans, 0) AS n_spans, sha256(unhex(coalesce(h.x, ''))) AS kept_sha256
+FROM d LEFT JOIN n ON n.k = d.k LEFT JOIN h ON h.k = d.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_snapshot_collapse": OP1_SQL, "op9_warc_store": OP9_SQL}
+    return {"op1_snapshot_collapse": OP1_SQL, "op6_disclosure_sanitiser": OP6_SQL, "op9_warc_store": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
