@@ -184,3 +184,17 @@ def test_benchmark_by_shuffle_equals_broadcast(spark, docs_of, monkeypatch):
 def test_no_python_in_native_plans(spark, docs_of):
     for df in (sanitise.find_base(docs_of([(1, "a@b.c")])), decontam.contamination(docs_of([(1, ITEM)]), items(spark, [(7, ITEM)]))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_spans_equal_sql(docs_of):
+    rows = [(i, f"word {i % 5} near zebrafish or heron ann{i % 2}@x.org, +1 415 555 267{i % 10} then owl 4111 1111 1111 1111 stone") for i in range(12)]
+    rows += list(enumerate(PRIVATE, 100)) + [(200, None), (3, rows[3][1])]
+    con = duckdb.connect()
+    con.execute('create table documents (doc_id bigint, "text" varchar)')
+    con.executemany("insert into documents values (?, ?)", rows)
+    result = con.execute(queries.OP6_SQL)
+    names = [c[0] for c in result.description]
+    want = sorted(map(str, result.fetchall()))
+    got = sanitise.spans_report(sanitise.find_spans(docs_of(rows))).select(*names).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    assert any(r.n_term for r in got)
