@@ -181,14 +181,15 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
     """Alternating large-star and small-star contraction; node, root for every node of an edge. Each round is a
-    written table, and only minima of a node's neighbours are gathered, never their lists."""
+    written table, and only minima of a node's neighbours are gathered, never their lists; a node with very many
+    neighbours is spread over tasks when its minimum is looked up."""
     pairs = materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc")
     while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_lookup(both, low, "u", "v", how="inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = salted_lookup(large, least, "u", "v", how="inner").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
         if new.exceptAll(pairs).isEmpty() and pairs.exceptAll(new).isEmpty():
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
