@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Used where the session names no shared folder (single-machine runs and tests).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+_LOCAL: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -22,7 +25,13 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/kinlink/{tag}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which can go when the application has ended."""
+    root = scratch_root(spark)
+    own = f"{root}/kinlink/{spark.sparkContext.applicationId}"
+    if root == LOCAL_CHECKPOINTS and own not in _LOCAL:
+        _LOCAL.add(own)
+        atexit.register(shutil.rmtree, own.removeprefix("file://"), True)
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
