@@ -27,8 +27,8 @@ def group_folds(pairs: DataFrame, k: int = 5) -> DataFrame:
 
 def balanced(train: DataFrame) -> DataFrame:
     """train with `weight`: negatives per positive for positives, else 1."""
-    w = metrics.class_balance(train).select(F.col("weight").alias("_w"))
-    return train.crossJoin(F.broadcast(w)).withColumn("weight", F.when(F.col("label") == 1, F.col("_w")).otherwise(1.0)).drop("_w")  # one row
+    w = metrics.class_balance(train).first().weight
+    return train.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(w or 1.0))).otherwise(1.0))
 
 
 def classifier(seed: int, trees: int = 100, validation: str | None = None) -> Pipeline:

@@ -66,8 +66,9 @@ def blocking_recall(s1: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def reduction_ratio(s1: DataFrame, pool: DataFrame, candidates: DataFrame) -> DataFrame:
     """Share of the pair space that blocking leaves out."""
-    a, b, c = (d.agg(F.count("*").alias(n)) for d, n in ((s1, "a"), (pool, "b"), (candidates, "kept")))
-    return a.crossJoin(b).crossJoin(c).select((F.col("a") * F.col("b")).alias("pairs"), "kept", (1.0 - ratio(F.col("kept"), F.col("a") * F.col("b"))).alias("reduction"))  # one row each
+    counts = reduce(DataFrame.union, [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, d in enumerate((s1, pool, candidates))])
+    sums = counts.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(c) for k, c in enumerate(("a", "b", "kept"))])
+    return sums.select((F.col("a") * F.col("b")).alias("pairs"), "kept", (1.0 - ratio(F.col("kept"), F.col("a") * F.col("b"))).alias("reduction"))
 
 
 def compared(runs: dict[str, DataFrame]) -> DataFrame:

@@ -69,8 +69,9 @@ def row_stats(rows: DataFrame) -> DataFrame:
 def examples(offending: DataFrame, column: str, most: int = 5) -> DataFrame:
     """One row: the first few values in order, and how many there are. Only `most` rows per task travel."""
     values = offending.select(F.col(column).cast("string").alias("v")).distinct()
-    first = values.orderBy("v").limit(most).agg(F.concat_ws(", ", F.array_sort(F.collect_list("v"))).alias("examples"))
-    return first.crossJoin(values.agg(F.count("*").alias("total")))  # one row each
+    first = values.orderBy("v").limit(most).select("v", F.lit(0).cast("long").alias("n"))
+    both = first.union(values.agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("v"), "n"))
+    return both.agg(F.concat_ws(", ", F.array_sort(F.collect_list("v"))).alias("examples"), F.max("n").alias("total"))
 
 
 @dataclass
