@@ -137,10 +137,10 @@ def disclosing(docs: DataFrame, near: DataFrame, found: DataFrame, threshold: fl
     entities = found.where(F.size("base") > 0).select("key", entity.alias("entity")).distinct().join(weight, "key").groupBy("entity").agg(F.sum("rows").alias("df_e"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("df_t"))
-    total = found.agg(F.count("*").alias("n"))
-    joined = pairs.join(entities, "entity").join(terms, "term").join(F.broadcast(total))  # total: one row
-    gain = F.ln(F.col("both") * F.col("n") / (F.col("df_t") * F.col("df_e"))) / F.ln(F.col("n") / F.col("df_e"))
-    return joined.where("n > df_e").select("entity", "term", gain.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    total = F.lit(found.count())
+    joined = pairs.join(entities, "entity").join(terms, "term").where(F.col("df_e") < total)
+    gain = F.ln(F.col("both") * total / (F.col("df_t") * F.col("df_e"))) / F.ln(total / F.col("df_e"))
+    return joined.select("entity", "term", gain.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
 def find_spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
