@@ -38,7 +38,7 @@ from kinlink.llm.common import materialise, release_shuffles, shards, text_table
 LENGTH, SEED, HOT = 50, 20, 20_000
 #: Bytes of text that are hashed at a time (a bound on arrays; a longer text is cut with overlap), and bytes of
 #: contexts that are sorted together.
-SLICE, SORT = 1 << 20, 1 << 21
+SLICE, SORT = 1 << 15, 1 << 21
 _PLACE = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
