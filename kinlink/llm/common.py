@@ -76,3 +76,13 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, by: str, salts: i
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(F.col(by)), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def trim() -> None:
+    """Give freed memory back: a Python worker lives on after its task, and what it keeps is lost to the others."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -31,19 +31,22 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import drop_path, release_shuffles, scratch_path, shards
+from kinlink.llm.common import drop_path, release_shuffles, scratch_path, shards, trim
 
 BURN_IN, SAMPLES, STRENGTH, SEED = 2, 2, 1.0, 11
 STIRLING = 48
 #: Names of the end token and of the context at a text's start; tokens that are counted together in a task.
-END, START, CHUNK = 1, 2, 1 << 20
+END, START, CHUNK = 1, 2, 3 << 18
 _MASK = (1 << 48) - 1
+#: Partial sums of logarithms travel as integers in units of 2 ** -30, so they add up the same in any order.
+FIXED = float(1 << 30)
 MESSAGE_SQL = "kind int, shard int, src long, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary, b5 binary, b6 binary"
 STATE, LINES, ANSWER, TOTAL, TOKENS, TEXTS = range(6)
 
@@ -76,35 +79,36 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _tokens(texts: list[str | None]):
-    """Names of words in order, and for each token: its word, the word before it, its text. Ends are tokens."""
+    """Sorted names of words, and for each token: its word, the word before it, its text. Ends are tokens."""
     index: dict = defaultdict()
     index.default_factory = index.__len__
-    flat: list[int] = []
-    size = []
+    parts, size = [], []
     for text in texts:
         words = words_of(text)
-        size.append(len(words))
-        flat.extend(map(index.__getitem__, words))
-        flat.append(-1)
+        size.append(len(words) + 1)
+        parts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+        parts.append(np.array([-1], np.int32))
     names = np.array([xxhash.xxh64_intdigest(w) & _MASK for w in index] + [START, END], np.int64)
-    w = np.array(flat, np.int64)
-    w[w < 0] = len(names) - 1
-    size = np.array(size, np.int64) + 1
+    del index
+    order = np.argsort(names)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    w = place[np.concatenate(parts)]  # -1: the end, which is the last name
+    size = np.array(size, np.int64)
     u = np.r_[0, w[:-1]]
-    u[np.cumsum(size) - size] = len(names) - 2
-    return names, w, u, np.repeat(np.arange(len(texts)), size)
+    u[np.cumsum(size) - size] = place[-2]
+    return names[order], w, u, np.repeat(np.arange(len(texts)), size)
 
 
-def _chunks(texts: list, limit: int = CHUNK):
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        own = len(text or "") // 6 + 1
-        if i > start and size + own > limit:
-            yield start, i
-            start, size = i, 0
-        size += own
-    if start < len(texts):
-        yield start, len(texts)
+def _chunks(column: pa.Array, limit: int = CHUNK):
+    """Ranges of texts with about `limit` words together, one text at least."""
+    size = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False) // 6 + 1)
+    start = 0
+    while start < len(size):
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + limit)))
+        yield start, end
+        start = end
 
 
 def _deal(u: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
@@ -119,13 +123,14 @@ def _by_shard(shard: np.ndarray, n: int):
     return ((s, order[cut[s] : cut[s + 1]]) for s in range(n) if cut[s] < cut[s + 1])
 
 
-def _named(names: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted names that are used, and u and w as places among them."""
-    used = np.unique(np.concatenate([u, w]))
-    order = used[np.argsort(names[used], kind="stable")]
-    place = np.zeros(len(names), np.int64)
-    place[order] = np.arange(len(order))
-    return names[order], place[u], place[w]
+def _named(names: np.ndarray, u: np.ndarray, w: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names that are used, in order, and u and w as places among them. place: room for a number for each name."""
+    mark = np.zeros(len(names), bool)
+    mark[u] = True
+    mark[w] = True
+    used = np.flatnonzero(mark)
+    place[used] = np.arange(len(used))
+    return names[used], place[u], place[w]
 
 
 def _count_step(n: int):
@@ -133,17 +138,21 @@ def _count_step(n: int):
 
     def run(batches):
         for b in batches:
-            texts, held = b.column("text").to_pylist(), b.column("held_out").to_numpy(zero_copy_only=False)
-            rows = []
-            for i, j in _chunks(texts):
-                names, w, u, text = _tokens(texts[i:j])
-                key, at = np.unique(u * len(names) + w, return_inverse=True)
-                count = np.bincount(at, weights=~held[i:j][text], minlength=len(key)).astype(np.int64)
-                u, w = key // len(names), key % len(names)
+            held = b.column("held_out").to_numpy(zero_copy_only=False)
+            for i, j in _chunks(b.column("text")):
+                names, w, u, text = _tokens(b.column("text")[i:j].to_pylist())
+                key = np.sort((w * len(names) + u) * 2 + held[i:j][text])  # of one pair, training tokens first
+                pair = key >> 1
+                first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+                count = np.add.reduceat(1 - (key & 1), first)
+                w, u = np.divmod(pair[first], len(names))
+                del key, pair
+                rows, place = [], np.zeros(len(names), np.int64)
                 for s, own in _by_shard(_deal(names[u], names[w], n), n):
-                    used, pu, pw = _named(names, u[own], w[own])
-                    rows.append((TOKENS, s, 0, pack(used, True), pack(pu), pack(pw), pack(count[own])))
-            yield from _messages(rows).to_batches()
+                    used, pu, pw = _named(names, u[own], w[own], place)
+                    rows.append((TOKENS, s, 0, pack(used, True), pack(pu), pack(pw, True), pack(count[own])))
+                yield from _messages(rows).to_batches()
+            trim()
 
     return run
 
@@ -154,32 +163,64 @@ def _token_step(n: int):
     def run(batches):
         task, seq = TaskContext.get().partitionId(), 0
         for b in batches:
-            texts, held = b.column("text").to_pylist(), b.column("held_out").to_numpy(zero_copy_only=False)
+            held = b.column("held_out").to_numpy(zero_copy_only=False)
             ids = b.column("doc_id")
             null = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            rows = []
-            for i, j in _chunks(texts):
-                names, w, u, text = _tokens(texts[i:j])
+            for i, j in _chunks(b.column("text")):
+                names, w, u, text = _tokens(b.column("text")[i:j].to_pylist())
                 chunk, seq = (task << 32) | seq, seq + 1
-                rows.append((TEXTS, chunk % n, chunk, pack(ids[i:j].view(np.int64)), pack(held[i:j].astype(np.int64)), pack(null[i:j].astype(np.int64)), pack(np.bincount(text, minlength=j - i))))
-                order = np.lexsort((u, w, text))
-                u, w, text = u[order], w[order], text[order]
-                first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (text[1:] != text[:-1])])
-                times = np.diff(np.r_[first, len(u)])
-                u, w, text = u[first], w[first], text[first]
+                rows = [(TEXTS, chunk % n, chunk, pack(ids[i:j].view(np.int64)), pack(held[i:j].astype(np.int64)), pack(null[i:j].astype(np.int64)), pack(np.bincount(text, minlength=j - i)))]
+                size = len(names)
+                if (j - i) * size * size < 2**62:
+                    key = np.sort((w * size + u) * (j - i) + text)
+                    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                    times = np.diff(np.r_[first, len(key)])
+                    rest, text = np.divmod(key[first], j - i)
+                    w, u = np.divmod(rest, size)
+                    del key, rest
+                else:
+                    order = np.lexsort((text, u, w))
+                    u, w, text = u[order], w[order], text[order]
+                    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (text[1:] != text[:-1])])
+                    times = np.diff(np.r_[first, len(u)])
+                    u, w, text = u[first], w[first], text[first]
+                place = np.zeros(size, np.int64)
                 for s, own in _by_shard(_deal(names[u], names[w], n), n):
-                    used, pu, pw = _named(names, u[own], w[own])
-                    rows.append((TOKENS, s, chunk, pack(used, True), pack(pu), pack(pw), pack(text[own], True), pack(times[own])))
-            yield from _messages(rows).to_batches()
+                    used, pu, pw = _named(names, u[own], w[own], place)
+                    rows.append((TOKENS, s, chunk, pack(used, True), pack(pu), pack(pw, True), pack(text[own]), pack(times[own])))
+                yield from _messages(rows).to_batches()
+            trim()
 
     return run
 
 
+def _word_tasks(n: int) -> int:
+    """Words are far fewer than tokens, and each pair task writes to each word task."""
+    return max(1, n // 4)
+
+
 def _lines(shard: int, words: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray, n: int) -> list[tuple]:
     """To each word task: its words here with customers and tables, as restaurant and as dish."""
     sums = [np.bincount(k, weights=v, minlength=len(words)).astype(np.int64) for k, v in ((u, c), (u, t), (w, c), (w, t))]
-    return [(LINES, s, shard, pack(words[own], True), *(pack(x[own]) for x in sums)) for s, own in _by_shard(_deal(words, words, n), n)]
+    return [(LINES, s, shard, pack(words[own], True), *(pack(x[own]) for x in sums)) for s, own in _by_shard(_deal(words, words, _word_tasks(n)), _word_tasks(n))]
+
+
+def _rows(table: pa.Table, columns: tuple[str, ...], keep=None):
+    """Rows of some columns, one at a time."""
+    for k in range(table.num_rows) if keep is None else keep:
+        yield [table.column(c)[k].as_py() for c in columns]
+
+
+def _every(parts) -> np.ndarray:
+    """The sorted union of sorted arrays; what is held grows with the union."""
+    held, size = [np.zeros(0, np.int64)], 0
+    for p in parts:
+        held.append(p)
+        size += len(p)
+        if size > 4 * len(held[0]) + (1 << 18):
+            held, size = [np.unique(np.concatenate(held))], 0
+    return np.unique(np.concatenate(held))
 
 
 def _start_step(n: int):
@@ -187,21 +228,25 @@ def _start_step(n: int):
 
     def run(key, table):
         shard = key[0].as_py()
-        parts = []
-        for r in table.select(["b0", "b1", "b2", "b3"]).to_pylist():
-            words = unpack(r["b0"], True)
-            parts.append((words[unpack(r["b1"])], words[unpack(r["b2"])], unpack(r["b3"])))
-        u, w, c = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((u, w))
-        u, w, c = u[order], w[order], c[order]
-        first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-        u, w, c = u[first], w[first], np.add.reduceat(c, first)
-        words, at = np.unique(np.concatenate([u, w]), return_inverse=True)
-        u, w = at[: len(u)], at[len(u) :]
+        words = _every(unpack(x.as_py(), True) for x in table.column("b0"))
+        keys, counts = [], []
+        for r in _rows(table, ("b0", "b1", "b2", "b3")):
+            place = np.searchsorted(words, unpack(r[0], True))
+            keys.append(place[unpack(r[2], True)] * len(words) + place[unpack(r[1])])
+            counts.append(unpack(r[3]).astype(np.int32))
+        key, c = np.concatenate(keys), np.concatenate(counts)
+        del keys, counts
+        order = np.argsort(key)
+        key, c = key[order], c[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        w, u = np.divmod(key[first], len(words))
+        c = np.add.reduceat(c, first).astype(np.int64)
+        del key, order, first
         seen = c > 0
         u, w, c = u[seen], w[seen], c[seen]  # words of unseen pairs stay in `words`, so their lines ask for answers
         t = np.ones(len(c), np.int64)
-        rows = [(STATE, shard, 0, pack(words, True), pack(u), pack(w), pack(c), pack(t), pack(np.zeros(len(c), np.int64)))]
+        trim()
+        rows = [(STATE, shard, 0, pack(words, True), pack(u), pack(w, True), pack(c), pack(t), pack(np.zeros(len(c), np.int64)))]
         rows.append((TOTAL, 0, 0, pack(np.array([(c == 1).sum(), (c == 2).sum()]))))
         return _messages(rows + _lines(shard, words, u, w, c, t, n))
 
@@ -249,20 +294,21 @@ def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, stre
     return np.minimum(t, np.maximum(c, 0))
 
 
-def _answers(table: dict, words: np.ndarray, fields: int) -> list[np.ndarray]:
-    """The answers of all word tasks, put in the order of words."""
-    parts = [(unpack(r["b0"], True), *(unpack(r[f"b{k + 1}"]) for k in range(fields))) for r in table]
-    cols = [np.concatenate(x) for x in zip(*parts)]
-    order = np.argsort(cols[0], kind="stable")
-    assert np.array_equal(cols[0][order], words)
-    return [x[order] for x in cols[1:]]
+def _answers(rows: list[dict], words: np.ndarray, n: int, fields: tuple[str, ...]) -> list[np.ndarray]:
+    """What the word tasks answered, in the order of words. Answers come in the order of the lines that asked."""
+    found = {r["src"]: r for r in rows}
+    out = [np.zeros(len(words), np.int64) for _ in fields]
+    for s, own in _by_shard(_deal(words, words, _word_tasks(n)), _word_tasks(n)):
+        for x, f in zip(out, fields):
+            x[own] = unpack(found[s][f])
+    return out
 
 
 def _parent(c0: np.ndarray, t0: np.ndarray, m: dict) -> np.ndarray:
     return (c0 - m["d0"] * t0 + (m["a"] + m["d0"] * m["T0"]) * m["base"]) / (m["a"] + m["C0"])
 
 
-def _word_step(m: dict, sweep: int):
+def _word_step(m: dict, sweep: int, last: bool):
     """Adds up a word's lines, draws its tables in the parent and answers every task that has the word."""
 
     def run(key, table):
@@ -277,7 +323,7 @@ def _word_step(m: dict, sweep: int):
         ends = np.cumsum([0, *(len(p[0]) for p in parts)])
         for r, a, b in zip(lines, ends, ends[1:]):
             own = at[a:b]
-            rows.append((ANSWER, r["src"], shard, r["b0"], pack(c_u[own]), pack(t_u[own]), pack(c0[own]), pack(t0[own]), pack(c_w[own])))
+            rows.append((ANSWER, r["src"], shard, *(pack(x[own]) for x in (t_u, c0, t0, *((c_u, c_w) if last else ())))))
         return _messages(rows)
 
     return run
@@ -290,8 +336,8 @@ def _pair_step(m: dict, sweep: int, n: int):
         shard, rows = key[0].as_py(), table.to_pylist()
         s = next(r for r in rows if r["kind"] == STATE)
         words = unpack(s["b0"], True)
-        u, w, c, t, total = (unpack(s[f"b{k}"]) for k in range(1, 6))
-        c_u, t_u, c0, t0 = _answers([r for r in rows if r["kind"] == ANSWER], words, 4)
+        u, w, c, t, total = (unpack(s[f"b{k}"], k == 2) for k in range(1, 6))
+        t_u, c0, t0 = _answers([r for r in rows if r["kind"] == ANSWER], words, n, ("b0", "b1", "b2"))
         p = _parent(c0, t0, m)
         rng = np.random.default_rng([m["seed"], 1000 + sweep, shard])
         t = draw_tables(c, np.maximum(t_u[u] - t, 0), p[w], m["d"], m["a"], rng)
@@ -302,41 +348,43 @@ def _pair_step(m: dict, sweep: int, n: int):
     return run
 
 
-def _score_step(m: dict):
+def _score_step(m: dict, n: int):
     """Sums of log probabilities of each chunk's texts over this shard's pairs."""
 
     def run(key, table):
-        rows = table.to_pylist()
+        kind = table.column("kind").to_numpy()
+        rows = table.filter(pa.array(kind != TOKENS)).to_pylist()
         out = [(TEXTS, 0, r["src"], r["b0"], r["b1"], r["b2"], r["b3"]) for r in rows if r["kind"] == TEXTS]
         state = next((r for r in rows if r["kind"] == STATE), None)
         if state is None:
             return _messages(out)
         words = unpack(state["b0"], True)
-        u, w, c, _, total = (unpack(state[f"b{k}"]) for k in range(1, 6))
-        key_, at_most = u * len(words) + w, len(words)
-        order = np.argsort(key_, kind="stable")
-        key_, c, total = key_[order], c[order], total[order]
+        u, w, c, total = unpack(state["b1"]), unpack(state["b2"], True), unpack(state["b3"]), unpack(state["b5"])
+        key_, at_most = w * len(words) + u, len(words)  # pairs are kept in this order
         samples = []
         for k in range(m["samples"]):
-            c_u, t_u, c0, t0, c_w = _answers([r for r in rows if r["kind"] == ANSWER + 10 * (k + 1)], words, 5)
-            one = m["models"][k]
+            own, one = [r for r in rows if r["kind"] == ANSWER + 10 * (k + 1)], m["models"][k]
+            if k == m["samples"] - 1:
+                c_u, c_w = _answers(own, words, n, ("b3", "b4"))
+            t_u, c0, t0 = _answers(own, words, n, ("b0", "b1", "b2"))
             samples.append((m["a"] + m["d"] * t_u, _parent(c0, t0, one)))
         known = c_w > 0
         base = np.log10((c_w + 0.1) / (m["N"] + 0.1 * (m["V"] + 1)))
-        for r in rows:
-            if r["kind"] != TOKENS:
-                continue
-            own = np.searchsorted(words, unpack(r["b0"], True))
-            tu, tw, text, times = own[unpack(r["b1"])], own[unpack(r["b2"])], unpack(r["b3"], True), unpack(r["b4"])
-            at = np.minimum(np.searchsorted(key_, tu * at_most + tw), max(len(key_) - 1, 0))
-            hit = key_[at] == tu * at_most + tw if len(key_) else np.zeros(len(tu), bool)
+        for src, *r in _rows(table, ("src", "b0", "b1", "b2", "b3", "b4"), np.flatnonzero(kind == TOKENS).tolist()):
+            own = np.searchsorted(words, unpack(r[0], True))
+            tu, tw, text, times = own[unpack(r[1])], own[unpack(r[2], True)], unpack(r[3]), unpack(r[4])
+            asked = tw * at_most + tu
+            at = np.minimum(np.searchsorted(key_, asked), max(len(key_) - 1, 0))
+            hit = key_[at] == asked if len(key_) else np.zeros(len(tu), bool)
             seated = np.where(hit, c[at] - m["d"] * total[at] / m["samples"], 0.0) if len(key_) else np.zeros(len(tu))
             parent = sum(a[tu] * p[tw] for a, p in samples) / m["samples"]
             log = np.log10((seated + parent) / (m["a"] + c_u[tu]))
-            last = int(text[-1]) + 1 if len(text) else 0
+            last = int(text.max()) + 1 if len(text) else 0
             sums = [np.bincount(text, weights=x * times, minlength=last) for x in (log, base[tw], known[tw])]
             seen = np.flatnonzero(np.bincount(text, minlength=last))
-            out.append((TOKENS, 0, r["src"], pack(seen, True), sums[0][seen].tobytes(), sums[1][seen].tobytes(), pack(sums[2][seen].astype(np.int64))))
+            fixed = [np.rint(-x[seen] * FIXED).astype(np.int64) for x in sums[:2]]
+            out.append((TOKENS, 0, src, pack(seen, True), *map(pack, fixed), pack(sums[2][seen].astype(np.int64))))
+        trim()
         return _messages(out)
 
     return run
@@ -349,12 +397,13 @@ def _gather(key, table):
     rows = table.to_pylist()
     head = next(r for r in rows if r["kind"] == TEXTS)
     ids, held, null, size = (unpack(head[f"b{k}"]) for k in range(4))
-    score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-    for r in sorted((r for r in rows if r["kind"] == TOKENS), key=lambda r: r["b1"]):  # one order of sums
-        at = unpack(r["b0"], True)
-        score[at] += np.frombuffer(r["b1"])
-        base[at] += np.frombuffer(r["b2"])
-        known[at] += unpack(r["b3"])
+    score, base, known = (np.zeros(len(ids), np.int64) for _ in range(3))
+    for r in rows:
+        if r["kind"] == TOKENS:
+            at = unpack(r["b0"], True)
+            for x, f in ((score, "b1"), (base, "b2"), (known, "b3")):
+                x[at] += unpack(r[f])
+    score, base = -score / FIXED, -base / FIXED
     return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(size), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
 
 
@@ -366,13 +415,17 @@ class _Tables:
 
     def write(self, df: DataFrame) -> str:
         path = scratch_path(self.spark, "hpylm")
-        df.write.option("compression", "none").parquet(path)  # arrays are compressed already
+        df.write.partitionBy("kind").option("compression", "none").parquet(path)  # arrays are compressed already
         release_shuffles(self.spark)
         return path
 
-    def read(self, path: str, kind: int, name: int | None = None) -> DataFrame:
-        rows = self.spark.read.schema(MESSAGE_SQL).parquet(path).where(F.col("kind") == kind)
-        return rows if name is None else rows.withColumn("kind", F.lit(name))
+    def read(self, path: str, kind: int, name: int | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+        rows = self.spark.read.schema(MESSAGE_SQL).parquet(path).where(F.col("kind") == kind).withColumn("kind", F.lit(kind if name is None else name))
+        columns = [F.lit(None).cast("binary").alias(c) if c in without else F.col(c) for c in (x.split()[0] for x in MESSAGE_SQL.split(", "))]
+        return rows.select(*columns)
+
+    def drop(self, path: str, kind: int) -> None:
+        drop_path(self.spark, f"{path}/kind={kind}")
 
     def totals(self, path: str) -> np.ndarray:
         """Sum of a step's totals: a row of a few numbers for each task."""
@@ -398,8 +451,9 @@ def score(docs: DataFrame, folds: int = 10, burn_in: int = BURN_IN, samples: int
         if sweep == 0:  # for the number of words; the first answers have one table for each pair
             m["base"] = 1e-6
         lines = disk.read(pairs, LINES)
-        path = disk.write(step(lines, _word_step(dict(m), sweep)))
+        path = disk.write(step(lines, _word_step(dict(m), sweep, sweep == burn_in + samples)))
         c0, t0, total, words, one, two = np.zeros(6) + disk.totals(path)
+        disk.drop(pairs, LINES)
         m |= {"C0": float(c0), "T0": float(t0), "N": int(total), "V": int(words), "base": 1.0 / (int(words) + 1), "d0": discount(one, two)}
         if sweep > burn_in:
             models.append(dict(m))
@@ -413,9 +467,9 @@ def score(docs: DataFrame, folds: int = 10, burn_in: int = BURN_IN, samples: int
         if sweep <= burn_in:
             drop_path(spark, path)
     m["models"] = models
-    parts = rows.mapInArrow(_token_step(n), MESSAGE_SQL).union(disk.read(pairs, STATE))
+    parts = rows.mapInArrow(_token_step(n), MESSAGE_SQL).union(disk.read(pairs, STATE, without=("b4",)))
     for k, path in enumerate(answers):
         parts = parts.union(disk.read(path, ANSWER, ANSWER + 10 * (k + 1)))
-    sums = step(parts, _score_step(m))
+    sums = step(parts, _score_step(m, n))
     found = sums.groupBy("src").applyInArrow(_gather, _RESULT_SQL)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m["N"]).cast("long").alias("train_tokens"), "base_score", "score")
