@@ -142,9 +142,20 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     else:
         pair = np.unique(wide[sample] * base + wide[sample + 1], return_inverse=True)[1]
         triple = pair * base + wide[sample + 2]
-    kinds, name = np.unique(triple, return_inverse=True)
-    if len(kinds) == len(sample):
-        order = np.argsort(name, kind="stable")
+    if base**3 <= 1 << 22:  # few symbols: triples are counted, not compared
+        seen = np.zeros(base**3, bool)
+        seen[triple] = True
+        name = (np.cumsum(seen) - 1)[triple]
+        kinds = int(seen.sum())
+    else:
+        order = np.argsort(triple)
+        found = triple[order]
+        new = np.r_[False, found[1:] != found[:-1]]
+        name = np.empty(len(triple), np.int64)
+        name[order] = np.cumsum(new)
+        kinds = int(new.sum()) + 1
+    if kinds == len(sample):
+        order = np.argsort(name)
     else:
         found = suffix_array(np.r_[name[:ones] + 2, 1, name[ones:] + 2])
         found = found[found != ones]
@@ -157,7 +168,9 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     key = wide[rest] * top + rank[rest + 1]
     rest = rest[np.argsort(key, kind="stable")]
     one, two = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
-    lead = np.unique(np.r_[wide[rest] * base + wide[rest + 1], wide[two] * base + wide[two + 1]], return_inverse=True)[1]
+    lead = np.r_[wide[rest] * base + wide[rest + 1], wide[two] * base + wide[two + 1]]
+    if base * base * top >= 1 << 62:
+        lead = np.unique(lead, return_inverse=True)[1]
     before = np.searchsorted(wide[one] * top + rank[one + 1], wide[rest] * top + rank[rest + 1])
     before += np.searchsorted(lead[len(rest) :] * top + rank[two + 2], lead[: len(rest)] * top + rank[rest + 2])
     out = np.empty(n, np.int64)
@@ -174,7 +187,8 @@ def smallest_documents(contexts: list[bytes], docs: np.ndarray, length: int = LE
     size = np.array([len(c) for c in contexts], np.int64)
     text = np.frombuffer(b"\0".join(contexts) + b"\0" * length, np.uint8)
     start = np.cumsum(size + 1) - (size + 1)
-    symbols = text[: int((size + 1).sum())].astype(np.int64) + 2
+    own = text[: int((size + 1).sum())]
+    symbols = (np.cumsum(np.bincount(own, minlength=256) > 0) + 1)[own]  # the bytes that occur, numbered in order
     symbols[start + size] = 1
     strings = size - length + 1
     valid = np.zeros(len(symbols), bool)
