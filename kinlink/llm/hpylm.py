@@ -150,7 +150,7 @@ def _count_step(n: int):
                 rows, place = [], np.zeros(len(names), np.int64)
                 for s, own in _by_shard(_deal(names[u], names[w], n), n):
                     used, pu, pw = _named(names, u[own], w[own], place)
-                    rows.append((TOKENS, s, 0, pack(used, True), pack(pu), pack(pw, True), pack(count[own])))
+                    rows.append((TOKENS, s, 0, pack(used, True), pack(pw * len(used) + pu, True), pack(count[own])))
                 yield from _messages(rows).to_batches()
             trim()
 
@@ -188,7 +188,7 @@ def _token_step(n: int):
                 place = np.zeros(size, np.int64)
                 for s, own in _by_shard(_deal(names[u], names[w], n), n):
                     used, pu, pw = _named(names, u[own], w[own], place)
-                    rows.append((TOKENS, s, chunk, pack(used, True), pack(pu), pack(pw, True), pack(text[own]), pack(times[own])))
+                    rows.append((TOKENS, s, chunk, pack(used, True), pack(pw * len(used) + pu, True), pack(text[own]), pack(times[own])))
                 yield from _messages(rows).to_batches()
             trim()
 
@@ -230,10 +230,11 @@ def _start_step(n: int):
         shard = key[0].as_py()
         words = _every(unpack(x.as_py(), True) for x in table.column("b0"))
         keys, counts = [], []
-        for r in _rows(table, ("b0", "b1", "b2", "b3")):
+        for r in _rows(table, ("b0", "b1", "b2")):
             place = np.searchsorted(words, unpack(r[0], True))
-            keys.append(place[unpack(r[2], True)] * len(words) + place[unpack(r[1])])
-            counts.append(unpack(r[3]).astype(np.int32))
+            w, u = np.divmod(unpack(r[1], True), len(place))
+            keys.append(place[w] * len(words) + place[u])
+            counts.append(unpack(r[2]).astype(np.int32))
         key, c = np.concatenate(keys), np.concatenate(counts)
         del keys, counts
         order = np.argsort(key)
@@ -246,7 +247,7 @@ def _start_step(n: int):
         u, w, c = u[seen], w[seen], c[seen]  # words of unseen pairs stay in `words`, so their lines ask for answers
         t = np.ones(len(c), np.int64)
         trim()
-        rows = [(STATE, shard, 0, pack(words, True), pack(u), pack(w, True), pack(c), pack(t), pack(np.zeros(len(c), np.int64)))]
+        rows = [(STATE, shard, 0, pack(words, True), pack(w * len(words) + u, True), pack(c), pack(t), pack(np.zeros(len(c), np.int64)))]
         rows.append((TOTAL, 0, 0, pack(np.array([(c == 1).sum(), (c == 2).sum()]))))
         return _messages(rows + _lines(shard, words, u, w, c, t, n))
 
@@ -336,14 +337,15 @@ def _pair_step(m: dict, sweep: int, n: int):
         shard, rows = key[0].as_py(), table.to_pylist()
         s = next(r for r in rows if r["kind"] == STATE)
         words = unpack(s["b0"], True)
-        u, w, c, t, total = (unpack(s[f"b{k}"], k == 2) for k in range(1, 6))
+        w, u = np.divmod(unpack(s["b1"], True), len(words))
+        c, t, total = (unpack(s[f"b{k}"]) for k in (2, 3, 4))
         t_u, c0, t0 = _answers([r for r in rows if r["kind"] == ANSWER], words, n, ("b0", "b1", "b2"))
         p = _parent(c0, t0, m)
         rng = np.random.default_rng([m["seed"], 1000 + sweep, shard])
         t = draw_tables(c, np.maximum(t_u[u] - t, 0), p[w], m["d"], m["a"], rng)
         if sweep >= m["burn_in"]:
             total = total + t
-        return _messages([(STATE, shard, 0, s["b0"], s["b1"], s["b2"], s["b3"], pack(t), pack(total))] + _lines(shard, words, u, w, c, t, n))
+        return _messages([(STATE, shard, 0, s["b0"], s["b1"], s["b2"], pack(t), pack(total))] + _lines(shard, words, u, w, c, t, n))
 
     return run
 
@@ -359,8 +361,7 @@ def _score_step(m: dict, n: int):
         if state is None:
             return _messages(out)
         words = unpack(state["b0"], True)
-        u, w, c, total = unpack(state["b1"]), unpack(state["b2"], True), unpack(state["b3"]), unpack(state["b5"])
-        key_, at_most = w * len(words) + u, len(words)  # pairs are kept in this order
+        key_, c, total = unpack(state["b1"], True), unpack(state["b2"]), unpack(state["b4"])  # pairs in order
         samples = []
         for k in range(m["samples"]):
             own, one = [r for r in rows if r["kind"] == ANSWER + 10 * (k + 1)], m["models"][k]
@@ -370,10 +371,11 @@ def _score_step(m: dict, n: int):
             samples.append((m["a"] + m["d"] * t_u, _parent(c0, t0, one)))
         known = c_w > 0
         base = np.log10((c_w + 0.1) / (m["N"] + 0.1 * (m["V"] + 1)))
-        for src, *r in _rows(table, ("src", "b0", "b1", "b2", "b3", "b4"), np.flatnonzero(kind == TOKENS).tolist()):
+        for src, *r in _rows(table, ("src", "b0", "b1", "b2", "b3"), np.flatnonzero(kind == TOKENS).tolist()):
             own = np.searchsorted(words, unpack(r[0], True))
-            tu, tw, text, times = own[unpack(r[1])], own[unpack(r[2], True)], unpack(r[3]), unpack(r[4])
-            asked = tw * at_most + tu
+            tw, tu = np.divmod(unpack(r[1], True), max(len(own), 1))
+            tw, tu, text, times = own[tw], own[tu], unpack(r[2]), unpack(r[3])
+            asked = tw * len(words) + tu
             at = np.minimum(np.searchsorted(key_, asked), max(len(key_) - 1, 0))
             hit = key_[at] == asked if len(key_) else np.zeros(len(tu), bool)
             seated = np.where(hit, c[at] - m["d"] * total[at] / m["samples"], 0.0) if len(key_) else np.zeros(len(tu))
@@ -467,7 +469,7 @@ def score(docs: DataFrame, folds: int = 10, burn_in: int = BURN_IN, samples: int
         if sweep <= burn_in:
             drop_path(spark, path)
     m["models"] = models
-    parts = rows.mapInArrow(_token_step(n), MESSAGE_SQL).union(disk.read(pairs, STATE, without=("b4",)))
+    parts = rows.mapInArrow(_token_step(n), MESSAGE_SQL).union(disk.read(pairs, STATE, without=("b3",)))
     for k, path in enumerate(answers):
         parts = parts.union(disk.read(path, ANSWER, ANSWER + 10 * (k + 1)))
     sums = step(parts, _score_step(m, n))
