@@ -53,22 +53,27 @@ def _classes(profile: Profile, query: bool) -> dict[str, Column]:
 
 
 def token_rows(rows: DataFrame, profile: Profile = PACKAGE, query: bool = False) -> DataFrame:
-    """entity_id, country, class, token: each token of a record once."""
+    """entity_id, country, state, class, token: each token of a record once. States travel with tokens, of which there are
+    far fewer than pairs, so pairs need no join to learn them."""
     lists = F.array(*[F.struct(F.lit(k).alias("class"), F.array_distinct(v).alias("tokens")) for k, v in _classes(profile, query).items()])
-    each = rows.where("country is not null").select("entity_id", "country", F.explode(lists).alias("x"))
-    return each.select("entity_id", "country", F.col("x.class").alias("class"), F.explode("x.tokens").alias("token"))
+    each = rows.where("country is not null").select("entity_id", "country", "state", F.explode(lists).alias("x"))
+    return each.select("entity_id", "country", "state", F.col("x.class").alias("class"), F.explode("x.tokens").alias("token"))
+
+
+def query_rows(s1: DataFrame, profile: Profile = PACKAGE) -> DataFrame:
+    return token_rows(s1, profile, query=True).withColumnsRenamed({"entity_id": "s1_entity_id", "state": "s1_state"})
 
 
 def _counts(hits: DataFrame, profile: Profile) -> DataFrame:
-    """One row for each pair with the number of common tokens by class."""
+    """One row for each pair with the number of common tokens by class, and whether states are equal."""
     kinds = [k for k in profile.weights if k != "state"]
-    return hits.groupBy("s1_entity_id", "entity_id").agg(*[F.sum((F.col("class") == k).cast("int")).cast("int").alias(k) for k in kinds])
+    match = F.max(F.coalesce(F.col("s1_state") == F.col("state"), F.lit(False)).cast("int")).alias("state_match")
+    return hits.groupBy("s1_entity_id", "entity_id").agg(*[F.sum((F.col("class") == k).cast("int")).cast("int").alias(k) for k in kinds], match)
 
 
 def token_overlap(s1: DataFrame, pool: DataFrame, profile: Profile = PACKAGE) -> DataFrame:
-    """s1_entity_id, entity_id and common distinct tokens by class, for pairs of one country with any."""
-    q = token_rows(s1, profile, query=True).withColumnRenamed("entity_id", "s1_entity_id")
-    return _counts(q.join(token_rows(pool, profile), ["country", "class", "token"]), profile)
+    """s1_entity_id, entity_id, common distinct tokens by class and state_match, for pairs of one country with any token."""
+    return token_hits(query_rows(s1, profile), token_rows(pool, profile), profile)
 
 
 def gated(pairs: DataFrame, profile: Profile) -> DataFrame:
@@ -76,14 +81,10 @@ def gated(pairs: DataFrame, profile: Profile) -> DataFrame:
     return pairs.where(reduce(lambda a, b: a | b, [F.col(k) > 0 for k in profile.gate]))
 
 
-def scored(pairs: DataFrame, s1: DataFrame, pool: DataFrame, profile: Profile = PACKAGE) -> DataFrame:
-    """pairs with state_match and matching_score. Only states are joined to pairs, no text."""
-    own = s1.select(F.col("entity_id").alias("s1_entity_id"), F.col("state").alias("_s"))
-    other = pool.select("entity_id", F.col("state").alias("_c"))
-    rows = pairs.join(own, "s1_entity_id").join(other, "entity_id")
-    match = F.coalesce(F.col("_s") == F.col("_c"), F.lit(False)).cast("int")
+def scored(pairs: DataFrame, profile: Profile = PACKAGE) -> DataFrame:
+    """pairs with matching_score."""
     score = reduce(lambda a, b: a + b, [F.lit(w) * F.col("state_match" if k == "state" else k) for k, w in profile.score])
-    return rows.withColumn("state_match", match).withColumn("matching_score", score).drop("_s", "_c")
+    return pairs.withColumn("matching_score", score)
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -108,7 +109,7 @@ def attached(pairs: DataFrame, pool: DataFrame, profile: Profile = PACKAGE) -> D
 
 
 def scored_candidates(s1: DataFrame, pool: DataFrame, profile: Profile = PACKAGE) -> DataFrame:
-    return scored(gated(token_overlap(s1, pool, profile), profile), s1, pool, profile)
+    return scored(gated(token_overlap(s1, pool, profile), profile), profile)
 
 
 def block_topk(s1: DataFrame, pool: DataFrame, profile: Profile = PACKAGE) -> DataFrame:
@@ -124,7 +125,7 @@ def pruned_candidates(s1: DataFrame, pool: DataFrame, profile: Profile = PACKAGE
     """As block_topk, without pairs that only tokens of more than `frequent` candidates bring and that cannot rank."""
     weights, k = profile.weights, profile.top_k
     index = token_rows(pool, profile)
-    q = token_rows(s1, profile, query=True).withColumnRenamed("entity_id", "s1_entity_id")
+    q = query_rows(s1, profile)
     heavy = index.groupBy("country", "class", "token").agg(F.count("*").alias("df")).where(F.col("df") > frequent).select("country", "class", "token", F.lit(True).alias("heavy"))
     marked = q.join(heavy, ["country", "class", "token"], "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     worth = reduce(lambda c, kv: c.when(F.col("class") == kv[0], F.lit(kv[1])), list(weights.items())[1:], F.when(F.col("class") == list(weights)[0], F.lit(weights[list(weights)[0]])))
@@ -146,9 +147,8 @@ def pruned_candidates(s1: DataFrame, pool: DataFrame, profile: Profile = PACKAGE
     def extra(kind: str) -> Column:
         return (F.col(kind) + F.size(F.filter("_both", lambda x: x["class"] == kind))).cast("int").alias(kind)
 
-    filled = both.withColumn("_both", common).select("s1_entity_id", "entity_id", *map(extra, kinds))
-    pairs = filled.unionByName(full)
-    return _named(ranked(scored(gated(pairs, profile), s1, pool, profile), k), profile)
+    filled = both.withColumn("_both", common).select("s1_entity_id", "entity_id", *map(extra, kinds), "state_match")
+    return _named(ranked(scored(gated(filled.unionByName(full), profile), profile), k), profile)
 
 
 def token_hits(q: DataFrame, index: DataFrame, profile: Profile) -> DataFrame:
@@ -171,17 +171,15 @@ def retrieved(s1: DataFrame, pool: DataFrame, kind: str, limit: int | None = Non
 def formula_a(s1: DataFrame, pool: DataFrame, profile: Profile = PROFILES["formula_a"]) -> DataFrame:
     """Name words count once; where only the joined name hits, it counts as all words of the name."""
     counts = token_overlap(s1, pool, profile)
-    size = s1.select(F.col("entity_id").alias("s1_entity_id"), F.size(tokens.words(F.col("clean_name"))).alias("_n"), F.array_distinct(tokens.words(F.col("clean_name"))).alias("_w"), F.get(tokens.joined(tokens.words(F.col("clean_name"))), 0).alias("_j"))
-    other = pool.select("entity_id", F.array_distinct(tokens.words(F.col("clean_name"))).alias("_o"))
-    q = token_rows(s1, profile, query=True).withColumnRenamed("entity_id", "s1_entity_id")
-    joined = s1.select(F.col("entity_id").alias("s1_entity_id"), "country", F.explode(tokens.joined(tokens.words(F.col("clean_name")))).alias("token"))
-    whole = joined.join(token_rows(pool, profile).where(F.col("class") == "name"), ["country", "token"]).select("s1_entity_id", "entity_id")
-    every = counts.select("s1_entity_id", "entity_id", "name", "addr").unionByName(whole.select("s1_entity_id", "entity_id", F.lit(0).alias("name"), F.lit(0).alias("addr")))
-    pairs = every.groupBy("s1_entity_id", "entity_id").agg(F.max("name").alias("name"), F.max("addr").alias("addr"))
-    rows = pairs.join(size, "s1_entity_id").join(other, "entity_id")
-    hit = F.col("_j").isNotNull() & F.array_contains("_o", F.col("_j"))
-    rows = rows.withColumn("name", F.when((F.col("name") == 0) & hit, F.col("_n")).otherwise(F.col("name")).cast("int"))
-    return scored(rows.select("s1_entity_id", "entity_id", "name", "addr"), s1, pool, profile)
+    words = tokens.words(F.col("clean_name"))
+    joined = s1.select(F.col("entity_id").alias("s1_entity_id"), F.col("state").alias("s1_state"), "country", F.size(words).alias("_n"), F.explode(tokens.joined(words)).alias("token"))
+    hits = joined.join(token_rows(pool, profile).where(F.col("class") == "name"), ["country", "token"])
+    match = F.coalesce(F.col("s1_state") == F.col("state"), F.lit(False)).cast("int").alias("state_match")
+    whole = hits.select("s1_entity_id", "entity_id", F.lit(0).alias("name"), F.lit(0).alias("addr"), match, "_n")
+    every = counts.withColumn("_n", F.lit(None).cast("int")).unionByName(whole)
+    pairs = every.groupBy("s1_entity_id", "entity_id").agg(*[F.max(c).alias(c) for c in ("name", "addr", "state_match", "_n")])
+    name = F.when((F.col("name") == 0) & F.col("_n").isNotNull(), F.col("_n")).otherwise(F.col("name")).cast("int")
+    return scored(pairs.withColumn("name", name).drop("_n"), profile)
 
 
 def blocking_summary(s1: DataFrame, candidates: DataFrame) -> DataFrame:

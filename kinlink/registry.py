@@ -134,7 +134,7 @@ def country_partition(spark, d):
 
 @_query(f"WITH {O.BLOCK} SELECT s1_entity_id, entity_id, len1, gt1, addr FROM ov WHERE len1 > 0 OR gt1 > 0 OR addr > 0")
 def signal_gate(spark, d):
-    return blocking.gated(blocking.token_overlap(*_norm(spark, d)), PACKAGE)
+    return blocking.gated(blocking.token_overlap(*_norm(spark, d)), PACKAGE).drop("state_match")
 
 
 @_query(f"WITH {O.ENT}, {O.NORM}, w AS (SELECT s1_entity_id, entity_id FROM (SELECT DISTINCT a.entity_id AS s1_entity_id, b.entity_id FROM (SELECT entity_id, country, unnest({O.W_NAME}[1:12]) AS t FROM norm WHERE source = 'S1' UNION SELECT entity_id, country, array_to_string({O.W_NAME}[1:12], '') FROM norm WHERE source = 'S1' AND len({O.W_NAME}) >= 2) a JOIN (SELECT entity_id, country, unnest({O.W_NAME}[1:12]) AS t FROM norm WHERE source <> 'S1') b USING (country, t))) SELECT * FROM w")
@@ -168,7 +168,7 @@ def gt_semi(spark, d):
 
 @_query(f"WITH {O.BLOCK} SELECT * FROM ov")
 def token_overlap(spark, d):
-    return blocking.token_overlap(*_norm(spark, d))
+    return blocking.token_overlap(*_norm(spark, d)).drop("state_match")
 
 
 _TOPCOLS = "s1_entity_id, entity_id, name_overlap_len1, name_overlap_gt1, name_overlap_count, address_overlap_count, state_match, matching_score, rank"
