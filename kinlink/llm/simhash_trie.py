@@ -16,6 +16,8 @@ only by its own rows; an empty table gives an empty result; extra columns are ne
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -215,18 +217,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, seed: int =
 # take both children at a node whose bit is narrow: each 16-bit block of the first words is a trie of its own, a
 # document is put at its own leaf and at those that differ in its PROBES narrowest bits, and pairs that meet at a leaf go on
 # word by word over all 256 bits, adding up differing bits and leaving as soon as they exceed the budget.
-
-WORDS, BLOCK_BITS, BLOCKS, PROBES = 4, 16, 8, 3
+#
+# Such pairs are candidates only: an edge is kept if the exact Jaccard similarity of the two shingle sets reaches the
+# threshold. Documents of equal shingle sets are one node. The first round checks a spanning star of each estimated
+# piece; later rounds check pairs that the edges so far leave in different components, the CLOSEST ones of each document
+# first and eight times as many in every round, until no candidate is left unchecked.
+
+WORDS, BLOCK_BITS, BLOCKS, PROBES = 4, 16, 8, 4
+#: Deviations over the mean that a candidate pair may differ by; candidates a document hands out in the second round.
+SPARE, CLOSEST = 4.0, 8
 #: Groups up to this many members are compared as one array, larger ones member by member.
 SMALL = 64
 
 
-def _wide(text: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """256 majority bits as words, and for each block the bits of its leaf with the narrowest majorities."""
-    parts, digest = shingles(text, width), xxhash.xxh64_intdigest
+def _wide(text: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """256 majority bits of the shingle set as words, for each block the bits of its leaf with the narrowest
+    majorities, and the digest of the set."""
+    digest = xxhash.xxh64_intdigest
+    parts = np.unique(np.fromiter((digest(x, seed) for x in shingles(text, width)), np.uint64))
     margin = np.zeros(64 * WORDS, np.int64)
     for k in range(0, len(parts), HASH_BLOCK):
-        h = np.fromiter((digest(x, seed) for x in parts[k : k + HASH_BLOCK]), np.uint64)
+        h = parts[k : k + HASH_BLOCK]
         for i in range(WORDS):
             own = h if not i else _remixed(h, i)
             bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -234,7 +245,7 @@ def _wide(text: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     margin -= len(parts)
     words = np.frombuffer(np.packbits(margin > 0).tobytes(), ">u8").astype(np.uint64)
     narrow = np.argsort(np.abs(margin[: BLOCK_BITS * BLOCKS]).reshape(BLOCKS, BLOCK_BITS), axis=1, kind="stable")[:, :PROBES]
-    return words, np.left_shift(1, BLOCK_BITS - 1 - narrow).astype(np.int64)
+    return words, np.left_shift(1, BLOCK_BITS - 1 - narrow).astype(np.int64), hashlib.blake2b(parts.tobytes(), digest_size=16).digest()
 
 
 def _remixed(h: np.ndarray, i: int) -> np.ndarray:
@@ -250,16 +261,16 @@ def budget_of(similarity: float, spare: float = 2.0) -> int:
     return int(64 * WORDS * angle + spare * np.sqrt(64 * WORDS * angle * (1 - angle)))
 
 
-_LEAF_SQL = "shard int, ids binary, words binary, member binary, leaf binary"
+_LEAF_SQL = "shard int, ids binary, pieces binary, words binary, member binary, leaf binary"
 
 
 def _wide_step(width: int, seed: int):
-    """doc_id, words, narrow of every document."""
+    """doc_id, words, narrow, digest of every document."""
 
     def run(batches):
         for b in batches:
             found = [_wide(x, width, seed) for x in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array([w.tobytes() for w, _ in found], pa.binary()), pa.array([k.tobytes() for _, k in found], pa.binary())], names=["doc_id", "words", "narrow"])
+            yield pa.record_batch([b.column("doc_id"), *(pa.array([bytes(x[i]) for x in found], pa.binary()) for i in range(3))], names=["doc_id", "words", "narrow", "digest"])
 
     return run
 
@@ -270,7 +281,7 @@ def _leaf_step(n: int):
     def run(batches):
         flips = np.arange(1 << PROBES)
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
+            ids, pieces = b.column("doc_id").to_numpy(), b.column("piece").to_numpy()
             if not len(ids):
                 continue
             words = np.frombuffer(b"".join(b.column("words").to_pylist()), np.uint64).reshape(-1, WORDS)
@@ -291,9 +302,9 @@ def _leaf_step(n: int):
                 at = order[cut[s] : cut[s + 1]]
                 if len(at):
                     used, place = np.unique(member[at], return_inverse=True)
-                    rows.append((s, ids[used].tobytes(), words[used].tobytes(), place.astype(np.uint32).tobytes(), (leaf[at] * 2 + own[at]).astype(np.uint32).tobytes()))
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "ids", "words", "member", "leaf"])
+                    rows.append((s, ids[used].tobytes(), pieces[used].tobytes(), words[used].tobytes(), place.astype(np.uint32).tobytes(), (leaf[at] * 2 + own[at]).astype(np.uint32).tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 5)
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "ids", "pieces", "words", "member", "leaf"])
 
     return run
 
@@ -347,10 +358,58 @@ def leaf_links(leaf: np.ndarray, own: np.ndarray, member: np.ndarray, words: np.
     return label
 
 
-def similar_links(docs: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
-    """fp, root: edges between doc_ids of documents whose estimated similarity reaches the threshold; spanning stars."""
-    n, budget = shards(docs.sparkSession), budget_of(similarity)
-    rows = text_table(docs).where("doc_id is not null")
+def _closest(a: np.ndarray, b: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of the pairs a-b the `most` closest for each a, and whether that leaves any out."""
+    at = np.unique(a * len(words) + b)
+    a, b = at // len(words), at % len(words)
+    order = np.lexsort((np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64), a))
+    a, b = a[order], b[order]
+    start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
+    keep = rank < most
+    return a[keep], b[keep], not keep.all()
+
+
+def leaf_pairs(leaf: np.ndarray, own: np.ndarray, member: np.ndarray, words: np.ndarray, piece: np.ndarray, budget: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of members of different pieces that are within the budget and meet at a leaf, for each member at its own
+    leaves the `most` closest; and whether that leaves any out."""
+    order = np.lexsort((~own, leaf))
+    leaf, own, member = leaf[order], own[order], member[order]
+    start = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]]) if len(leaf) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(leaf)])
+    homes = np.add.reduceat(own.astype(np.int64), start) if len(leaf) else size
+    found, more = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], False
+
+    def add(a: np.ndarray, b: np.ndarray) -> bool:
+        hit = _apart(words[a], words[b], budget)
+        x, y, cut = _closest(a[hit], b[hit], words, most)
+        found.append((x, y))
+        return cut
+
+    small = np.flatnonzero((size <= SMALL) & (size > 1) & (homes > 0))
+    for k in range(0, len(small), 4096):
+        at = small[k : k + 4096]
+        count = homes[at] * size[at]
+        base = np.repeat(start[at], count)
+        j = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        wide = np.repeat(size[at], count)
+        a, b = member[base + j // wide], member[base + j % wide]
+        keep = piece[a] != piece[b]
+        more |= add(a[keep], b[keep])
+    for g in np.flatnonzero((size > SMALL) & (homes > 0)):
+        group = member[start[g] : start[g] + size[g]]
+        if (piece[group] == piece[group[0]]).all():
+            continue
+        for a in np.unique(group[: homes[g]]):
+            rest = group[piece[group] != piece[a]]
+            more |= add(np.full(len(rest), a), rest)
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return a, b, more
+
+
+def _candidates(nodes: DataFrame, n: int, budget: int, most: int | None) -> DataFrame:
+    """fp, root, more: candidate edges between nodes (doc_id, words, narrow, piece); spanning stars without `most`,
+    else pairs of different pieces, where `more` says that some were left out."""
 
     def run(key, table):
         parts = []
@@ -358,18 +417,59 @@ def similar_links(docs: DataFrame, width: int, similarity: float, seed: int) ->
         for r in table.to_pylist():
             ids = np.frombuffer(r["ids"], np.int64)
             code = np.frombuffer(r["leaf"], np.uint32).astype(np.int64)
-            parts.append((ids, np.frombuffer(r["words"], np.uint64).reshape(-1, WORDS), np.frombuffer(r["member"], np.uint32).astype(np.int64) + base, code >> 1, (code & 1).astype(bool)))
+            parts.append((ids, np.frombuffer(r["pieces"], np.int64), np.frombuffer(r["words"], np.uint64).reshape(-1, WORDS), np.frombuffer(r["member"], np.uint32).astype(np.int64) + base, code >> 1, (code & 1).astype(bool)))
             base += len(ids)
-        ids, words, member, leaf, own = (np.concatenate(x) for x in zip(*parts))
-        label = leaf_links(leaf, own, member, words, budget)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"fp": ids[moved], "root": ids[label[moved]]})
-
-    prints = materialise(rows.mapInArrow(_wide_step(width, seed), "doc_id long, words binary, narrow binary"), "simhash-wide")
-    distinct = prints.groupBy("words").agg(F.min("doc_id").alias("root"), F.min("narrow").alias("narrow"))
-    found = distinct.select(F.col("root").alias("doc_id"), "words", "narrow").mapInArrow(_leaf_step(n), _LEAF_SQL).groupBy("shard").applyInArrow(run, "fp long, root long")
-    equal = salted_lookup(prints.select("doc_id", "words"), distinct.select("words", "root"), "words", "doc_id", how="inner").select(F.col("doc_id").alias("fp"), "root")
-    return found.union(equal).where("fp <> root").distinct()
+        ids, pieces, words, member, leaf, own = (np.concatenate(x) for x in zip(*parts))
+        if most is None:
+            label = leaf_links(leaf, own, member, words, budget)
+            a = np.flatnonzero(label != np.arange(len(label)))
+            b, more = label[a], False
+        else:
+            a, b, more = leaf_pairs(leaf, own, member, words, pieces, budget, most)
+        return pa.table({"fp": np.maximum(ids[a], ids[b]), "root": np.minimum(ids[a], ids[b]), "more": np.full(len(a), more)})
+
+    found = nodes.mapInArrow(_leaf_step(n), _LEAF_SQL).groupBy("shard").applyInArrow(run, "fp long, root long, more boolean")
+    return found.groupBy("fp", "root").agg(F.max("more").alias("more"))
+
+
+def similar(a: str, b: str, width: int, similarity: float) -> bool:
+    """Whether the Jaccard similarity of the two sets of shingles reaches the threshold."""
+    x, y = set(shingles(a, width)), set(shingles(b, width))
+    both = len(x & y)
+    return both / max(1, len(x) + len(y) - both) >= similarity
+
+
+def verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """fp, root: the edges whose texts are as similar as that. Only texts of documents with an edge are joined."""
+    ends = edges.select(F.explode(F.array("fp", "root")).alias("doc_id")).distinct()
+    used = materialise(texts.join(ends, "doc_id").distinct(), "simhash-texts")
+
+    def run(batches):
+        for b in batches:
+            ok = [similar(x, y, width, similarity) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("root")], names=["fp", "root"]).filter(pa.array(ok, pa.bool_()))
+
+    one = salted_lookup(edges, used.select(F.col("doc_id").alias("fp"), F.col("text").alias("a")), "fp", "root", how="inner")
+    both = salted_lookup(one, used.select(F.col("doc_id").alias("root"), F.col("text").alias("b")), "root", "fp", how="inner")
+    return both.select("fp", "root", "a", "b").mapInArrow(run, "fp long, root long").distinct()
+
+
+def similar_links(docs: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
+    """fp, root: edges between doc_ids of documents whose similarity reaches the threshold, as many as connect them."""
+    n, budget = shards(docs.sparkSession), budget_of(similarity, SPARE)
+    rows = text_table(docs).where("doc_id is not null")
+    prints = materialise(rows.mapInArrow(_wide_step(width, seed), "doc_id long, words binary, narrow binary, digest binary"), "simhash-wide")
+    nodes = materialise(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("narrow").alias("narrow")), "simhash-nodes")
+    equal = salted_lookup(prints.select(F.col("doc_id").alias("fp"), "digest"), nodes.select("digest", F.col("doc_id").alias("root")), "digest", "fp", how="inner").select("fp", "root")
+    edges, pieces, most = None, None, None
+    while True:
+        own = nodes.withColumn("piece", F.col("doc_id")) if pieces is None else nodes.join(pieces.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("piece", F.coalesce("root", "doc_id"))
+        found = materialise(_candidates(own.select("doc_id", "words", "narrow", "piece"), n, budget, most), "simhash-pairs")
+        new = materialise(verified(found.where("fp <> root").select("fp", "root"), rows, width, similarity), "simhash-edges")
+        edges = new if edges is None else edges.union(new)
+        if most is not None and found.where("more").isEmpty():
+            return edges.union(equal).where("fp <> root").distinct()
+        pieces, most = components(edges), CLOSEST if most is None else 8 * most
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:

@@ -170,3 +170,39 @@ def test_leaf_links_equal_brute_force():
         label = simhash_trie.leaf_links(leaf, own, member, words, 20)
         simhash_trie.SMALL = before
         assert label.tolist() == [*range(10), *range(10), *range(20, 30)]
+
+
+def exact_kept(rows, similarity=0.8):
+    """Smallest ids of the components of all pairs whose Jaccard similarity reaches the threshold."""
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and jaccard(a, b) >= similarity:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i for i in root if find(i) == i}
+
+
+@pytest.mark.parametrize("small,closest", [(64, 8), (2, 1)])
+def test_only_exact_similarity_links(docs_of, monkeypatch, small, closest):
+    monkeypatch.setattr(simhash_trie, "SMALL", small)
+    monkeypatch.setattr(simhash_trie, "CLOSEST", closest)
+    rows, near = [], 0
+    for k, (n, cut) in enumerate([(96, 16), (96, 17), (96, 18), (96, 20), (96, 24), (14, 2), (14, 3), (104, 20), (104, 21), (404, 80), (404, 81), (404, 90)]):
+        words = [f"k{k}w{i}" for i in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[cut:]))]
+        near += 0.65 < jaccard(rows[-2][1], rows[-1][1]) < 0.8
+    # variants of one text, each close to it and not to each other; the text itself has the largest id
+    base = [f"b{i}" for i in range(204)]
+    for v in range(8):
+        rows.append((100 + v, " ".join("x%d" % v if i in (20 * v + 5, 20 * v + 11, 20 * v + 17) else w for i, w in enumerate(base))))
+    rows.append((200, " ".join(base)))
+    want = exact_kept(rows)
+    assert near >= 5 and len(want) < len(rows) - 5
+    assert {r.doc_id for r in simhash_trie.representatives(docs_of(rows)).collect()} == want
