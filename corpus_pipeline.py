@@ -33,8 +33,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data generalised and disclosing terms removed."""
-    clean = sanitise.sanitised(docs, sanitise.find_spans(docs))
+    """Documents with personal data generalised and disclosing terms removed wherever they occur."""
+    clean = sanitise.sanitised(docs, sanitise.find_spans(docs, whole=True))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -7,7 +7,8 @@ it can reveal it even when it is masked; how much is estimated from the whole co
 
 the share of e's information content that seeing t gives away (1: t occurs nowhere without e). Terms within WINDOW
 words of e that reach THRESHOLD with at least SUPPORT documents of both are spans of kind "term"; sanitising replaces
-rule spans by their kind (generalisation) and removes disclosing terms.
+rule spans by their kind (generalisation) and removes disclosing terms. The report marks terms beside their value, as its
+SQL does; with `whole`, contexts have no bound in characters and a term is marked wherever it occurs in the corpus.
 
 Everything is DataFrame expressions. Texts are scanned once for the rules and once for term frequencies; no text is
 shuffled, only found values, their short contexts and counts. Terms and entities are counted with partial aggregates,
@@ -27,6 +28,8 @@ from kinlink.llm.common import materialise, salted_lookup
 WINDOW, THRESHOLD, SUPPORT = 5, 0.8, 2
 #: Characters of context that are looked at beside a value; WINDOW words of it count.
 CONTEXT = 80
+#: Disclosing terms up to this many are sent to all tasks, more are met in a shuffle.
+BROADCAST_ROWS = 200_000
 #: Possessive forms of the rules: the same matches without backtracking or recursion. A run that failed from its first
 #: character fails from any later one, so only a run's start and the end of the match before are tried.
 RULES = {
@@ -94,22 +97,31 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[one(rank, kind) for rank, kind in enumerate(RULES)])
 
 
-def _context(text: Column, span: Column) -> list[Column]:
+def _context(text: Column, span: Column, reach: int = CONTEXT) -> list[Column]:
     """Left and right context of a span without words that the cut went through, and the offset where each begins."""
-    at = F.greatest(F.lit(0), span["start"] - CONTEXT)
+    at = F.greatest(F.lit(0), span["start"] - reach)
     left = F.substr(text, at + 1, span["start"] - at)
     left = F.when(at > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.substr(text, span["end"] + 1, F.lit(CONTEXT))
-    right = F.when(span["end"] + CONTEXT < F.length(text), F.regexp_replace(right, r"\S+$", "")).otherwise(right)
+    right = F.substr(text, span["end"] + 1, F.lit(reach))
+    right = F.when(span["end"] + reach < F.length(text), F.regexp_replace(right, r"\S+$", "")).otherwise(right)
     return [left.alias("left"), right.alias("right")]
 
 
-def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, key (names the row's id and text), base: the rules' spans with their contexts."""
+def _full_context(text: Column, span: Column, window: int) -> list[Column]:
+    """Contexts that hold `window` words, or all of the text on that side: the shortest of a few reaches that does."""
+    sides = zip(*(_context(text, span, reach) for reach in (CONTEXT, 16 * CONTEXT)), (F.substr(text, F.lit(1), span["start"]), F.substr(text, span["end"] + 1, F.length(text))))
+    enough = lambda side: F.regexp_count(side, F.lit(WORD)) >= window
+    return [F.when(enough(near), near).when(enough(far), far).otherwise(rest).alias(name) for name, (near, far, rest) in zip(("left", "right"), sides)]
+
+
+def find_base(docs: DataFrame, window: int | None = None) -> DataFrame:
+    """doc_id, key (names the row's id and text), base: the rules' spans with their contexts; with `window`, of at least
+    so many words where the text has them."""
+    context = lambda s: _context(F.col("text"), s) if window is None else _full_context(F.col("text"), s, window)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("text")))
     found = rows.select("doc_id", key.alias("key"), "text", base_spans(F.col("text")).alias("base"))
-    wide = F.transform("base", lambda s: F.struct(s["rank"].alias("rank"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), *_context(F.col("text"), s)))
+    wide = F.transform("base", lambda s: F.struct(s["rank"].alias("rank"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), *context(s)))
     return found.select("doc_id", "key", wide.alias("base"))
 
 
@@ -143,15 +155,39 @@ def disclosing(docs: DataFrame, near: DataFrame, found: DataFrame, threshold: fl
     return joined.select("entity", "term", gain.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def find_spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """doc_id, key, base, terms: for every row the rules' spans and the spans of disclosing terms."""
-    found = materialise(find_base(docs), "pii-base")
+def occurrences(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, everywhere: the spans of every occurrence of the terms in the texts, outside the rules' spans. Only texts that hold
+    a term are looked through for places."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64(text)))
+    rows = docs.select(key.alias("key"), text.alias("text"))
+    words = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("w")).select("key", F.lower("w").alias("term"))
+    few = terms.count() <= BROADCAST_ROWS
+    hits = words.join(F.broadcast(terms), "term") if few else salted_lookup(words, terms, "term", "key", how="inner")
+    held = materialise(hits.groupBy("key").agg(F.collect_set("term").alias("held")), "pii-held")
+    taken = found.select("key", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("taken")).join(held, "key").distinct()
+    marked = rows.join(taken, "key").select("key", "held", "taken", located(F.col("text"), WORD).alias("words"))
+    meant = F.filter("words", lambda w: F.array_contains("held", F.lower(w["value"])) & ~F.exists("taken", lambda t: (w["start"] < t["end"]) & (t["start"] < w["end"])))
+    return marked.select("key", F.transform(meant, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("everywhere")).distinct()
+
+
+def find_spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, support: int = SUPPORT, whole: bool = False) -> DataFrame:
+    """doc_id, key, base, terms: for every row the rules' spans and the spans of disclosing terms, with `whole` of all
+    their occurrences."""
+    found = materialise(find_base(docs, window if whole else None), "pii-base")
     near = materialise(neighbours(found, window), "pii-near")
-    pairs = disclosing(docs, near, found, threshold, support).select(F.struct("entity", "term").alias("pair"), F.lit(True).alias("hit"))
+    hits = disclosing(docs, near, found, threshold, support)
+    if whole:
+        hits = materialise(hits, "pii-pairs")
+    pairs = hits.select(F.struct("entity", "term").alias("pair"), F.lit(True).alias("hit"))
     marked = salted_lookup(near.withColumn("pair", F.struct("entity", "term")), pairs, "pair", "key", how="inner")
     terms = marked.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
-    return found.join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none))
+    spans = found.join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none))
+    if not whole:
+        return spans
+    placed = materialise(occurrences(docs, found, hits.select("term").distinct()), "pii-places")
+    return spans.join(placed, "key", "left").withColumn("terms", F.array_sort(F.array_union("terms", F.coalesce("everywhere", none)))).drop("everywhere")
 
 
 def spans_report(spans: DataFrame) -> DataFrame:

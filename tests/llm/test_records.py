@@ -198,3 +198,20 @@ def test_spans_equal_sql(docs_of):
     got = sanitise.spans_report(sanitise.find_spans(docs_of(rows))).select(*names).collect()
     assert sorted(str(tuple(r)) for r in got) == want
     assert any(r.n_term for r in got)
+
+
+def test_disclosing_terms_go_everywhere(spark, docs_of, monkeypatch):
+    import corpus_pipeline
+
+    far = " ".join(f"https://host.example/{'p' * 60}{i}" for i in range(2))
+    rows = [(i, f"Zebrafish filler common words {i} near zebrafish ann@x.org common words then ZEBRAFISH") for i in range(9)]
+    rows += [(20, "common words of a zebrafish elsewhere"), (21, "zebrafishes are other words"), (22, None)]
+    rows += [(30 + i, f"heron {'9' * 100} bob@x.org {'8' * 100} owl {i}") for i in range(3)]
+    rows += [(40 + i, f"common words near something else then filler {far}") for i in range(200)]
+    for limit in (200_000, 0):
+        monkeypatch.setattr(sanitise, "BROADCAST_ROWS", limit)
+        clean = {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, docs_of(rows), "").collect()}
+        assert clean[0] == " filler common words 0 near  [EMAIL] common words then "
+        assert clean[20] == "common words of a  elsewhere" and clean[21] == rows[10][1] and clean[22] is None
+        assert clean[31] == f" {'9' * 100} [EMAIL] {'8' * 100}  1" and clean[40] == rows[-1][1]
+    assert len(clean) == len(rows)
