@@ -614,13 +614,13 @@ def _labelled(spark, d):
 
 @_query()
 def oof_scores(spark, d):
-    _, scored = learn.train_folds(_labelled(spark, d), k=2, trees=5)
+    _, scored = learn.train_folds(_labelled(spark, d))
     return scored.select("s1_id", "candidate_id", "source", "label", F.round("score", 6).alias("model_match_prob"), (F.col("score") >= 0.5).cast("int").alias("predicted_match"))
 
 
 @_query()
 def feature_importance(spark, d):
-    models, _ = learn.train_folds(_labelled(spark, d), k=2, trees=5)
+    models, _ = learn.train_folds(_labelled(spark, d))
     return learn.importances(spark, models)
 
 

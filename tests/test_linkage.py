@@ -1,3 +1,4 @@
+import inspect
 import re
 import zipfile
 
@@ -224,3 +225,20 @@ def test_arrivals(spark, tmp_path):
     got = []
     ingest.link_arrivals(spark, str(tmp_path / "in"), pool, lambda df, n: got.extend((n, r.s1_entity_id, r.entity_id) for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert got == [(0, "S1-1", "S2-1")]
+
+
+def test_learning_queries_use_the_production_folds_and_trees(monkeypatch):
+    calls, signature = [], inspect.signature(learn.train_folds)
+
+    def fake(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        calls.append((bound.arguments["k"], bound.arguments["trees"]))
+        raise InterruptedError
+
+    monkeypatch.setattr(learn, "train_folds", fake)
+    monkeypatch.setattr(registry, "_labelled", lambda spark, d: None)
+    for name in ("oof_scores", "feature_importance"):
+        with pytest.raises(InterruptedError):
+            registry.queries()[name](None, "")
+    assert calls == [(5, 100)] * 2
