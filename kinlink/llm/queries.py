@@ -112,19 +112,19 @@ b AS (SELECT *, s + length(value)::INT AS e FROM every WHERE CASE kind WHEN 'ema
    WHEN 'card' THEN length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length({_DIGITS})), lambda j:
      CASE WHEN j % 2 = 0 THEN substr(reverse({_DIGITS}), j + 1, 1)::INT ELSE (substr(reverse({_DIGITS}), j + 1, 1)::INT * 2) % 10 + (substr(reverse({_DIGITS}), j + 1, 1)::INT * 2) // 10 END)) % 10 = 0
    ELSE length({_DIGITS}) BETWEEN 8 AND 15 END),
-c AS (SELECT b.key, kind || ':' || CASE WHEN kind = 'email' THEN lower(value) ELSE regexp_replace(value, '[^0-9.]', '', 'g') END AS entity, s, e,
-   CASE WHEN s > 80 THEN regexp_replace(substr(t, s - 79, 80), '^\\S+', '') ELSE substr(t, 1, s) END AS l,
-   CASE WHEN e + 80 < length(t) THEN regexp_replace(substr(t, e + 1, 80), '\\S+$', '') ELSE substr(t, e + 1, 80) END AS r FROM b JOIN u ON u.key = b.key),
-cw AS (SELECT key, entity, s - length(l)::INT AS off, true AS is_left, regexp_extract_all(l, '{_WORD}') AS v, string_split_regex(l, '{_WORD}') AS g FROM c
-   UNION ALL SELECT key, entity, e, false, regexp_extract_all(r, '{_WORD}'), string_split_regex(r, '{_WORD}') FROM c),
-near AS (SELECT DISTINCT key, entity, lower(v[i]) AS term, off + {_AT} AS s, off + {_AT} + length(v[i])::INT AS e FROM cw, range(1, len(v) + 1) x(i) WHERE CASE WHEN is_left THEN i > len(v) - 5 ELSE i <= 5 END),
-free AS (SELECT * FROM near WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = near.key AND near.s < b.e AND b.s < near.e)),
-pe AS (SELECT entity, term, sum(n) AS both_ FROM (SELECT DISTINCT key, entity, term FROM free) f JOIN u ON u.key = f.key GROUP BY ALL HAVING sum(n) >= 2),
-de AS (SELECT entity, sum(n) AS df FROM (SELECT DISTINCT key, entity FROM c) x JOIN u ON u.key = x.key GROUP BY 1),
-dt AS (SELECT term, sum(n) AS df FROM (SELECT n, unnest(list_distinct(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM u) GROUP BY 1),
-n AS (SELECT count(*) AS n FROM d),
-hit AS (SELECT entity, term FROM pe JOIN de USING (entity) JOIN dt USING (term), n WHERE n > de.df AND ln((both_ * n / (dt.df * de.df))::DOUBLE) / ln((n / de.df)::DOUBLE) >= 0.8),
-tm AS (SELECT DISTINCT free.key, s, e FROM free JOIN hit USING (entity, term)),
+ent AS (SELECT key, kind || ':' || CASE WHEN kind = 'email' THEN lower(value) ELSE regexp_replace(value, '[^0-9.]', '', 'g') END AS entity, s, e FROM b),
+wp AS (SELECT key, n, unnest(v) AS value, unnest(g[1:len(v)]) AS gap, generate_subscripts(v, 1) AS i FROM (SELECT key, n, regexp_extract_all(t, '{_WORD}') AS v, string_split_regex(t, '{_WORD}') AS g FROM u)),
+w AS (SELECT key, n, lower(value) AS term, (sum(length(value) + length(gap)) OVER (PARTITION BY key ORDER BY i))::BIGINT AS e, e - length(value) AS s FROM wp),
+free AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s) - 1 AS o FROM w WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = w.key AND w.s < b.e AND b.s < w.e)),
+pl AS (SELECT ent.key, entity, ent.s, count(free.key) AS o FROM ent LEFT JOIN free ON free.key = ent.key AND free.s < ent.s GROUP BY ALL),
+near AS (SELECT DISTINCT pl.key, entity, term, free.s, n FROM pl JOIN free ON free.key = pl.key AND free.o BETWEEN pl.o - 5 AND pl.o + 4),
+pe AS (SELECT entity, term, sum(n) AS both_ FROM near GROUP BY ALL),
+sup AS (SELECT entity, term FROM (SELECT DISTINCT key, entity, term, n FROM near) GROUP BY ALL HAVING sum(n) >= 2),
+ne AS (SELECT entity, sum(both_) AS n_e FROM pe GROUP BY 1),
+ct AS (SELECT term, sum(n) AS c_t FROM free GROUP BY 1),
+m AS (SELECT sum(c_t) AS m FROM ct),
+hit AS (SELECT DISTINCT term FROM pe JOIN sup USING (entity, term) JOIN ne USING (entity) JOIN ct USING (term), m WHERE n_e < m AND 1 + ln(both_::DOUBLE / c_t) / ln(m::DOUBLE / n_e) >= 0.8),
+tm AS (SELECT key, s, e FROM free JOIN hit USING (term)),
 ba AS (SELECT key, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS x, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _RULES)} FROM b GROUP BY key),
 ta AS (SELECT key, string_agg('term:' || s || ':' || e, ',' ORDER BY s, e) AS x, count(*) AS n_term FROM tm GROUP BY key)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _RULES)}, sha256(coalesce(ba.x, '')) AS base_sha256, concat_ws(',', ba.x, ta.x) AS spans, coalesce(n_term, 0) AS n_term

@@ -1,33 +1,36 @@
 """Personal data: rule-based spans, and terms that disclose them.
 
 Rules find emails, IP addresses, payment cards and phone numbers. Each found value is a protected entity. Terms beside
-it can reveal it even when it is masked; how much is estimated from the whole corpus. With document frequencies,
+it can reveal it even when it is masked; how much is estimated from co-occurrence over the whole corpus. The unit of all
+counts is a position: one word of one text, outside the found values. With M positions, c(t) of them holding term t,
+n(e) lying within WINDOW words of a value of e, and c(t, e) doing both,
 
-    disclosure(t -> e) = PMI(t, e) / IC(e) = ln(N df(t, e) / (df(t) df(e))) / ln(N / df(e)),
+    disclosure(t -> e) = PMI(t, e) / IC(e) = ln(M c(t, e) / (c(t) n(e))) / ln(M / n(e)) = 1 + ln(c(t, e) / c(t)) / ln(M / n(e)),
 
-the share of e's information content that seeing t gives away (1: t occurs nowhere without e). Terms within WINDOW
-words of e that reach THRESHOLD with at least SUPPORT documents of both are spans of kind "term"; sanitising replaces
-rule spans by their kind (generalisation) and removes disclosing terms. The report marks terms beside their value, as its
-SQL does; with `whole`, contexts have no bound in characters and a term is marked wherever it occurs in the corpus.
+the share of the information "a value of e is here" that seeing t gives away (1: t stands nowhere else). Terms that reach
+THRESHOLD with SUPPORT texts are marked wherever they occur in the corpus, as spans of kind "term"; sanitising replaces
+rule spans by their kind (generalisation) and removes disclosing terms.
 
-Everything is DataFrame expressions. Texts are scanned once for the rules and once for term frequencies; no text is
-shuffled, only found values, their short contexts and counts. Terms and entities are counted with partial aggregates,
-and occurrences meet their few disclosing pairs in a salted join.
+Everything is DataFrame expressions. A word is a letter and the letters and digits after it, on all sides; WINDOW words
+are taken whatever their length. Texts are scanned once for the rules, once for term counts and once for marked terms.
+Words are numbered in texts with found values only, by a running count; values meet the words beside them by (text,
+number), so the work grows with words and values, not with their product. Counts use partial aggregates; marked terms are
+broadcast after a count, or met in a salted join.
 
-Defined results: null text is empty and has no spans; equal rows get equal spans; rows with a null doc_id are scanned
-like others; an empty table gives an empty result; extra columns are never read. Offsets count code points.
+Defined results: null text is empty and has no spans; equal rows get equal spans and count as often as they occur; rows
+with a null doc_id are scanned like others; an empty table gives an empty result; extra columns are never read. Offsets
+count code points.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kinlink.llm.common import materialise, salted_lookup
 
 WINDOW, THRESHOLD, SUPPORT = 5, 0.8, 2
-#: Characters of context that are looked at beside a value; WINDOW words of it count.
-CONTEXT = 80
 #: Disclosing terms up to this many are sent to all tasks, more are met in a shuffle.
 BROADCAST_ROWS = 200_000
 #: Possessive forms of the rules: the same matches without backtracking or recursion. A run that failed from its first
@@ -97,97 +100,93 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[one(rank, kind) for rank, kind in enumerate(RULES)])
 
 
-def _context(text: Column, span: Column, reach: int = CONTEXT) -> list[Column]:
-    """Left and right context of a span without words that the cut went through, and the offset where each begins."""
-    at = F.greatest(F.lit(0), span["start"] - reach)
-    left = F.substr(text, at + 1, span["start"] - at)
-    left = F.when(at > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.substr(text, span["end"] + 1, F.lit(reach))
-    right = F.when(span["end"] + reach < F.length(text), F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    return [left.alias("left"), right.alias("right")]
-
-
-def _full_context(text: Column, span: Column, window: int) -> list[Column]:
-    """Contexts that hold `window` words, or all of the text on that side: the shortest of a few reaches that does."""
-    sides = zip(*(_context(text, span, reach) for reach in (CONTEXT, 16 * CONTEXT)), (F.substr(text, F.lit(1), span["start"]), F.substr(text, span["end"] + 1, F.length(text))))
-    enough = lambda side: F.regexp_count(side, F.lit(WORD)) >= window
-    return [F.when(enough(near), near).when(enough(far), far).otherwise(rest).alias(name) for name, (near, far, rest) in zip(("left", "right"), sides)]
-
-
-def find_base(docs: DataFrame, window: int | None = None) -> DataFrame:
-    """doc_id, key (names the row's id and text), base: the rules' spans with their contexts; with `window`, of at least
-    so many words where the text has them."""
-    context = lambda s: _context(F.col("text"), s) if window is None else _full_context(F.col("text"), s, window)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("text")))
-    found = rows.select("doc_id", key.alias("key"), "text", base_spans(F.col("text")).alias("base"))
-    wide = F.transform("base", lambda s: F.struct(s["rank"].alias("rank"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), *context(s)))
-    return found.select("doc_id", "key", wide.alias("base"))
-
-
-def neighbours(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, entity, term, start, end: words beside each rule span that are no part of any span."""
-    spans = found.where(F.size("base") > 0).select("key", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("taken"), F.explode("base").alias("s")).distinct()
-    name = F.when(F.col("s.kind") == "email", F.lower("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9.]", ""))
-    left, right = located(F.col("s.left"), WORD), located(F.col("s.right"), WORD)
-    near = spans.select("key", "taken", F.concat_ws(":", "s.kind", name).alias("entity"), "s", left.alias("l"), right.alias("r"))
-    shifted = lambda arr, by: F.transform(arr, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end")))
-    words = F.concat(
-        shifted(F.slice("l", F.greatest(F.lit(1), F.size("l") - (window - 1)), window), F.col("s.start") - F.length("s.left")),
-        shifted(F.slice("r", 1, window), F.col("s.end")),
-    )
-    free = F.filter(words, lambda w: ~F.exists("taken", lambda t: (w["start"] < t["end"]) & (t["start"] < w["end"])))
-    return near.select("key", "entity", F.explode(free).alias("w")).select("key", "entity", "w.term", "w.start", "w.end").distinct()
-
-
-def disclosing(docs: DataFrame, near: DataFrame, found: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """entity, term, disclosure of the pairs that reach the threshold. Frequencies count rows of docs over the corpus."""
-    weight = found.groupBy("key").agg(F.count("*").alias("rows"))
-    held = near.select("key", "entity", "term").distinct().join(weight, "key")
-    pairs = held.groupBy("entity", "term").agg(F.sum("rows").alias("both")).where(F.col("both") >= support)
-    entity = F.explode(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9.]", "")))))
-    entities = found.where(F.size("base") > 0).select("key", entity.alias("entity")).distinct().join(weight, "key").groupBy("entity").agg(F.sum("rows").alias("df_e"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("df_t"))
-    total = F.lit(found.count())
-    joined = pairs.join(entities, "entity").join(terms, "term").where(F.col("df_e") < total)
-    gain = F.ln(F.col("both") * total / (F.col("df_t") * F.col("df_e"))) / F.ln(total / F.col("df_e"))
-    return joined.select("entity", "term", gain.alias("disclosure")).where(F.col("disclosure") >= threshold)
-
-
-def occurrences(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
-    """key, everywhere: the spans of every occurrence of the terms in the texts, outside the rules' spans. Only texts that hold
-    a term are looked through for places."""
+def entity_of(kind: Column, value: Column) -> Column:
+    """A found value without its way of writing."""
+    return F.concat_ws(":", kind, F.when(kind == "email", F.lower(value)).otherwise(F.regexp_replace(value, "[^0-9.]", "")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key (names the row's id and text), text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64(text)))
-    rows = docs.select(key.alias("key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
+
+
+def find_base(docs: DataFrame) -> DataFrame:
+    """doc_id, key, base: the rules' spans; text: of rows that have such spans."""
+    found = keyed(docs).withColumn("base", base_spans(F.col("text")))
+    return found.select("doc_id", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
+
+
+def located_words(rows: DataFrame) -> DataFrame:
+    """rows (key, text and others) with start, end, term for every word of the text instead of the text."""
+    rest = [c for c in rows.columns if c != "text"]
+    pieces = F.arrays_zip(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("v"), F.split("text", WORD, -1).alias("g"))
+    each = rows.select(*rest, F.posexplode(pieces).alias("i", "p")).where("p.v is not null")
+    end = F.sum(F.length("p.g") + F.length("p.v")).over(W.partitionBy("key").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    return each.withColumn("end", end).select(*rest, (F.col("end") - F.length("p.v")).alias("start"), "end", F.lower("p.v").alias("term"))
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """For every text with found values, once: key, rows (its number of occurrences), start, end, term of its words and
+    start, end, entity of its values; inside: the word overlaps a value; number: words outside values before this place."""
+    texts = found.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("rows"), F.first("text").alias("text"), F.first("base").alias("base"))
+    words = located_words(texts.select("key", "rows", "text")).withColumn("entity", F.lit(None).cast("string"))
+    values = texts.select("key", "rows", F.explode("base").alias("s")).select("key", "rows", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.lit(None).cast("string").alias("term"), entity_of(F.col("s.kind"), F.col("s.value")).alias("entity"))
+    word = F.col("entity").isNull()
+    order = W.partitionBy("key").orderBy("start", word)
+    far = F.max(F.when(~word, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, 0))
+    # Words do not overlap, so a value that starts inside a word is the next row.
+    next_at, next_value = F.lead("start").over(order), F.lead("entity").over(order)
+    inside = word & (F.coalesce(far > F.col("start"), F.lit(False)) | F.coalesce(next_value.isNotNull() & (next_at < F.col("end")), F.lit(False)))
+    marked = words.unionByName(values).withColumn("inside", inside)
+    number = F.sum((word & ~F.col("inside")).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)) - (word & ~F.col("inside")).cast("long")
+    return marked.withColumn("number", number)
+
+
+def neighbours(places: DataFrame, window: int = WINDOW) -> DataFrame:
+    """key, rows, entity, term, start: words outside values that are within `window` words of a value, once for an entity."""
+    words = places.where("entity is null and not inside").select("key", "number", "rows", "term", "start")
+    reach = F.explode(F.sequence(F.col("number") - window, F.col("number") + (window - 1)))
+    asked = places.where("entity is not null").select("key", "entity", "number").distinct().select("key", "entity", reach.alias("number")).where("number >= 0").distinct()
+    return words.join(asked, ["key", "number"]).select("key", "rows", "entity", "term", "start")
+
+
+def disclosing(docs: DataFrame, places: DataFrame, near: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """entity, term, disclosure of the pairs that reach the threshold."""
+    texts = near.groupBy("entity", "term", "key", "rows").agg((F.count("*") * F.col("rows")).alias("n"))
+    pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.sum("rows").alias("texts"))
+    beside = pairs.groupBy("entity").agg(F.sum("both").alias("n_e"))
+    every = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("term")).agg(F.count("*").alias("n"))
+    hidden = places.where("inside").groupBy("term").agg((-F.sum("rows")).alias("n"))
+    counts = materialise(every.union(hidden).groupBy("term").agg(F.sum("n").alias("c_t")), "pii-counts")
+    total = F.lit(counts.agg(F.coalesce(F.sum("c_t"), F.lit(0)).alias("m")).first().m)
+    joined = pairs.where(F.col("texts") >= support).join(beside, "entity").join(counts, "term").where(F.col("n_e") < total)
+    share = 1 + F.ln(F.col("both") / F.col("c_t")) / F.ln(total / F.col("n_e"))
+    return joined.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
+
+
+def occurrences(docs: DataFrame, places: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, terms: the places of the terms in every text, outside the rules' spans. Only texts that hold a term are looked
+    through for places."""
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    meet = lambda words: words.join(F.broadcast(terms), "term") if few else salted_lookup(words, terms, "term", "key", how="inner")
+    rows = keyed(docs).select("key", "text")
     words = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("w")).select("key", F.lower("w").alias("term"))
-    few = terms.count() <= BROADCAST_ROWS
-    hits = words.join(F.broadcast(terms), "term") if few else salted_lookup(words, terms, "term", "key", how="inner")
-    held = materialise(hits.groupBy("key").agg(F.collect_set("term").alias("held")), "pii-held")
-    taken = found.select("key", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("taken")).join(held, "key").distinct()
-    marked = rows.join(taken, "key").select("key", "held", "taken", located(F.col("text"), WORD).alias("words"))
-    meant = F.filter("words", lambda w: F.array_contains("held", F.lower(w["value"])) & ~F.exists("taken", lambda t: (w["start"] < t["end"]) & (t["start"] < w["end"])))
-    return marked.select("key", F.transform(meant, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("everywhere")).distinct()
-
-
-def find_spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, support: int = SUPPORT, whole: bool = False) -> DataFrame:
-    """doc_id, key, base, terms: for every row the rules' spans and the spans of disclosing terms, with `whole` of all
-    their occurrences."""
-    found = materialise(find_base(docs, window if whole else None), "pii-base")
-    near = materialise(neighbours(found, window), "pii-near")
-    hits = disclosing(docs, near, found, threshold, support)
-    if whole:
-        hits = materialise(hits, "pii-pairs")
-    pairs = hits.select(F.struct("entity", "term").alias("pair"), F.lit(True).alias("hit"))
-    marked = salted_lookup(near.withColumn("pair", F.struct("entity", "term")), pairs, "pair", "key", how="inner")
-    terms = marked.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
-    spans = found.join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none))
-    if not whole:
-        return spans
-    placed = materialise(occurrences(docs, found, hits.select("term").distinct()), "pii-places")
-    return spans.join(placed, "key", "left").withColumn("terms", F.array_sort(F.array_union("terms", F.coalesce("everywhere", none)))).drop("everywhere")
+    held = materialise(meet(words).select("key").distinct(), "pii-held")
+    inside = places.where("inside").select("key", "start")
+    placed = meet(located_words(rows.join(held, "key").groupBy("key").agg(F.first("text").alias("text"))))
+    return placed.join(inside, ["key", "start"], "left_anti").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+
+
+def find_spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """doc_id, key, base, terms: for every row the rules' spans and the spans of disclosing terms."""
+    found = materialise(find_base(docs), "pii-base")
+    places = materialise(numbered(found), "pii-places")
+    hits = materialise(disclosing(docs, places, materialise(neighbours(places, window), "pii-near"), threshold, support), "pii-pairs")
+    placed = materialise(occurrences(docs, places, hits.select("term").distinct()), "pii-terms")
+    none = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint>>")
+    return found.drop("text").join(placed, "key", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def spans_report(spans: DataFrame) -> DataFrame:
@@ -203,16 +202,17 @@ def sanitised(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with rule spans generalised to [KIND] and disclosing terms removed; overlapping spans go as the first one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64(text)))
-    tag = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("tag")))
+    tag = F.transform("base", lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("tag")))
     cut = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("tag")))
     plan = spans.select("key", F.array_sort(F.concat(tag, cut)).alias("__pii_cuts")).where(F.size("__pii_cuts") > 0).distinct()
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    upto = lambda a, b: F.substr(F.col("__pii_text"), (a + 1).cast("int"), (b - a).cast("int"))
 
     def step(acc: Column, s: Column) -> Column:
         ahead = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.when(ahead, F.concat(F.substr(F.col("__pii_text"), acc["at"] + 1, s["start"] - acc["at"]), s["tag"])).otherwise(F.lit("")))
+        piece = F.concat(acc["out"], F.when(ahead, F.concat(upto(acc["at"], s["start"]), s["tag"])).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
 
-    done = F.aggregate("__pii_cuts", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("__pii_text"), acc["at"] + 1, F.length("__pii_text"))))
+    done = F.aggregate("__pii_cuts", start, step, lambda acc: F.concat(acc["out"], upto(acc["at"], F.length("__pii_text"))))
     rows = docs.withColumns({"__pii_text": text, "__pii_key": key}).join(plan.withColumnRenamed("key", "__pii_key"), "__pii_key", "left")
     return rows.withColumn("text", F.when(F.col("__pii_cuts").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)

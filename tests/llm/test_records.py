@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 import zlib
 
@@ -200,6 +202,67 @@ def test_spans_equal_sql(docs_of):
     assert any(r.n_term for r in got)
 
 
+def test_neighbours_are_words_whatever_their_length(docs_of):
+    long = ["q" * 40 + "x", "r" * 40 + "y"]
+    rows = [(i, f"zebrafish one {long[0]} {long[1]} two ann@x.org after {i}") for i in range(3)] + [(10 + i, "one two after something else entirely, common words") for i in range(40)]
+    got = {r.doc_id: r for r in sanitise.spans_report(sanitise.find_spans(docs_of(rows))).collect()}
+    t = rows[0][1]
+    marked = [t[int(a) : int(b)] for k, a, b in (x.split(":") for x in got[0].spans.split(",")) if k == "term"]
+    assert marked == ["zebrafish", *long]
+    assert got[10].n_term == 0
+
+
+def test_ten_thousand_values_in_one_text(docs_of):
+    text = " ".join(f"word{i % 7} u{i}@h{i}.org" for i in range(10_000))
+    rows = [(1, text), (2, text), (3, text), (4, "word1 x" * 5)]
+    got = {r.doc_id: r for r in sanitise.spans_report(sanitise.find_spans(docs_of(rows))).collect()}
+    assert got[1].n_email == got[3].n_email == 10_000 and got[1].spans == got[2].spans and got[4].n_email == 0
+
+
+def brute_terms(rows, window=5, threshold=0.8, support=2):
+    """Sets of (start, end) of the marked terms of each row, from the definition."""
+    beside, every, texts = {}, {}, {}
+    words = []
+    for _, t in rows:
+        t = t or ""
+        spans = [(m.start(), m.end(), k, m.group()) for k in RULES for m in re.finditer(RULES[k], t) if valid(k, m.group())]
+        free = [m for m in re.finditer(r"[^\W\d_]\w*", t.replace("_", " ")) if not any(m.start() < e and s < m.end() for s, e, *_ in spans)]
+        words.append(free)
+        near = set()
+        for s, e, k, v in spans:
+            name = k + ":" + (v.lower() if k == "email" else re.sub("[^0-9.]", "", v))
+            before = [j for j, m in enumerate(free) if m.start() < s]
+            near |= {(name, j) for j in before[-window:]} | {(name, j) for j in range(len(before), min(len(free), len(before) + window))}
+        for m in free:
+            every[m.group().lower()] = every.get(m.group().lower(), 0) + 1
+        for name, j in near:
+            beside[name, free[j].group().lower()] = beside.get((name, free[j].group().lower()), 0) + 1
+        for pair in {(name, free[j].group().lower()) for name, j in near}:
+            texts[pair] = texts.get(pair, 0) + 1
+    total, n_e = sum(every.values()), {}
+    for (name, _), n in beside.items():
+        n_e[name] = n_e.get(name, 0) + n
+    hits = {t for (name, t), n in beside.items() if texts[name, t] >= support and n_e[name] < total and 1 + math.log(n / every[t]) / math.log(total / n_e[name]) >= threshold}
+    return [{(m.start(), m.end()) for m in free if m.group().lower() in hits} for free in words]
+
+
+def test_terms_equal_brute_force(docs_of):
+    rng = random.Random(3)
+    vocabulary = [f"w{chr(97 + i % 26)}{'z' * (i % 9)}{i // 26}" for i in range(60)]
+    values = ["ann@x.org", "Bob.C@y.net", "10.0.0.7", "+1 415 555 2671", "4111 1111 1111 1111", "x4111111111111111"]
+    rows = []
+    for i in range(120):
+        words = rng.choices(vocabulary, k=rng.randint(0, 30))
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            v = rng.randrange(len(values))
+            words[(at := rng.randint(0, len(words))) : at] = rng.choice([[f"near{v}", values[v]], [values[v], values[v], f"Near{v}."], [values[v]]])
+        rows.append((i, " ".join(words)))
+    rows += [(500, rows[3][1]), (3, rows[3][1]), (None, rows[5][1]), (501, None), (502, "")]
+    want = sorted((i or -1, sorted(x)) for (i, _), x in zip(rows, brute_terms(rows)))
+    got = sorted((r.doc_id or -1, [(s.start, s.end) for s in r.terms]) for r in sanitise.find_spans(docs_of(rows)).collect())
+    assert got == want and any(x for _, x in want)
+
+
 def test_disclosing_terms_go_everywhere(spark, docs_of, monkeypatch):
     import corpus_pipeline
 
