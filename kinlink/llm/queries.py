@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinlink.llm import bpe_dropout, bradley_terry, chat, decontam, hpylm, media, sanitise, simhash_trie, suffix_dedup, warc_store
 
@@ -37,7 +38,8 @@ def op6_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join("items", ","))
 
 
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +133,30 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _RULES)}, sh
 FROM d LEFT JOIN ba ON ba.key = d.key LEFT JOIN ta ON ta.key = d.key
 """
 
+_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+_RUN = lambda column, n: " || chr(10) || ".join([column, *[f"lead({column}, {k}) OVER o" for k in range(1, n)]])
+_CAP = r"\p{Lu}\p{Ll}[\p{L}\p{N}]*"
+
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce("text", '') AS t FROM documents),
+x AS (SELECT 'd' AS src, k, t FROM d UNION ALL SELECT 'b', item_id, coalesce("text", '') FROM benchmark WHERE item_id IS NOT NULL),
+l AS (SELECT src, k, regexp_extract_all(t, '{_CAP}(?: {_CAP})*|\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)*|\\p{{L}}[\\p{{L}}\\p{{N}}]*|\\p{{N}}+') AS l FROM x),
+u AS (SELECT src, k, len(l) AS n, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM l),
+a AS (SELECT *, lower(tok) AS v, CASE WHEN regexp_matches(tok, '^\\p{{Lu}}\\p{{Ll}}') THEN 'name' WHEN regexp_matches(tok, '^\\p{{Nd}}') OR lower(tok) IN ({_LIST(decontam.NUMBERS)}) THEN 'num' ELSE '' END AS kind0 FROM u),
+b AS (SELECT src, k, n, i, v, CASE WHEN kind0 = '' AND v IN ({_LIST(decontam.UNITS)}) AND lag(kind0) OVER (PARTITION BY src, k ORDER BY i) = 'num' THEN 'unit' ELSE kind0 END AS kind FROM a),
+c AS (SELECT *, CASE kind WHEN '' THEN v ELSE '#' || kind END AS ty, CASE WHEN kind IN ('', 'name') THEN v ELSE '#' || kind END AS pl FROM b),
+w AS (SELECT src, k, n, i, {_RUN("ty", 5)} AS ty5, {_RUN("pl", 5)} AS pl5, {", ".join(f"{_RUN('v', n)} AS v{n}" for n in range(1, 5))} FROM c WINDOW o AS (PARTITION BY src, k ORDER BY i)),
+h AS (SELECT p.k, q.k AS item, p.i AS pa, q.i AS pb FROM w p JOIN w q ON p.src = 'd' AND q.src = 'b' AND p.ty5 = q.ty5
+      UNION SELECT p.k, q.k, p.i, q.i FROM w p JOIN w q ON p.src = 'd' AND q.src = 'b' AND p.pl5 = q.pl5
+      {" ".join(f"UNION SELECT p.k, q.k, p.i, q.i FROM w p JOIN w q ON p.src = 'd' AND q.src = 'b' AND q.n = {n} AND q.i = 1 AND p.v{n} = q.v{n}" for n in range(1, 5))}),
+z AS (SELECT DISTINCT h.k, item, pa - pb AS shift, pb + j AS place FROM h, range(0, 5) r(j)),
+f AS (SELECT z.k, item, shift, place, q.n, q.kind, q.v AS iv, p.v AS dv FROM z JOIN c q ON q.src = 'b' AND q.k = item AND q.i = place JOIN c p ON p.src = 'd' AND p.k = z.k AND p.i = place + shift),
+bad AS (SELECT DISTINCT k, item, shift FROM (SELECT k, item, shift, kind, iv FROM f WHERE kind <> '' GROUP BY ALL HAVING count(DISTINCT dv) > 1)),
+g AS (SELECT k, item, count(DISTINCT place) / any_value(n) AS coverage FROM f WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.k = f.k AND bad.item = f.item AND bad.shift = f.shift) GROUP BY k, item HAVING count(DISTINCT place) / any_value(n) >= 0.8),
+s AS (SELECT k, max(coverage) AS coverage, string_agg(item::VARCHAR, ',' ORDER BY item) AS items FROM g GROUP BY k)
+SELECT d.doc_id, s.k IS NOT NULL AS contaminated, coalesce(s.coverage, 0.0)::DOUBLE AS coverage, coalesce(s.items, '') AS items FROM d LEFT JOIN s ON s.k = d.k
+"""
+
 OP10_SQL = """
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce("text", '')) AS b FROM documents WHERE doc_id IS NOT NULL),
 w AS (SELECT k, doc_id, i, array_slice(b, i, i + 49) AS s FROM d, range(1, octet_length(b) - 48) t(i)),
@@ -148,4 +174,4 @@ FROM d LEFT JOIN n ON n.k = d.k LEFT JOIN h ON h.k = d.k
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_snapshot_collapse": OP1_SQL, "op6_disclosure_sanitiser": OP6_SQL, "op9_warc_store": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op1_snapshot_collapse": OP1_SQL, "op6_disclosure_sanitiser": OP6_SQL, "op7_template_windows": OP7_SQL, "op9_warc_store": OP9_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -155,36 +155,99 @@ def items(spark, rows):
 
 
 def test_reparameterised_questions(spark, docs_of):
-    bench = items(spark, [(7, ITEM), (9, ITEM), (8, "one two three four"), (None, "a b c d e f"), (3, None)])
+    bench = items(spark, [(7, ITEM), (9, ITEM), (8, "one two three four"), (None, "a b c d e f"), (3, None), (4, "Is 7 prime"), (5, "...")])
     rows = [
-        (1, "intro text, " + ITEM.upper() + " outro"),
+        (1, "intro text, " + ITEM + " outro"),
         (2, "x. " + ITEM.replace("Anna", "Peter").replace("12", "31").replace("5", "9")),
         (3, ITEM.replace("12 remain", "77 remain")),
         (4, "nothing of the kind is here at all today"),
         (5, None),
         (6, "one two three four"),
         (None, ITEM),
-        (1, "intro text, " + ITEM + " outro"),
+        (8, "intro text, " + ITEM.upper() + " outro"),
+        (9, "say: " + ITEM.lower()),
+        (10, "Is 7 prime?"),
+        (11, "Is 9 prime?"),
+        (12, ITEM.replace("again", "later")),
+        (13, ITEM.replace("12", "twelve").replace("Anna", "Mary Ann")),
+        (1, "another text under the same id"),
+        (14, " ".join(ITEM.split()[:9])),
+        (14, " ".join(ITEM.split()[9:])),
     ]
     got = decontam.contamination(docs_of(rows), bench).collect()
     assert len(got) == len(rows)
     hit = {r.doc_id: r["items"] for r in got if r.contaminated}
-    assert hit.get(2) == [7, 9] and hit.get(1) == [7, 9]
-    assert 3 not in hit and 4 not in hit and 5 not in hit and 6 not in hit
+    assert hit == {1: [7, 9], 2: [7, 9], 6: [8], None: [7, 9], 8: [7, 9], 9: [7, 9], 10: [4], 12: [7, 9], 13: [7, 9]}
+    assert [r.contaminated for r in got if r.doc_id == 1].count(True) == 1
+    left = decontam.clean(docs_of(rows), bench).collect()
+    assert sorted(r.doc_id for r in left) == [1, 3, 4, 5, 11, 14, 14] and left[0].base == "b"
     assert decontam.contamination(docs_of([]), bench).count() == 0
     assert not any(r.contaminated for r in decontam.contamination(docs_of(rows), items(spark, [])).collect())
 
 
+PEOPLE = ["Natalia", "Weng", "Betty", "Julie", "Ken Ono", "Alexis", "Tina", "James Lee Burke", "Tobias", "Ophelia"]
+PLACES = ["New York", "Boston", "Rome", "San Jose", "Oslo", "Lima"]
+
+
+def question(rng, vocabulary):
+    """A template of three to five sentences with names, places, numbers and units, and how to fill it."""
+    parts = []
+    for k in range(rng.randint(3, 5)):
+        words = rng.choices(vocabulary, k=rng.randint(5, 9))
+        words[rng.randint(1, 3)] = rng.choice(["{n0}", "{n1} km", "{n2} hours", "${n0}"])
+        words[rng.randint(4, len(words) - 1)] = rng.choice(["{p0}", "{c0}", "{p1}", "{n1}"])
+        parts.append(("{p0} " if k % 2 == 0 else rng.choice(["How ", "The ", "After "])) + " ".join(words) + rng.choice([".", "?", '."', ".)"]))
+    text = rng.choice([" ", "\n"]).join(parts)
+
+    def fill(rng):
+        n, p = rng.sample(range(2, 5000), 3), rng.sample(PEOPLE, 2)
+        return text.format(n0=n[0], n1=f"{n[1]:,}", n2=n[2], p0=p[0], p1=p[1], c0=rng.choice(PLACES))
+
+    return fill
+
+
+def test_renamed_and_renumbered_questions_are_found(spark, docs_of):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(400)]
+    fills = [question(rng, vocabulary) for _ in range(200)]
+    bench = [(i, f(rng)) for i, f in enumerate(fills)]
+    noise = lambda: " ".join(rng.choices(vocabulary, k=30))
+    rows = [(i, f"{noise()}. {f(rng)} {noise()}") for i, f in enumerate(fills)]
+    rows += [(1000 + i, " ".join([noise(), question(rng, vocabulary)(rng), noise()])) for i in range(200)]
+    got = {r.doc_id: r["items"] for r in decontam.contamination(docs_of(rows), items(spark, bench)).collect()}
+    found = sum(i in got[i] for i in range(200))
+    false = sum(len(set(x) - {i}) for i, x in got.items())
+    print(f"found {found} of 200, false hits {false}")
+    assert found >= 190 and false == 0
+
+
+def test_contamination_equals_sql(spark, docs_of):
+    rng = random.Random(4)
+    vocabulary = ["word", "Name", "Two Names", "12", "seven", "km", "it", "s", "3.5", "GO", "x9", "und", "Éa", "m"]
+    bench = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 14)))) for i in range(40)] + [(50, ITEM), (51, "Is 7 prime"), (52, None)]
+    rows = [(i, rng.choice([" ", "\n", ". "]).join([*rng.choices(vocabulary, k=rng.randint(0, 20)), *[rng.choice(bench)[1] or ""]])) for i in range(80)]
+    rows += [(100, None), (101, ""), (102, ITEM.replace("12", "31")), (3, rows[3][1])]
+    con = duckdb.connect()
+    con.execute('create table documents (doc_id bigint, "text" varchar)')
+    con.execute('create table benchmark (item_id bigint, "text" varchar)')
+    con.executemany("insert into documents values (?, ?)", rows)
+    con.executemany("insert into benchmark values (?, ?)", bench)
+    want = sorted(map(str, con.execute(queries.OP7_SQL).fetchall()))
+    got = decontam.contamination(docs_of(rows), items(spark, bench)).collect()
+    assert sorted(str((r.doc_id, r.contaminated, r.coverage, ",".join(map(str, r["items"])))) for r in got) == want
+    assert sum(r.contaminated for r in got) > 20
+
+
 def test_benchmark_by_shuffle_equals_broadcast(spark, docs_of, monkeypatch):
     bench = items(spark, [(7, ITEM)])
     rows = [(1, ITEM), (2, ITEM.replace("5", "6")), (3, "other " * 30)]
-    want = [tuple(r) for r in decontam.matches(docs_of(rows), bench).orderBy("doc_id").collect()]
+    want = [tuple(r) for r in decontam.matches(docs_of(rows), bench).orderBy("key").collect()]
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
-    assert [tuple(r) for r in decontam.matches(docs_of(rows), bench).orderBy("doc_id").collect()] == want and want
+    assert [tuple(r) for r in decontam.matches(docs_of(rows), bench).orderBy("key").collect()] == want and want
 
 
 def test_no_python_in_native_plans(spark, docs_of):
-    for df in (sanitise.find_base(docs_of([(1, "a@b.c")])), decontam.contamination(docs_of([(1, ITEM)]), items(spark, [(7, ITEM)]))):
+    for df in (sanitise.find_spans(docs_of([(1, "a@b.c")])), sanitise.numbered(sanitise.find_base(docs_of([(1, "a@b.c")]))), decontam.contamination(docs_of([(1, ITEM)]), items(spark, [(7, ITEM)]))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
