@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kinlink.llm.common import materialise
+
 #: Turn numbers of a block.
 BLOCK = 1024
 
@@ -64,5 +66,6 @@ def render(hashed: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    hashed = prefix_hashes(turns, block)
+    """conv_id, n_turns, n_copies, rendered of the maximal conversations. The hashes are a table, as three steps read them."""
+    hashed = materialise(prefix_hashes(turns, block), "chat")
     return render(hashed, maximal(hashed))

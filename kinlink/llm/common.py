@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import uuid
 
@@ -16,9 +17,12 @@ _LOCAL: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; the session's spark.checkpoint.dir."""
+    """The folder that driver and executors share; the session's spark.checkpoint.dir. Only a session whose executors are
+    in this process may go without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_CHECKPOINTS
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

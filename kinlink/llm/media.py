@@ -1,17 +1,20 @@
 """Interleaved document sequences with content-addressed media.
 
 HTML becomes one ordered sequence of items: text runs and media references with their captions, each at its position.
-References carry a SHA-256 digest (`sha256:<hex>`); joins on digests resolve them against a media store that holds the
-stored form of each payload. The store's format is a binary 8-bit grey map (PGM, 64 samples a row), so any byte string
-that is padded to a multiple of 64 is kept losslessly.
+A reference is a digest (`sha256:<hex>`) or a name that a manifest maps to one; joins on digests resolve references
+against a media store that holds the stored form of each payload. The store's format is a binary 8-bit grey map (PGM, 64
+samples a row), so any byte string that is padded to a multiple of 64 is kept losslessly. A reference may state the
+payload's length before padding (`data-length`), which stays with the reference.
 
 Payload bytes are written where they are read and never shuffled: each task stores what it has not stored yet, a digest
 may so be held by several tasks, and digests are made unique on the small feature rows. References travel grouped by
-digest within each task, so a payload that a third of all documents share is a handful of rows in the join.
+digest within each task, so a payload that a third of all documents share is a handful of rows in the join. Text items
+are never joined.
 
 Defined results: null or empty text is a payload of 64 zero bytes; null html is an empty sequence; references without a
-stored payload keep their position with null media; equal payloads get equal values; repeated rows are repeated; rows
-with a null id are kept; an empty table gives an empty result; extra columns are never read.
+stored payload, and names that no manifest knows, keep their position and caption with null media; equal payloads get
+equal values; repeated rows are repeated; rows with a null id are kept; an empty table gives an empty result; extra
+columns are never read.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ from pyspark.sql import functions as F
 from kinlink.llm.common import scratch_path, text_table
 
 ROW = 64
-SEQUENCE_SQL = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
-_ITEM = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
-FEATURES_SQL = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+ITEM_SQL = "position:int,kind:string,text:string,ref:string,caption:string,length:bigint"
+SEQUENCE_SQL = f"array<struct<{ITEM_SQL}>>"
+_ITEM = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string()), ("length", pa.int64())]))
+FEATURES_SQL = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 #: References to one digest leave a task in lists of at most this many.
 GROUP = 4096
 
@@ -56,8 +60,8 @@ class _Sequence(HTMLParser):
         if text:
             self._add("text", text, None, None)
 
-    def _add(self, kind, text, ref, caption):
-        self.items.append({"position": len(self.items), "kind": kind, "text": text, "ref": ref, "caption": caption})
+    def _add(self, kind, text, ref, caption, length=None):
+        self.items.append({"position": len(self.items), "kind": kind, "text": text, "ref": ref, "caption": caption, "length": length})
 
     def handle_starttag(self, tag, attrs):
         if tag in self.HIDDEN:
@@ -69,7 +73,8 @@ class _Sequence(HTMLParser):
             self._flush()
             found = dict(attrs)
             if found.get("src"):
-                self._add("media", None, found["src"], found.get("alt") or found.get("title"))
+                length = found.get("data-length") or ""
+                self._add("media", None, found["src"], found.get("alt") or found.get("title"), int(length) if length.isascii() and length.isdigit() and len(length) < 19 else None)
         elif tag not in self.INLINE:
             self._flush()
 
@@ -132,20 +137,20 @@ def write_store(docs: DataFrame, path: str) -> None:
     """The payload of every text under its digest; within a task each digest once."""
 
     def run(batches):
-        seen: set[tuple] = set()
+        seen: set[bytes] = set()
         for b in batches:
             out = []
             for text in b.column("text").to_pylist():
-                payload, n = payload_of(text), len((text or "").encode("utf-8"))
+                payload = payload_of(text)
                 digest = hashlib.sha256(payload)
-                if (digest.digest(), n) not in seen:
+                if digest.digest() not in seen:
                     if len(seen) >= 1 << 18:
                         seen.clear()
-                    seen.add((digest.digest(), n))
-                    out.append((digest.hexdigest(), n, encode_media(payload)))
-            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.binary()))], names=["digest", "n_bytes", "media"])
+                    seen.add(digest.digest())
+                    out.append((digest.hexdigest(), encode_media(payload)))
+            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in ((0, pa.string()), (1, pa.binary()))], names=["digest", "media"])
 
-    text_table(docs).select("text").mapInArrow(run, "digest string, n_bytes long, media binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    text_table(docs).select("text").mapInArrow(run, "digest string, media binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def _features(samples: bytes) -> str:
@@ -162,70 +167,87 @@ def stored_features(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for digest, n, media in zip(*(b.column(c).to_pylist() for c in ("digest", "n_bytes", "media"))):
+            for digest, media in zip(*(b.column(c).to_pylist() for c in ("digest", "media"))):
                 samples = decode_media(media)
                 found = hashlib.sha256(samples).hexdigest()
                 if found != digest:
                     raise ValueError(f"payload under {digest} has digest {found}")
-                out.append((digest, n, len(samples), found, zlib.crc32(samples[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), _features(samples)))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                out.append((digest, len(samples), found, zlib.crc32(samples[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), _features(samples)))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in FEATURES_SQL.split(", ")])
 
     rows = spark.read.parquet(path).mapInArrow(run, FEATURES_SQL)
-    # Two texts share a payload only if one ends in zero bytes that padding would add; n_bytes keeps them apart.
-    return rows.groupBy("digest", "n_bytes").agg(*[F.min(c).alias(c) for c in rows.columns if c not in ("digest", "n_bytes")])
+    return rows.groupBy("digest").agg(*[F.min(c).alias(c) for c in rows.columns if c != "digest"])
 
 
 def document_pages(docs: DataFrame) -> DataFrame:
-    """Each document as a page that refers to its payload: doc_id, html, with the unpadded length as the caption."""
+    """Each document as a page of its paragraphs and a figure that refers to its payload: doc_id, html."""
 
     def run(batches):
         for b in batches:
             pages = []
-            for text in b.column("text").to_pylist():
-                n = len((text or "").encode("utf-8"))
-                pages.append(f'<article><figure><img src="sha256:{hashlib.sha256(payload_of(text)).hexdigest()}"><figcaption>{html.escape(str(n))}</figcaption></figure></article>')
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                text = text or ""
+                body = "".join(f"<p>{html.escape(x)}</p>" for x in text.split("\n\n"))
+                figure = f'<img src="sha256:{hashlib.sha256(payload_of(text)).hexdigest()}" data-length="{len(text.encode("utf-8"))}"><figcaption>Document {doc_id}</figcaption>'
+                pages.append(f"<article>{body}<figure>{figure}</figure></article>")
             yield pa.record_batch([b.column("doc_id"), pa.array(pages, pa.string())], names=["doc_id", "html"])
 
     return text_table(docs).mapInArrow(run, "doc_id long, html string")
 
 
-def grouped_references(items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """digest, caption, holders: the (key, position) pairs that refer to it, gathered within each task."""
+def grouped_references(items: DataFrame, key: str) -> DataFrame:
+    """ref, holders: the (key, position, caption, length) that refer to it, gathered within each task."""
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("position", pa.int32()), ("caption", pa.string()), ("length", pa.int64())]))
 
     def run(batches):
-        held: dict[tuple, list] = {}
+        held: dict[str, list] = {}
         rows = 0
 
         def out():
             flat = [(k, v[i : i + GROUP]) for k, v in held.items() for i in range(0, len(v), GROUP)]
-            kind = pa.list_(pa.struct([("key", pa.int64()), ("position", pa.int32())]))
-            return pa.record_batch([pa.array([k[0] for k, _ in flat], pa.string()), pa.array([k[1] for k, _ in flat], pa.string()), pa.array([[{"key": a, "position": p} for a, p in v] for _, v in flat], kind)], names=["digest", "caption", "holders"])
+            return pa.record_batch([pa.array([k for k, _ in flat], pa.string()), pa.array([v for _, v in flat], kind)], names=["ref", "holders"])
 
         for b in batches:
             for k, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for x in found or ():
-                    if x["kind"] == "media" and x["ref"].startswith("sha256:"):
-                        held.setdefault((x["ref"][7:], x["caption"]), []).append((k, x["position"]))
+                    if x["kind"] == "media":
+                        held.setdefault(x["ref"], []).append({"key": k, "position": x["position"], "caption": x["caption"], "length": x["length"]})
                         rows += 1
             if rows >= 1 << 17:
                 yield out()
                 held, rows = {}, 0
         yield out()
 
-    return items.select(key, "items").mapInArrow(run, "digest string, caption string, holders array<struct<key:long,position:int>>")
+    return items.select(key, "items").mapInArrow(run, "ref string, holders array<struct<key:long,position:int,caption:string,length:long>>")
 
 
-def resolve(items: DataFrame, features: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, position, caption and the media columns of every stored reference."""
+def resolve(items: DataFrame, features: DataFrame, key: str = "doc_id", manifest: DataFrame | None = None) -> DataFrame:
+    """key, position, kind, text, ref, caption, length and the media columns: every item of every page, a row each. manifest:
+    ref, digest, one row for each ref."""
+    media = [c for c in features.columns if c != "digest"]
     refs = grouped_references(items, key)
-    found = refs.join(features.withColumnRenamed("n_bytes", "_n"), (refs.digest == features.digest) & (refs.caption.cast("long") == F.col("_n"))).drop(features.digest)
-    rest = [c for c in features.columns if c not in ("digest", "n_bytes")]
-    return found.select(F.explode("holders").alias("h"), "caption", F.col("_n").alias("n_bytes"), *rest).select(F.col("h.key").alias(key), F.col("h.position").alias("position"), "caption", "n_bytes", *rest)
+    named = F.when(F.col("ref").startswith("sha256:"), F.substr("ref", F.lit(8)))
+    if manifest is None:
+        refs = refs.withColumn("digest", named)
+    else:
+        known = manifest.select(F.col("ref").alias("_ref"), F.col("digest").alias("_digest"))
+        refs = refs.join(known, F.col("ref") == F.col("_ref"), "left").withColumn("digest", F.coalesce(named, "_digest"))
+    found = refs.join(features, "digest", "left").select(F.explode("holders").alias("h"), "ref", *media)
+    resolved = found.select(F.col("h.key").alias(key), F.col("h.position").alias("position"), F.lit("media").alias("kind"), F.lit(None).cast("string").alias("text"), "ref", F.col("h.caption").alias("caption"), F.col("h.length").alias("length"), *media)
+    texts = items.select(key, F.explode("items").alias("x")).where("x.kind = 'text'").select(key, "x.position", F.lit("text").alias("kind"), "x.text", *[F.lit(None).cast(resolved.schema[c].dataType).alias(c) for c in ("ref", "caption", "length", *media)])
+    return resolved.unionByName(texts)
+
+
+def interleaved(resolved: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, items: each page's resolved items in order, put together again. Repeated keys give one sequence."""
+    rest = [c for c in resolved.columns if c not in (key, "position")]
+    return resolved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", *rest))).alias("items"))
 
 
 def document_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id and the media columns of every document's stored payload."""
+    """doc_id, position, caption and the media columns of every document's stored payload."""
     path = scratch_path(spark, "media")
     write_store(docs, path)
-    return resolve(sequences(document_pages(docs), "doc_id"), stored_features(spark, path))
+    found = resolve(sequences(document_pages(docs), "doc_id"), stored_features(spark, path))
+    return found.where("kind = 'media'").withColumnRenamed("length", "n_bytes").drop("kind", "text", "ref")

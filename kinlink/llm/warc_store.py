@@ -89,7 +89,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
         length.cast("string"),
         F.lit("\r\n\r\n"),
     )
-    found.select("page_id", "digest", F.encode(warc, "UTF-8").alias("warc_header"), F.encode(http, "UTF-8").alias("http_header")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
+    found.select("page_id", "digest", F.encode(warc, "UTF-8").alias("warc_header"), F.encode(http, "UTF-8").alias("http_header"), is_response.alias("response")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def payload_index(spark: SparkSession, path: str) -> DataFrame:
@@ -118,11 +118,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and the full bytes of each original record, payload included (a revisit ends after its HTTP header)."""
+    """page_id and the full bytes of each original record, payload included (a revisit ends after its HTTP header, so only
+    responses meet payload bytes)."""
     headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    whole = headers.join(payloads.select("digest", "holder", "payload"), "digest")
-    body = F.when(F.col("page_id").eqNullSafe(F.col("holder")), F.col("payload")).otherwise(F.lit(b""))
-    return whole.select("page_id", F.concat("warc_header", "http_header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    whole = headers.where("response").join(payloads.select("digest", "payload"), "digest")
+    record = lambda body: F.concat("warc_header", "http_header", body, F.lit(b"\r\n\r\n")).alias("record")
+    return whole.select("page_id", record(F.col("payload"))).union(headers.where("not response").select("page_id", record(F.lit(b""))))
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import duckdb
+import pytest
 
 from kinlink.llm import chat, decontam, media, queries, sanitise, warc_store
 from kinlink.llm.common import scratch_path
@@ -85,11 +86,48 @@ def test_sequence_keeps_order_and_captions():
     assert media.sequence_of(None) == media.sequence_of("") == []
 
 
+def test_references_of_real_pages_resolve(spark, docs_of):
+    path = scratch_path(spark, "test-media")
+    media.write_store(docs_of([(1, "abc"), (2, "x" * 65), (3, "abc")]), path)
+    digest = {t: hashlib.sha256(media.payload_of(t)).hexdigest() for t in ("abc", "x" * 65, "lost")}
+    html = f'<h1>Head</h1><p>One</p><figure><img src="sha256:{digest["abc"]}" data-length="3"><figcaption>A caption</figcaption></figure>two<img src="/b.png" alt="B"><p>three</p><img src="sha256:{digest["lost"]}" data-length="x"><img src="/gone.png">'
+    rows = [(1, None, html), (2, None, None), (3, None, "<p>only text</p>"), (1, None, html), (None, None, html)]
+    manifest = spark.createDataFrame([("/b.png", digest["x" * 65], 1)], "ref string, digest string, position int")
+    found = media.resolve(media.sequences(pages(spark, rows), "page_id"), media.stored_features(spark, path), "page_id", manifest)
+    want = [
+        (0, "text", "Head", None, None, None, None), (1, "text", "One", None, None, None, None), (2, "media", None, f"sha256:{digest['abc']}", "A caption", 3, digest["abc"]),
+        (3, "text", "two", None, None, None, None), (4, "media", None, "/b.png", "B", None, digest["x" * 65]), (5, "text", "three", None, None, None, None),
+        (6, "media", None, f"sha256:{digest['lost']}", None, None, None), (7, "media", None, "/gone.png", None, None, None),
+    ]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.page_id, []).append((r.position, r.kind, r.text, r.ref, r.caption, r.length, r.payload_sha256))
+    key = lambda x: (x[0], x[1])
+    assert sorted(got[None], key=key) == want and sorted(got[1], key=key) == sorted(want * 2, key=key)
+    assert got[3] == [(0, "text", "only text", None, None, None, None)] and 2 not in got
+    whole = {r.page_id: r["items"] for r in media.interleaved(found.where("page_id = 3 or page_id is null"), "page_id").collect()}
+    assert [(x.position, x.kind, x.text, x.ref, x.caption, x.length, x.payload_sha256) for x in whole[None]] == want
+
+
+def test_sequences_of_the_page_table(spark):
+    """Every visible word of every page comes back in order, and every medium at its place."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    raw = {r.page_id: r.html or "" for r in rows.collect()}
+    found = media.resolve(media.sequences(rows, "page_id"), spark.createDataFrame([], media.FEATURES_SQL), "page_id")
+    got = {r.page_id: r["items"] for r in media.interleaved(found, "page_id").collect()}
+    assert got
+    for i, own in got.items():
+        assert [x.position for x in own] == list(range(len(own)))
+        refs = [x.ref for x in own if x.kind == "media"]
+        body = re.sub(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", "", raw[i])
+        assert all(f'"{r}"' in body or f"'{r}'" in body or r in body for r in refs)
+
+
 def test_media_of_documents(spark, docs_of):
     rows = [(1, "abc"), (2, "abc"), (3, None), (4, ""), (5, "x" * 64), (6, "x" * 65), (7, "é" * 100), (8, "abc\0"), (1, "abc"), (None, "q")]
     got = media.document_media(spark, docs_of(rows)).collect()
     assert len(got) == len(rows)
-    for (i, t), r in zip(sorted(rows, key=lambda x: (x[0] or -1, x[1] or "")), sorted(got, key=lambda r: (r.doc_id or -1, r.n_bytes))):
+    for (i, t), r in zip(sorted(rows, key=lambda x: (x[0] or -1, len((x[1] or "").encode()))), sorted(got, key=lambda r: (r.doc_id or -1, r.n_bytes))):
         raw = (t or "").encode()
         padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         stored = b"P5 64 %d 255\n" % (len(padded) // 64) + padded
@@ -309,7 +347,9 @@ def brute_terms(rows, window=5, threshold=0.8, support=2):
     return [{(m.start(), m.end()) for m in free if m.group().lower() in hits} for free in words]
 
 
-def test_terms_equal_brute_force(docs_of):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_terms_equal_brute_force(docs_of, monkeypatch, limit):
+    monkeypatch.setattr(sanitise, "BROADCAST_ROWS", limit)
     rng = random.Random(3)
     vocabulary = [f"w{chr(97 + i % 26)}{'z' * (i % 9)}{i // 26}" for i in range(60)]
     values = ["ann@x.org", "Bob.C@y.net", "10.0.0.7", "+1 415 555 2671", "4111 1111 1111 1111", "x4111111111111111"]
