@@ -166,17 +166,32 @@ def disclosing(docs: DataFrame, places: DataFrame, near: DataFrame, threshold: f
     return joined.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
+def marked_words(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, start, end of the terms in the texts, from one pass: words meet the broadcast terms where they are read, and
+    only those that are terms learn their place, from sums of lengths by blocks."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    words = rows.select("key", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("v"), F.split("text", WORD, -1).alias("g")).where(F.size("v") > 0)
+    sized = words.select("key", "v", F.transform(F.arrays_zip("v", F.slice("g", 1, F.size("v")).alias("g")), lambda x: F.length(x["v"]) + F.length(x["g"])).alias("steps"))
+    last = F.floor((F.size("steps") - 1) / F.lit(_BLOCK)).cast("int")
+    summed = sized.select("key", "v", "steps", F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice("steps", b * _BLOCK + 1, F.lit(_BLOCK)))).alias("sums"))
+    each = summed.select("key", "steps", "sums", F.posexplode("v").alias("i", "w"))
+    hits = each.withColumn("term", F.lower("w")).join(F.broadcast(terms), "term")
+    block = F.floor(F.col("i") / F.lit(_BLOCK)).cast("int")
+    end = (total(F.slice("sums", F.lit(1), block)) + total(F.slice("steps", block * _BLOCK + 1, F.col("i") - block * _BLOCK + 1))).cast("long")
+    return hits.select("key", (end - F.length("w")).alias("start"), end.alias("end"))
+
+
 def occurrences(docs: DataFrame, places: DataFrame, terms: DataFrame) -> DataFrame:
-    """key, terms: the places of the terms in every text, outside the rules' spans. Only texts that hold a term are looked
-    through for places."""
-    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    meet = lambda words: words.join(F.broadcast(terms), "term") if few else salted_lookup(words, terms, "term", "key", how="inner")
+    """key, terms: the places of the terms in every text, outside the rules' spans."""
     rows = keyed(docs).select("key", "text")
-    words = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("w")).select("key", F.lower("w").alias("term"))
-    held = materialise(meet(words).select("key").distinct(), "pii-held")
+    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        placed = marked_words(rows, terms)
+    else:  # only texts that hold a term are looked through for places
+        words = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("w")).select("key", F.lower("w").alias("term"))
+        held = materialise(salted_lookup(words, terms, "term", "key", how="inner").select("key").distinct(), "pii-held")
+        placed = salted_lookup(located_words(rows.join(held, "key").groupBy("key").agg(F.first("text").alias("text"))), terms, "term", "key", how="inner").select("key", "start", "end")
     inside = places.where("inside").select("key", "start")
-    placed = meet(located_words(rows.join(held, "key").groupBy("key").agg(F.first("text").alias("text"))))
-    return placed.join(inside, ["key", "start"], "left_anti").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    return placed.distinct().join(inside, ["key", "start"], "left_anti").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
 
 
 def find_spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
