@@ -44,6 +44,8 @@ RULES = {
 #: What a text must hold for a rule to match at all.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = r"\p{L}[\p{L}\p{N}]*+"
+#: Characters of a text that are looked through for marked terms at a time (a bound on rows, not on what is read).
+PIECE = 2048
 _BLOCK = 256
 
 
@@ -166,19 +168,23 @@ def disclosing(docs: DataFrame, places: DataFrame, near: DataFrame, threshold: f
     return joined.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
+def pieces(rows: DataFrame) -> DataFrame:
+    """key, first (offset), piece: texts cut where no word is, into pieces of about PIECE characters."""
+    cut = rows.select("key", F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}[\p{{L}}\p{{N}}]*+"), F.lit(0)).alias("parts"))
+    sized = cut.select("key", "parts", F.transform("parts", F.length).alias("sizes"))
+    each = sized.select("key", "sizes", F.posexplode("parts").alias("i", "piece"))
+    return each.select("key", F.aggregate(F.slice("sizes", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda s, x: s + x).alias("first"), "piece")
+
+
 def marked_words(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """key, start, end of the terms in the texts, from one pass: words meet the broadcast terms where they are read, and
-    only those that are terms learn their place, from sums of lengths by blocks."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    words = rows.select("key", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("v"), F.split("text", WORD, -1).alias("g")).where(F.size("v") > 0)
-    sized = words.select("key", "v", F.transform(F.arrays_zip("v", F.slice("g", 1, F.size("v")).alias("g")), lambda x: F.length(x["v"]) + F.length(x["g"])).alias("steps"))
-    last = F.floor((F.size("steps") - 1) / F.lit(_BLOCK)).cast("int")
-    summed = sized.select("key", "v", "steps", F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice("steps", b * _BLOCK + 1, F.lit(_BLOCK)))).alias("sums"))
-    each = summed.select("key", "steps", "sums", F.posexplode("v").alias("i", "w"))
-    hits = each.withColumn("term", F.lower("w")).join(F.broadcast(terms), "term")
-    block = F.floor(F.col("i") / F.lit(_BLOCK)).cast("int")
-    end = (total(F.slice("sums", F.lit(1), block)) + total(F.slice("steps", block * _BLOCK + 1, F.col("i") - block * _BLOCK + 1))).cast("long")
-    return hits.select("key", (end - F.length("w")).alias("start"), end.alias("end"))
+    only those that are terms learn their place in their piece of the text."""
+    words = pieces(rows).select("key", "first", F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("v"), F.split("piece", WORD, -1).alias("g"))
+    sized = words.select("key", "first", "v", F.transform(F.arrays_zip("v", F.slice("g", F.lit(1), F.size("v")).alias("g")), lambda x: F.length(x["v"]) + F.length(x["g"])).alias("steps"))
+    each = sized.select("key", "first", "steps", F.posexplode("v").alias("i", "w")).withColumn("term", F.lower("w"))
+    hits = each.join(F.broadcast(terms), "term")
+    end = F.aggregate(F.slice("steps", F.lit(1), F.col("i") + 1), F.col("first"), lambda s, x: s + x)
+    return hits.select("key", end.alias("end"), "w").select("key", (F.col("end") - F.length("w")).alias("start"), "end")
 
 
 def occurrences(docs: DataFrame, places: DataFrame, terms: DataFrame) -> DataFrame:
