@@ -67,17 +67,18 @@ def valued(tokens: Column) -> Column:
 
 def windows(rows: DataFrame, keep: list[str], short: tuple[int, ...] = (), width: int = WIDTH) -> DataFrame:
     """keep, at, wh, words (tokens with values) for every window of column `text`, and for those of the short widths."""
-    flat = rows.select(*keep, canonical(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_flat")).where("_flat <> ''")
+    # Exploded, so that the optimiser does not write the template out once for each use.
+    flat = rows.select(*keep, F.explode(F.array(canonical(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("_flat"))
     split = flat.select(*keep, *[F.split(f(F.col("_flat")), "\n").alias(c) for c, f in (("_lit", lambda x: x), ("_typed", typed), ("_plain", plain), *([("_valued", valued)] if short else []))])
     least = min((width, *short))
-    each = split.select(*keep, *split.columns[len(keep) :], F.explode(F.when(F.size("_lit") >= least, F.sequence(F.lit(0), F.size("_lit") - least))).alias("at"))
+    each = split.select(*keep, *split.columns[len(keep) :], F.explode(F.when((F.size("_lit") >= least) & (F.get("_lit", F.lit(0)) != ""), F.sequence(F.lit(0), F.size("_lit") - least))).alias("at"))
     mark = lambda c, n: F.xxhash64(*([F.lit(n)] if c == "_valued" else []), *[F.get(c, F.col("at") + k) for k in range(n)])
-    one, two = mark("_typed", width), mark("_plain", width)
-    marks = F.when(one == two, F.array(one)).otherwise(F.array(one, two))
+    marked = each.select(*keep, "_lit", "at", mark("_typed", width).alias("_one"), mark("_plain", width).alias("_two"), *[mark("_valued", n).alias(f"_v{n}") for n in short])
+    marks = F.when(F.col("_one") == F.col("_two"), F.array("_one")).otherwise(F.array("_one", "_two"))
     if short:
         none = F.array().cast("array<bigint>")
-        marks = F.concat(F.when(F.col("at") <= F.size("_lit") - width, marks).otherwise(none), *[F.when(F.col("at") <= F.size("_lit") - n, F.array(mark("_valued", n))).otherwise(none) for n in short])
-    return each.select(*keep, "at", F.explode(marks).alias("wh"), F.slice("_lit", F.col("at") + 1, width).alias("words"))
+        marks = F.concat(F.when(F.col("at") <= F.size("_lit") - width, marks).otherwise(none), *[F.when(F.col("at") <= F.size("_lit") - n, F.array(f"_v{n}")).otherwise(none) for n in short])
+    return marked.select(*keep, "_lit", "at", F.explode(marks).alias("wh")).select(*keep, "at", "wh", F.slice("_lit", F.col("at") + 1, width).alias("words"))
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, tuple[int, ...]]:
