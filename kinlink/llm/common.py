@@ -65,6 +65,12 @@ def shards(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def tasks_for(docs: DataFrame, each: int, column: str = "text") -> int:
+    """Tasks of about `each` bytes of text, so that a task's share does not grow with the table; enough for the cores."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first().n
+    return max(1, -(-total // each), min(docs.sparkSession.sparkContext.defaultParallelism, total >> 20))
+
+
 def text_table(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key and text only (extra columns never clash); a null text is empty."""
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -10,15 +10,19 @@ and likewise for p(w). Seating is sampled by Gibbs sweeps: given all else, a dis
 
     P(t | c) ~ S_d(c, t) (a + d T')(a + d (T' + 1)) ... (t factors) p(w)^t,   T': tables of the restaurant's other dishes,
 
-with generalised Stirling numbers S_d; it is drawn exactly up to STIRLING customers and beyond that by seating the
-customers anew in blocks. Within a sweep totals of restaurants and the parent's probabilities are those of the sweep
-before, so all dishes are drawn side by side. After burn-in, predictive probabilities are averaged over the samples.
-Discounts come from counts of counts, n1 / (n1 + 2 n2).
+with generalised Stirling numbers S_d, and is drawn from these weights whatever c: S_d comes from its recurrence up to
+STIRLING customers and from a contour integral of its generating function beyond (relative errors of 1e-3 at most, 1e-9 as
+a rule); where more than GRID values of t count, cells of neighbouring values are drawn and a value in the cell. T' leaves
+out the dish's own tables in both levels. Within a sweep totals of restaurants and the parent's probabilities are those
+of the sweep before, so all dishes are drawn side by side. The first seating has one table for each dish. Strengths of
+both levels are sampled in the burn-in sweeps (auxiliary variables, Gamma(1, 1) prior) and then kept, so that the samples
+share a model; predictive probabilities are averaged over the samples. Discounts come from counts of counts, n1 / (n1 + 2 n2).
 
 Distribution: (u, w) pairs are dealt by their own hash, so no restaurant and no word is ever in one task; words are dealt
 by hash too. A sweep is two jobs: pair tasks draw seats and send each word task one line per word with its tables as
 restaurant and as dish; word tasks add up, draw the parent's seats and answer. What a frequent word costs is one line
-per pair task. Lines and pairs travel as compressed arrays, and each sweep is a table in the shared folder.
+per pair task. Lines and pairs travel as compressed arrays, and each sweep is a table in the shared folder. The number of
+tasks follows the bytes of text (SHARD_BYTES a pair task), so a task's share does not grow with the corpus.
 
 Words are named by 48 bits of their XXH64. Defined results: null or empty text is one end token; rows with a null doc_id
 are training text; rows are scored each, and repeated rows count as often as they occur; without training text the base
@@ -38,17 +42,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import drop_path, release_shuffles, scratch_path, shards, trim
+from kinlink.llm.common import drop_path, release_shuffles, scratch_path, tasks_for, trim
 
-BURN_IN, SAMPLES, STRENGTH, SEED = 2, 2, 1.0, 11
-STIRLING = 48
+BURN_IN, SAMPLES, STRENGTH, SEED = 3, 3, 1.0, 11
+#: Customers up to which Stirling numbers come from a table, values of t that are weighed beyond it, bytes of a pair task.
+STIRLING, GRID, SHARD_BYTES = 256, 32, 24 << 20
 #: Names of the end token and of the context at a text's start; tokens that are counted together in a task.
 END, START, CHUNK = 1, 2, 3 << 18
 _MASK = (1 << 48) - 1
 #: Partial sums of logarithms travel as integers in units of 2 ** -30, so they add up the same in any order.
 FIXED = float(1 << 30)
 MESSAGE_SQL = "kind int, shard int, src long, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary, b5 binary, b6 binary"
-STATE, LINES, ANSWER, TOTAL, TOKENS, TEXTS = range(6)
+STATE, LINES, ANSWER, TOTAL, TOKENS, TEXTS, WORDS = range(7)
 
 
 def pack(x: np.ndarray, ordered: bool = False) -> bytes:
@@ -265,6 +270,91 @@ def _stirling(d: float, size: int = STIRLING) -> np.ndarray:
     return table
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    y = x + 6
+    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / (1260 * y * y)) / (y * y)) / y
+    return series - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+
+
+def _saddle(log_ratio, d: float, steps: int = 48) -> np.ndarray:
+    """log(1 - z) where z f'(z) / f(z) = c / t, with f(z) = (1 - (1 - z)^d) / d."""
+    low, high = np.full(np.shape(log_ratio), -690.0), np.full(np.shape(log_ratio), -1e-12)
+    for _ in range(steps):
+        mid = (low + high) / 2
+        up = np.log(-np.expm1(mid)) + np.log(d) + (d - 1) * mid - np.log(-np.expm1(d * mid)) > log_ratio
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    return (low + high) / 2
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float, nodes: int = 48) -> np.ndarray:
+    """log S_d(c, t) for large c, from c! / t! [z^c] f(z)^t. The coefficient is an integral over a parabola around the cut
+    of f(exp(-p / c)) that runs through the saddle point, or over a circle where t is nearly c."""
+    c, t = c.astype(np.float64), t.astype(np.float64)
+    out, rest = np.zeros(len(c)), c - t
+    at = np.flatnonzero(rest > 24)
+    if len(at):
+        cc, tt = c[at], t[at]
+        y = np.exp(_saddle(np.log(cc / tt), d))
+        p = -cc * np.log1p(-y)
+        bend = cc * np.maximum(1 + (1 - y) * (1 - d) / y - cc / tt, 1e-9)
+        m = np.maximum(p, 2.0)
+        reach = np.minimum(np.sqrt(1 + 45 / m), np.where(p >= 2, 9 * cc / (2 * m * np.sqrt(bend)), np.inf))
+        turn = 1 + 1j * reach[:, None] * ((np.arange(nodes) + 0.5) / nodes)
+        q = m[:, None] * turn**2
+        e = q + tt[:, None] * np.log((1 - (-np.expm1(-q / cc[:, None])) ** d) / d)
+        top = e.real.max(1)
+        whole = (np.exp(e - top[:, None]) * 2 * m[:, None] * turn).real.sum(1) * reach / (nodes * np.pi)
+        out[at] = _lgamma(cc + 1) - _lgamma(tt + 1) - np.log(cc) + top + np.log(np.maximum(whole, 1e-300))
+    at = np.flatnonzero((rest <= 24) & (rest > 0))
+    if len(at):
+        cc, tt, k = c[at], t[at], rest[at]
+        z0 = np.maximum(-np.expm1(_saddle(np.log(cc / tt), d)), 1e-6)
+        angle = (np.arange(128) + 0.5) * np.pi / 128
+        z = z0[:, None] * np.exp(1j * angle)
+        e = tt[:, None] * np.log((1 - (1 - z) ** d) / (d * z)) - 1j * k[:, None] * angle
+        top = e.real.max(1)
+        out[at] = _lgamma(cc + 1) - _lgamma(tt + 1) + top - k * np.log(z0) + np.log(np.maximum(np.exp(e - top[:, None]).real.sum(1) / 128, 1e-300))
+    return out
+
+
+def _draw_large(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, rng) -> np.ndarray:
+    """Tables of dishes with many customers each: weights of values of t around the mode."""
+    rise = strength / d + others
+    # The mode, where the derivative of the log weight in t = c / g is 0, as a root in y = log(1 - z).
+    low, high = np.full(len(c), -690.0), np.full(len(c), -1e-12)
+    for _ in range(48):
+        mid = (low + high) / 2
+        f = -np.expm1(d * mid) / d
+        t = np.minimum(c * f / np.maximum(-np.expm1(mid) * np.exp((d - 1) * mid), 1e-300), c)
+        up = np.log(d * (rise + t) * p) + np.log(f) - np.log(np.maximum(t, 1e-300)) > 0  # at this t more tables weigh more
+        high, low = np.where(up, high, mid), np.where(up, mid, low)
+    mode = np.clip(t, 1, c)
+    limit = (rise + 1) * p / np.maximum(1 - p, 1e-9)  # mean of t - 1 for ever more customers
+    wide = 9 * np.sqrt(np.minimum(np.maximum(limit / np.maximum(1 - p, 1e-9), mode), c)) + 24
+    first, last = np.maximum(1, np.minimum(mode, 1 + limit) - wide), np.minimum(c, np.maximum(mode, np.minimum(1 + limit, c)) + wide)
+    t = mode
+    for narrow in (True, True, False):  # the range whose weights count, then the draw
+        edge = np.floor(first[:, None] + (last - first + 1)[:, None] * (np.arange(GRID + 1) / GRID))
+        size = np.diff(edge, axis=1)
+        value = np.clip(np.floor(edge[:, :-1] + (size - 1) / 2), 1, c[:, None])
+        every = np.broadcast_to(c[:, None], value.shape)
+        weight = log_stirling(every.ravel(), value.ravel(), d).reshape(value.shape) + value * np.log(d * p)[:, None] + _lgamma(rise[:, None] + value) - _lgamma(rise)[:, None]
+        weight = np.where(size > 0, weight, -np.inf)
+        top = weight.max(1, keepdims=True)
+        if narrow:
+            counts = weight > top - 32
+            a, b = counts.argmax(1), GRID - 1 - counts[:, ::-1].argmax(1)
+            rows = np.arange(len(c))
+            first, last = np.maximum(edge[rows, np.maximum(a - 1, 0)], 1), np.minimum(edge[rows, np.minimum(b + 2, GRID)] - 1, c)
+            last = np.maximum(first, last)
+            continue
+        chance = np.cumsum(np.exp(weight - top) * size, 1)
+        cell = np.minimum((chance < (rng.random(len(c)) * chance[:, -1])[:, None]).sum(1), GRID - 1)
+        rows = np.arange(len(c))
+        t = edge[rows, cell] + np.floor(rng.random(len(c)) * np.maximum(size[rows, cell], 1))
+    return np.clip(t, 1, c).astype(np.int64)
+
+
 def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, rng) -> np.ndarray:
     """Table counts of dishes with c customers each, given the tables of the restaurant's other dishes and the parent's
     probability."""
@@ -274,27 +364,35 @@ def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, stre
     few = few[np.argsort(c[few], kind="stable")]
     cut = np.searchsorted(c[few], np.arange(STIRLING + 2))
     for size in range(2, STIRLING + 1):
-        for k in range(cut[size], cut[size + 1], 1 << 16):
-            own = few[k : min(k + (1 << 16), cut[size + 1])]
+        block = max(1, (1 << 20) // size)
+        for k in range(cut[size], cut[size + 1], block):
+            own = few[k : min(k + block, cut[size + 1])]
             steps = np.log(strength + d * (others[own][:, None] + np.arange(size))) + np.log(p[own])[:, None]
             weight = np.cumsum(steps, 1) + table[size, 1 : size + 1]
             weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
             t[own] = 1 + (weight < (rng.random(len(own)) * weight[:, -1])[:, None]).sum(1)
     many = np.flatnonzero(c > STIRLING)
-    if len(many):
-        size, tables, at = c[many].astype(np.float64), np.ones(len(many)), np.ones(len(many))
-        while True:
-            step = np.minimum(np.maximum(1, at // 8), size - at)
-            if not step.any():
-                break
-            new = (strength + d * (others[many] + tables)) * p[many]
-            chance = new / (new + at + step / 2 - d * tables)
-            tables += rng.binomial(step.astype(np.int64), np.clip(chance, 0, 1))
-            at += step
-        t[many] = tables.astype(np.int64)
+    for k in range(0, len(many), 256):
+        own = many[k : k + 256]
+        t[own] = _draw_large(c[own].astype(np.float64), others[own].astype(np.float64), p[own], d, strength, rng)
     return np.minimum(t, np.maximum(c, 0))
 
 
+def strength_terms(customers: np.ndarray, tables: np.ndarray, d: float, strength: float, rng) -> tuple[float, float]:
+    """Sums over restaurants of what the strength's Gamma conditional needs: tables opened by the strength, and -log x with
+    x ~ Beta(strength + 1, customers - 1). Tables beyond the 4096th are opened by it so rarely that they count as Poisson."""
+    some = customers > 1
+    waits = float(-np.log(np.maximum(rng.beta(strength + 1, customers[some] - 1), 1e-300)).sum())
+    left = np.sort(tables[tables > 1]) - 1
+    opened, i = 0, 1
+    while i <= 4096 and (alive := len(left) - int(np.searchsorted(left, i))):
+        opened += int(rng.binomial(alive, strength / (strength + d * i)))
+        i += 1
+    far = left[left > 4096].astype(np.float64)
+    opened += int(rng.poisson((strength / d * np.log((strength / d + far) / (strength / d + 4096))).sum())) if len(far) else 0
+    return float(opened), waits
+
+
 def _answers(rows: list[dict], words: np.ndarray, n: int, fields: tuple[str, ...]) -> list[np.ndarray]:
     """What the word tasks answered, in the order of words. Answers come in the order of the lines that asked."""
     found = {r["src"]: r for r in rows}
@@ -306,26 +404,35 @@ def _answers(rows: list[dict], words: np.ndarray, n: int, fields: tuple[str, ...
 
 
 def _parent(c0: np.ndarray, t0: np.ndarray, m: dict) -> np.ndarray:
-    return (c0 - m["d0"] * t0 + (m["a"] + m["d0"] * m["T0"]) * m["base"]) / (m["a"] + m["C0"])
+    return (c0 - m["d0"] * t0 + (m["a0"] + m["d0"] * m["T0"]) * m["base"]) / (m["a0"] + m["C0"])
 
 
 def _word_step(m: dict, sweep: int, last: bool):
-    """Adds up a word's lines, draws its tables in the parent and answers every task that has the word."""
+    """Adds up a word's lines, draws its tables in the parent (the first time: one) and answers every task that has the
+    word. A word's tables are kept for the next sweep, where they do not count as those of other words."""
 
     def run(key, table):
         shard = key[0].as_py()
-        lines = table.select(["src", "b0", "b1", "b2", "b3", "b4"]).to_pylist()
+        rows = table.select(["kind", "src", "b0", "b1", "b2", "b3", "b4"]).to_pylist()
+        lines, kept = [r for r in rows if r["kind"] == LINES], [r for r in rows if r["kind"] == WORDS]
+        if not lines:
+            return _messages([])
         parts = [(unpack(r["b0"], True), *(unpack(r[f"b{k}"]) for k in (1, 2, 3, 4))) for r in lines]
         words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         c_u, t_u, c_w, c0 = (np.bincount(at, weights=np.concatenate([p[k] for p in parts]), minlength=len(words)).astype(np.int64) for k in (1, 2, 3, 4))
         rng = np.random.default_rng([m["seed"], sweep, shard])
-        t0 = draw_tables(c0, np.full(len(c0), max(m["T0"] - 1, 0.0)), np.full(len(c0), m["base"]), m["d0"], m["a"], rng)
-        rows = [(TOTAL, 0, 0, pack(np.array([c0.sum(), t0.sum(), c_w.sum(), (c_w > 0).sum(), (c_w == 1).sum(), (c_w == 2).sum()])))]
+        t0 = np.minimum(c0, 1)
+        if kept:  # the words are the same in every sweep
+            others = np.maximum(m["T0"] - unpack(kept[0]["b1"]), 0.0)
+            t0 = draw_tables(c0, others, np.full(len(c0), m["base"]), m["d0"], m["a0"], rng)
+        opened, waits = strength_terms(c_u, t_u, m["d"], m["a"], rng) if sweep <= m["burn_in"] else (0.0, 0.0)
+        sums = [c0.sum(), t0.sum(), c_w.sum(), (c_w > 0).sum(), (c_w == 1).sum(), (c_w == 2).sum(), opened, round(waits * 1024)]
+        out = [(TOTAL, 0, 0, pack(np.array(sums, np.int64))), (WORDS, shard, 0, pack(words, True), pack(t0))]
         ends = np.cumsum([0, *(len(p[0]) for p in parts)])
         for r, a, b in zip(lines, ends, ends[1:]):
             own = at[a:b]
-            rows.append((ANSWER, r["src"], shard, *(pack(x[own]) for x in (t_u, c0, t0, *((c_u, c_w) if last else ())))))
-        return _messages(rows)
+            out.append((ANSWER, r["src"], shard, *(pack(x[own]) for x in (t_u, c0, t0, *((c_u, c_w) if last else ())))))
+        return _messages(out)
 
     return run
 
@@ -439,25 +546,32 @@ def score(docs: DataFrame, folds: int = 10, burn_in: int = BURN_IN, samples: int
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Texts whose id's crc32 is 0 modulo `folds`
     are held out."""
     spark = docs.sparkSession
-    n = max(1, shards(spark) * 2 // 3)  # each pair task holds a line for each of its words, so fewer tasks hold fewer lines
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
+    n = tasks_for(rows, SHARD_BYTES)
     disk = _Tables(spark)
     step = lambda df, f, sql=MESSAGE_SQL: df.groupBy("shard").applyInArrow(f, sql)
+    rng = np.random.default_rng([seed, 77])
 
     pairs = disk.write(step(rows.select("text", "held_out").mapInArrow(_count_step(n), MESSAGE_SQL), _start_step(n)))
     once = disk.totals(pairs)
     discount = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
-    m = {"a": strength, "seed": seed, "burn_in": burn_in, "samples": samples, "d": discount(*once[:2]) if len(once) > 1 else 0.5, "d0": 0.5, "base": 1.0, "C0": 0.0, "T0": 0.0}
-    models, answers = [], []
+    m = {"a": strength, "a0": strength, "seed": seed, "burn_in": burn_in, "samples": samples, "d": discount(*once[:2]) if len(once) > 1 else 0.5, "d0": 0.5, "base": 1.0, "C0": 0.0, "T0": 0.0}
+    models, answers, before = [], [], None
     for sweep in range(burn_in + samples + 1):
-        if sweep == 0:  # for the number of words; the first answers have one table for each pair
-            m["base"] = 1e-6
-        lines = disk.read(pairs, LINES)
-        path = disk.write(step(lines, _word_step(dict(m), sweep, sweep == burn_in + samples)))
-        c0, t0, total, words, one, two = np.zeros(6) + disk.totals(path)
+        asked = disk.read(pairs, LINES)
+        if before is not None:
+            asked = asked.union(disk.read(before, WORDS))
+        path = disk.write(step(asked, _word_step(dict(m), sweep, sweep == burn_in + samples)))
+        c0, t0, total, words, one, two, opened, waits = np.zeros(8) + disk.totals(path)
         disk.drop(pairs, LINES)
+        if before is not None:
+            disk.drop(before, WORDS)
+        before = path
         m |= {"C0": float(c0), "T0": float(t0), "N": int(total), "V": int(words), "base": 1.0 / (int(words) + 1), "d0": discount(one, two)}
+        if 0 < sweep <= burn_in:
+            own, wait = strength_terms(np.array([int(c0)]), np.array([int(t0)]), m["d0"], m["a0"], rng)
+            m |= {"a": float(max(rng.gamma(1 + opened, 1 / (1 + waits / 1024)), 1e-3)), "a0": float(max(rng.gamma(1 + own, 1 / (1 + wait)), 1e-3))}
         if sweep > burn_in:
             models.append(dict(m))
             answers.append(path)
@@ -468,7 +582,7 @@ def score(docs: DataFrame, folds: int = 10, burn_in: int = BURN_IN, samples: int
         drop_path(spark, pairs)
         pairs = new
         if sweep <= burn_in:
-            drop_path(spark, path)
+            disk.drop(path, ANSWER)
     m["models"] = models
     parts = rows.mapInArrow(_token_step(n), MESSAGE_SQL).union(disk.read(pairs, STATE, without=("b3",)))
     for k, path in enumerate(answers):
@@ -476,3 +590,10 @@ def score(docs: DataFrame, folds: int = 10, burn_in: int = BURN_IN, samples: int
     sums = step(parts, _score_step(m, n))
     found = sums.groupBy("src").applyInArrow(_gather, _RESULT_SQL)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m["N"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def perplexity(scored: DataFrame, column: str = "score") -> DataFrame:
+    """held_out, perplexity, n_tokens: 10 to the mean negative log10 probability of a token, for each of the two parts; null
+    ids count as training texts and an empty table gives no rows."""
+    sums = scored.groupBy("held_out").agg(F.sum(column).alias("_s"), F.sum("n_tokens").alias("n_tokens"))
+    return sums.select("held_out", F.pow(F.lit(10.0), -F.col("_s") / F.col("n_tokens")).alias("perplexity"), "n_tokens")

@@ -110,8 +110,108 @@ def test_long_tables_stay_in_range():
     assert t[0] == 0 and (t[1:] >= 1).all() and (t <= c).all()
 
 
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.8, 0.95])
+def test_stirling_numbers_by_integral(d):
+    table = hpylm._stirling(d, 900)
+    for c in (257, 900):
+        t = np.arange(1, c + 1)
+        assert np.abs(hpylm.log_stirling(np.full(c, c), t, d) - table[c, 1 : c + 1]).max() < 2e-3
+
+
+@pytest.mark.parametrize("c,others,p,d,a", [(48, 100, 0.02, 0.7, 1.0), (256, 20, 0.1, 0.7, 1.0), (300, 2000, 0.0005, 0.6, 1.0), (300, 4000, 0.05, 0.8, 2.0), (300, 5, 0.001, 0.7, 1.0), (700, 900, 0.5, 0.5, 0.3), (300, 10**6, 0.9, 0.8, 1.0)])
+def test_large_dishes_are_drawn_from_their_weights(c, others, p, d, a):
+    """Both ways to draw agree with the weights from the recurrence, on both sides of the switch."""
+    t = np.arange(1, c + 1)
+    log = hpylm._stirling(d, c)[c, 1:] + np.cumsum(np.log(a + d * (others + t - 1)) + math.log(p))
+    weight = np.exp(log - log.max())
+    weight /= weight.sum()
+    mean, n = float((weight * t).sum()), 4000
+    deviation = math.sqrt(float((weight * (t - mean) ** 2).sum()))
+    rng = np.random.default_rng(2)
+    draws = [hpylm._draw_large(np.full(n, float(c)), np.full(n, float(others)), np.full(n, p), d, a, rng)]
+    if c <= hpylm.STIRLING:
+        draws.append(hpylm.draw_tables(np.full(n, c), np.full(n, others), np.full(n, p), d, a, rng))
+    for got in draws:
+        assert abs(got.mean() - mean) < 5 * deviation / math.sqrt(n) + 1e-9
+        assert abs(got.std() - deviation) < 0.06 * deviation + 1e-9
+        assert got.min() >= 1 and got.max() <= c
+
+
+def test_very_large_dishes():
+    """For ever more customers, t - 1 is negative binomial; the mean of that is known."""
+    n, d, a, others, p = 2000, 0.7, 1.0, 100, 0.02
+    got = hpylm._draw_large(np.full(n, 1e9), np.full(n, float(others)), np.full(n, p), d, a, np.random.default_rng(4))
+    want = 1 + ((a + d * others) / d + 1) * p / (1 - p)
+    assert abs(got.mean() - want) < 0.15
+    many = hpylm._draw_large(np.array([1e7, 5e6]), np.array([1e6, 1e6]), np.array([0.05, 0.3]), 0.8, 1.0, np.random.default_rng(5))
+    assert (many > 1000).all() and (many < 5e6).all()
+
+
+def sequential(counts, words, sweeps, burn, d, d0, a, a0, rng):
+    """Gibbs sampling of all tables one after the other. Mean tables and mean predictive probability of every (u, w)."""
+    vocabulary = len(words)
+    t, t0, base = {k: 1 for k in counts}, {}, 1 / (vocabulary + 1)
+    c0 = Counter(w for _, w in t)
+    t0 = {w: 1 for w in c0}
+    t_u, c_u = Counter(u for u, _ in t), Counter()
+    for (u, _), c in counts.items():
+        c_u[u] += c
+    total, seen, prob = 0.0, 0, Counter()
+    parent = lambda w: (c0[w] - d0 * t0[w] + (a0 + d0 * sum(t0.values())) * base) / (a0 + sum(c0.values()))
+    one = lambda c, others, p, dd, aa: int(hpylm.draw_tables(np.array([c]), np.array([others]), np.array([p]), dd, aa, rng)[0])
+    for sweep in range(sweeps):
+        for (u, w), c in counts.items():
+            new = one(c, t_u[u] - t[u, w], parent(w), d, a)
+            t_u[u] += new - t[u, w]
+            c0[w] += new - t[u, w]
+            t[u, w] = new
+        for w in t0:
+            t0[w] = one(c0[w], sum(t0.values()) - t0[w], base, d0, a0)
+        if sweep >= burn:
+            total, seen = total + sum(t.values()), seen + 1
+            for (u, w), c in counts.items():
+                prob[u, w] += (c - d * t[u, w] + (a + d * t_u[u]) * parent(w)) / (a + c_u[u])
+    return total / seen, {k: v / seen for k, v in prob.items()}
+
+
+def test_scores_agree_with_a_sequential_sampler(docs_of):
+    """Parallel sweeps over tables of Spark against one dish after the other, on a small corpus, strengths held."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(25)], k=40))) for i in range(120)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter()
+    for text in train:
+        w = tokens(text)
+        counts.update(zip(["^", *w[:-1]], w))
+    ones, twos = (sum(1 for c in counts.values() if c == k) for k in (1, 2))
+    got = hpylm.score(docs_of(rows), burn_in=0, samples=12).collect()
+    d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+    _, prob = sequential(counts, words + [None], 30, 8, d, 0.1, 1.0, 1.0, np.random.default_rng(6))
+    own = {r.doc_id: r.score for r in got}
+    texts = [(i, tokens(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    want = {i: sum(math.log10(prob[k]) for k in zip(["^", *w[:-1]], w)) for i, w in texts}
+    assert max(abs(own[i] - want[i]) / abs(want[i]) for i in want) < 0.02
+
+
+def test_perplexity(spark):
+    rows = spark.createDataFrame([(True, -3.0, 2), (True, -1.0, 2), (False, -4.0, 1)], "held_out boolean, score double, n_tokens long")
+    got = {r.held_out: (r.perplexity, r.n_tokens) for r in hpylm.perplexity(rows).collect()}
+    assert got == {True: (pytest.approx(10.0), 4), False: (pytest.approx(10_000.0), 1)}
+    assert hpylm.perplexity(rows.limit(0)).count() == 0
+
+
+def test_strength_terms_equal_their_means():
+    rng = np.random.default_rng(7)
+    customers, tables, d, a = np.array([1, 10, 500, 4]), np.array([1, 6, 90, 1]), 0.6, 2.0
+    got = np.array([hpylm.strength_terms(customers, tables, d, a, rng) for _ in range(3000)])
+    opened = sum(a / (a + d * i) for t in tables for i in range(1, t))
+    waits = sum(sum(1 / (a + 1 + k) for k in range(c - 1)) for c in customers if c > 1)
+    assert abs(got[:, 0].mean() - opened) < 0.15 and abs(got[:, 1].mean() - waits) < 0.15
+
+
 def test_predictive_probabilities_sum_to_one():
-    m = {"d0": 0.5, "a": 1.0, "base": 1 / 4}
+    m = {"d0": 0.5, "a0": 1.0, "base": 1 / 4}
     c0, t0 = np.array([5, 2, 1, 0]), np.array([2, 1, 1, 0])
     m |= {"C0": 8.0, "T0": 4.0}
     assert math.isclose(hpylm._parent(c0, t0, m).sum(), 1.0)
