@@ -125,7 +125,7 @@ sup AS (SELECT entity, term FROM (SELECT DISTINCT key, entity, term, n FROM near
 ne AS (SELECT entity, sum(both_) AS n_e FROM pe GROUP BY 1),
 ct AS (SELECT term, sum(n) AS c_t FROM free GROUP BY 1),
 m AS (SELECT sum(c_t) AS m FROM ct),
-hit AS (SELECT DISTINCT term FROM pe JOIN sup USING (entity, term) JOIN ne USING (entity) JOIN ct USING (term), m WHERE n_e < m AND 1 + ln(both_::DOUBLE / c_t) / ln(m::DOUBLE / n_e) >= 0.8),
+hit AS (SELECT DISTINCT term FROM pe JOIN sup USING (entity, term) JOIN ne USING (entity) JOIN ct USING (term), m WHERE n_e < m AND both_ * 2 >= c_t AND 1 + ln(both_::DOUBLE / c_t) / ln(m::DOUBLE / n_e) >= 0.8),
 tm AS (SELECT key, s, e FROM free JOIN hit USING (term)),
 ba AS (SELECT key, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS x, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _RULES)} FROM b GROUP BY key),
 ta AS (SELECT key, string_agg('term:' || s || ':' || e, ',' ORDER BY s, e) AS x, count(*) AS n_term FROM tm GROUP BY key)

@@ -7,9 +7,11 @@ n(e) lying within WINDOW words of a value of e, and c(t, e) doing both,
 
     disclosure(t -> e) = PMI(t, e) / IC(e) = ln(M c(t, e) / (c(t) n(e))) / ln(M / n(e)) = 1 + ln(c(t, e) / c(t)) / ln(M / n(e)),
 
-the share of the information "a value of e is here" that seeing t gives away (1: t stands nowhere else). Terms that reach
-THRESHOLD with SUPPORT texts are marked wherever they occur in the corpus, as spans of kind "term"; sanitising replaces
-rule spans by their kind (generalisation) and removes disclosing terms.
+the share of the information "a value of e is here" that seeing t gives away (1: t stands nowhere else). In a large corpus
+the share alone is lenient: with M = 10^8 positions and n(e) = 20, a term that stands beside e once in 20 times reaches
+0.8. So a term must also leave at most RESIDUAL bits open, log2(c(t) / c(t, e)). Terms that reach both thresholds with
+SUPPORT texts are marked wherever they occur in the corpus, as spans of kind "term"; sanitising replaces rule spans by
+their kind (generalisation) and removes disclosing terms.
 
 Everything is DataFrame expressions. A word is a letter and the letters and digits after it, on all sides; WINDOW words
 are taken whatever their length. Texts are scanned once for the rules, once for term counts and once for marked terms.
@@ -30,7 +32,7 @@ from pyspark.sql.window import Window as W
 
 from kinlink.llm.common import materialise, salted_lookup
 
-WINDOW, THRESHOLD, SUPPORT = 5, 0.8, 2
+WINDOW, THRESHOLD, RESIDUAL, SUPPORT = 5, 0.8, 1.0, 2
 #: Disclosing terms up to this many are sent to all tasks, more are met in a shuffle.
 BROADCAST_ROWS = 200_000
 #: Possessive forms of the rules: the same matches without backtracking or recursion. A run that failed from its first
@@ -154,8 +156,8 @@ def neighbours(places: DataFrame, window: int = WINDOW) -> DataFrame:
     return words.join(asked, ["key", "number"]).select("key", "rows", "entity", "term", "start")
 
 
-def disclosing(docs: DataFrame, places: DataFrame, near: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """entity, term, disclosure of the pairs that reach the threshold."""
+def disclosing(docs: DataFrame, places: DataFrame, near: DataFrame, threshold: float = THRESHOLD, residual: float = RESIDUAL, support: int = SUPPORT) -> DataFrame:
+    """entity, term, disclosure of the pairs that reach the thresholds."""
     texts = near.groupBy("entity", "term", "key", "rows").agg((F.count("*") * F.col("rows")).alias("n"))
     pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.sum("rows").alias("texts"))
     beside = pairs.groupBy("entity").agg(F.sum("both").alias("n_e"))
@@ -163,7 +165,7 @@ def disclosing(docs: DataFrame, places: DataFrame, near: DataFrame, threshold: f
     hidden = places.where("inside").groupBy("term").agg((-F.sum("rows")).alias("n"))
     counts = materialise(every.union(hidden).groupBy("term").agg(F.sum("n").alias("c_t")), "pii-counts")
     total = F.lit(counts.agg(F.coalesce(F.sum("c_t"), F.lit(0)).alias("m")).first().m)
-    joined = pairs.where(F.col("texts") >= support).join(beside, "entity").join(counts, "term").where(F.col("n_e") < total)
+    joined = pairs.where(F.col("texts") >= support).join(beside, "entity").join(counts, "term").where((F.col("n_e") < total) & (F.col("both") * 2.0**residual >= F.col("c_t")))
     share = 1 + F.ln(F.col("both") / F.col("c_t")) / F.ln(total / F.col("n_e"))
     return joined.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
@@ -200,11 +202,11 @@ def occurrences(docs: DataFrame, places: DataFrame, terms: DataFrame) -> DataFra
     return placed.distinct().join(inside, ["key", "start"], "left_anti").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
 
 
-def find_spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def find_spans(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, residual: float = RESIDUAL, support: int = SUPPORT) -> DataFrame:
     """doc_id, key, base, terms: for every row the rules' spans and the spans of disclosing terms."""
     found = materialise(find_base(docs), "pii-base")
     places = materialise(numbered(found), "pii-places")
-    hits = materialise(disclosing(docs, places, materialise(neighbours(places, window), "pii-near"), threshold, support), "pii-pairs")
+    hits = materialise(disclosing(docs, places, materialise(neighbours(places, window), "pii-near"), threshold, residual, support), "pii-pairs")
     placed = materialise(occurrences(docs, places, hits.select("term").distinct()), "pii-terms")
     none = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint>>")
     return found.drop("text").join(placed, "key", "left").withColumn("terms", F.coalesce("terms", none))

@@ -343,7 +343,7 @@ def brute_terms(rows, window=5, threshold=0.8, support=2):
     total, n_e = sum(every.values()), {}
     for (name, _), n in beside.items():
         n_e[name] = n_e.get(name, 0) + n
-    hits = {t for (name, t), n in beside.items() if texts[name, t] >= support and n_e[name] < total and 1 + math.log(n / every[t]) / math.log(total / n_e[name]) >= threshold}
+    hits = {t for (name, t), n in beside.items() if texts[name, t] >= support and n_e[name] < total and 2 * n >= every[t] and 1 + math.log(n / every[t]) / math.log(total / n_e[name]) >= threshold}
     return [{(m.start(), m.end()) for m in free if m.group().lower() in hits} for free in words]
 
 
@@ -366,6 +366,14 @@ def test_terms_equal_brute_force(docs_of, monkeypatch, limit):
     assert got == want and any(x for _, x in want)
 
 
+def test_a_term_that_is_mostly_elsewhere_does_not_disclose(docs_of):
+    rows = [(i, f"heron owl{i} ann@x.org") for i in range(2)] + [(10 + i, " ".join(f"word{i}x{j}" for j in range(200)) + " heron") for i in range(12)]
+    spans = {r.doc_id: r.terms for r in sanitise.find_spans(docs_of(rows)).collect()}
+    assert not any(spans.values())
+    lenient = {r.doc_id: len(r.terms) for r in sanitise.find_spans(docs_of(rows), threshold=0.5, residual=9.0).collect()}
+    assert lenient[0] == lenient[10] == 1
+
+
 def test_disclosing_terms_go_everywhere(spark, docs_of, monkeypatch):
     import corpus_pipeline
 
