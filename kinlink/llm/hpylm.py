@@ -42,11 +42,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import drop_path, release_shuffles, scratch_path, tasks_for, trim
+from kinlink.llm.common import drop_path, materialise, release_shuffles, scratch_path, tasks_for, trim
 
-BURN_IN, SAMPLES, STRENGTH, SEED = 3, 3, 1.0, 11
+BURN_IN, SAMPLES, STRENGTH, SEED = 2, 3, 1.0, 11
 #: Customers up to which Stirling numbers come from a table, values of t that are weighed beyond it, bytes of a pair task.
-STIRLING, GRID, SHARD_BYTES = 256, 32, 24 << 20
+STIRLING, GRID, SHARD_BYTES = 256, 32, 12 << 20
+#: Parts of the texts that are scored one after the other, so that only a part's tokens are on disk at a time.
+PARTS = 2
 #: Names of the end token and of the context at a text's start; tokens that are counted together in a task.
 END, START, CHUNK = 1, 2, 3 << 18
 _MASK = (1 << 48) - 1
@@ -286,6 +288,15 @@ def _saddle(log_ratio, d: float, steps: int = 48) -> np.ndarray:
     return (low + high) / 2
 
 
+def _contour(c: np.ndarray, t: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scale of the parabola m (1 + iv)^2 that runs through the saddle point, and up to which v it counts."""
+    y = np.maximum(np.exp(_saddle(np.log(c / t), d)), 1e-290)
+    p = -c * np.log1p(-y)
+    bend = c * np.maximum(1 + (1 - y) * (1 - d) / y - c / t, 1e-9)
+    m = np.maximum(p, 2.0)
+    return m, np.minimum(np.sqrt(1 + 45 / m), np.where(p >= 2, 9 * c / (2 * m * np.sqrt(bend)), np.inf))
+
+
 def log_stirling(c: np.ndarray, t: np.ndarray, d: float, nodes: int = 48) -> np.ndarray:
     """log S_d(c, t) for large c, from c! / t! [z^c] f(z)^t. The coefficient is an integral over a parabola around the cut
     of f(exp(-p / c)) that runs through the saddle point, or over a circle where t is nearly c."""
@@ -294,11 +305,7 @@ def log_stirling(c: np.ndarray, t: np.ndarray, d: float, nodes: int = 48) -> np.
     at = np.flatnonzero(rest > 24)
     if len(at):
         cc, tt = c[at], t[at]
-        y = np.exp(_saddle(np.log(cc / tt), d))
-        p = -cc * np.log1p(-y)
-        bend = cc * np.maximum(1 + (1 - y) * (1 - d) / y - cc / tt, 1e-9)
-        m = np.maximum(p, 2.0)
-        reach = np.minimum(np.sqrt(1 + 45 / m), np.where(p >= 2, 9 * cc / (2 * m * np.sqrt(bend)), np.inf))
+        m, reach = _contour(cc, tt, d)
         turn = 1 + 1j * reach[:, None] * ((np.arange(nodes) + 0.5) / nodes)
         q = m[:, None] * turn**2
         e = q + tt[:, None] * np.log((1 - (-np.expm1(-q / cc[:, None])) ** d) / d)
@@ -317,8 +324,9 @@ def log_stirling(c: np.ndarray, t: np.ndarray, d: float, nodes: int = 48) -> np.
     return out
 
 
-def _draw_large(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, rng) -> np.ndarray:
-    """Tables of dishes with many customers each: weights of values of t around the mode."""
+def _draw_large(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, rng, nodes: int = 64) -> np.ndarray:
+    """Tables of dishes with many customers each: weights of values of t around the mode. All values of a dish share one
+    contour, that of its mode."""
     rise = strength / d + others
     # The mode, where the derivative of the log weight in t = c / g is 0, as a root in y = log(1 - z).
     low, high = np.full(len(c), -690.0), np.full(len(c), -1e-12)
@@ -330,28 +338,45 @@ def _draw_large(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, stre
         high, low = np.where(up, high, mid), np.where(up, mid, low)
     mode = np.clip(t, 1, c)
     limit = (rise + 1) * p / np.maximum(1 - p, 1e-9)  # mean of t - 1 for ever more customers
-    wide = 9 * np.sqrt(np.minimum(np.maximum(limit / np.maximum(1 - p, 1e-9), mode), c)) + 24
-    first, last = np.maximum(1, np.minimum(mode, 1 + limit) - wide), np.minimum(c, np.maximum(mode, np.minimum(1 + limit, c)) + wide)
-    t = mode
-    for narrow in (True, True, False):  # the range whose weights count, then the draw
-        edge = np.floor(first[:, None] + (last - first + 1)[:, None] * (np.arange(GRID + 1) / GRID))
-        size = np.diff(edge, axis=1)
-        value = np.clip(np.floor(edge[:, :-1] + (size - 1) / 2), 1, c[:, None])
-        every = np.broadcast_to(c[:, None], value.shape)
-        weight = log_stirling(every.ravel(), value.ravel(), d).reshape(value.shape) + value * np.log(d * p)[:, None] + _lgamma(rise[:, None] + value) - _lgamma(rise)[:, None]
-        weight = np.where(size > 0, weight, -np.inf)
-        top = weight.max(1, keepdims=True)
+    limit = np.minimum(limit, 4 * mode + 64)  # far from that limit the mode counts
+    wide = 9 * np.sqrt(np.maximum(limit / np.maximum(1 - p, 0.05), mode)) + 24
+    first, last = np.maximum(1, np.floor(np.minimum(mode, 1 + limit) - wide)), np.minimum(c, np.floor(np.maximum(mode, 1 + limit) + wide))
+    m, reach = _contour(c, np.minimum(mode, c - 1), d)
+    turn = 1 + 1j * reach[:, None] * ((np.arange(nodes) + 0.5) / nodes)
+    q = m[:, None] * turn**2
+    log_f = np.log((1 - (-np.expm1(-q / c[:, None])) ** d) / d)
+    scale = np.log(2 * m[:, None] * turn) + q
+    log_f0 = np.log((1 - (-np.expm1(-m / c)) ** d) / d)
+    turned = log_f - log_f0[:, None]
+    rows = np.arange(len(c))
+    for narrow in (True, False):  # the range whose weights count, then the draw
+        size = np.ceil((last - first + 1) / GRID)
+        start = first[:, None] + size[:, None] * np.arange(GRID)
+        value = start + np.floor((size - 1) / 2)[:, None]
+        e = scale + value[:, :1] * turned
+        top = e.real.max(1)
+        term, turn_by = np.exp(e - top[:, None]), np.exp(size[:, None] * turned)
+        whole = np.empty(value.shape)
+        for k in range(GRID):  # values of t are evenly spaced, so each term of the integral turns by a constant
+            whole[:, k] = term.real.sum(1)
+            term = term * turn_by
+        weight = top[:, None] + value * log_f0[:, None] + np.log(np.maximum(whole, 1e-300)) - _lgamma(value + 1)
+        if (near := np.flatnonzero(last + size > c - 24)).size:  # where t may be c, contours differ for each value
+            value[near] = np.minimum(value[near], c[near, None])
+            every = np.broadcast_to(c[near, None], value[near].shape)
+            weight[near] = log_stirling(every.ravel(), value[near].ravel(), d).reshape(value[near].shape)
+        weight += value * np.log(d * p)[:, None] + _lgamma(rise[:, None] + value) - _lgamma(rise)[:, None]
+        fits = np.clip(last[:, None] - start + 1, 0, size[:, None])  # values in the cell
+        weight = np.where(fits > 0, weight, -np.inf)
+        best = weight.max(1, keepdims=True)
         if narrow:
-            counts = weight > top - 32
+            counts = weight > best - 30
             a, b = counts.argmax(1), GRID - 1 - counts[:, ::-1].argmax(1)
-            rows = np.arange(len(c))
-            first, last = np.maximum(edge[rows, np.maximum(a - 1, 0)], 1), np.minimum(edge[rows, np.minimum(b + 2, GRID)] - 1, c)
-            last = np.maximum(first, last)
+            first, last = np.maximum(first, start[rows, np.maximum(a - 1, 0)]), np.minimum(last, start[rows, b] + 2 * size - 1)
             continue
-        chance = np.cumsum(np.exp(weight - top) * size, 1)
+        chance = np.cumsum(np.exp(weight - best) * fits, 1)
         cell = np.minimum((chance < (rng.random(len(c)) * chance[:, -1])[:, None]).sum(1), GRID - 1)
-        rows = np.arange(len(c))
-        t = edge[rows, cell] + np.floor(rng.random(len(c)) * np.maximum(size[rows, cell], 1))
+        t = start[rows, cell] + np.floor(rng.random(len(c)) * np.maximum(fits[rows, cell], 1))
     return np.clip(t, 1, c).astype(np.int64)
 
 
@@ -584,11 +609,15 @@ def score(docs: DataFrame, folds: int = 10, burn_in: int = BURN_IN, samples: int
         if sweep <= burn_in:
             disk.drop(path, ANSWER)
     m["models"] = models
-    parts = rows.mapInArrow(_token_step(n), MESSAGE_SQL).union(disk.read(pairs, STATE, without=("b3",)))
+    model = disk.read(pairs, STATE, without=("b3",))
     for k, path in enumerate(answers):
-        parts = parts.union(disk.read(path, ANSWER, ANSWER + 10 * (k + 1)))
-    sums = step(parts, _score_step(m, n))
-    found = sums.groupBy("src").applyInArrow(_gather, _RESULT_SQL)
+        model = model.union(disk.read(path, ANSWER, ANSWER + 10 * (k + 1)))
+    found = None
+    for part in range(PARTS):  # every text is in one part
+        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == part).mapInArrow(_token_step(n), MESSAGE_SQL)
+        sums = step(own.union(model), _score_step(m, n))
+        done = materialise(sums.groupBy("src").applyInArrow(_gather, _RESULT_SQL), "hpylm-scores")
+        found = done if found is None else found.union(done)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m["N"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -143,6 +143,10 @@ def test_very_large_dishes():
     got = hpylm._draw_large(np.full(n, 1e9), np.full(n, float(others)), np.full(n, p), d, a, np.random.default_rng(4))
     want = 1 + ((a + d * others) / d + 1) * p / (1 - p)
     assert abs(got.mean() - want) < 0.15
+    for c, others in ((1e9, 25_000.0), (1e12, 1e6)):
+        got = hpylm._draw_large(np.full(n, c), np.full(n, others), np.full(n, p), d, a, np.random.default_rng(4))
+        want = 1 + ((a + d * others) / d + 1) * p / (1 - p)
+        assert abs(got.mean() / want - 1) < 0.02
     many = hpylm._draw_large(np.array([1e7, 5e6]), np.array([1e6, 1e6]), np.array([0.05, 0.3]), 0.8, 1.0, np.random.default_rng(5))
     assert (many > 1000).all() and (many < 5e6).all()
 
