@@ -186,6 +186,8 @@ def components(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
     written table, and only minima of a node's neighbours are gathered, never their lists; a node with very many
     neighbours is spread over tasks when its minimum is looked up."""
     pairs = materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc")
+    mark = lambda df: tuple(df.agg(F.count("*"), *[F.expr(f"bit_xor(xxhash64({k}, u, v))") for k in (1, 2)]).first())
+    seen = mark(pairs)
     while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -193,9 +195,10 @@ def components(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_lookup(large, least, "u", "v", how="inner").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-        if new.exceptAll(pairs).isEmpty() and pairs.exceptAll(new).isEmpty():
+        now = mark(new)
+        if now == seen:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        pairs = new
+        pairs, seen = new, now
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, seed: int = 42) -> DataFrame:
@@ -226,6 +229,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, seed: int =
 WORDS, BLOCK_BITS, BLOCKS, PROBES = 4, 16, 8, 4
 #: Deviations over the mean that a candidate pair may differ by; candidates a document hands out in the second round.
 SPARE, CLOSEST = 4.0, 8
+#: Edges of a node over which it is spread; ids of documents with a candidate that are sent to all tasks.
+HUB, BROADCAST_IDS = 256, 1_000_000
 #: Groups up to this many members are compared as one array, larger ones member by member.
 SMALL = 64
 
@@ -439,37 +444,55 @@ def similar(a: str, b: str, width: int, similarity: float) -> bool:
     return both / max(1, len(x) + len(y) - both) >= similarity
 
 
+def _ends(edges: DataFrame, used: DataFrame, key: str, by: str, name: str) -> DataFrame:
+    """edges with the text of one end. An end of very many edges is spread over tasks; its text is repeated for that."""
+    hubs = edges.groupBy(F.col(key).alias("_hub")).count().where(F.col("count") > HUB).select("_hub")
+    hot = F.col("_hub").isNotNull()
+    left = edges.join(hubs, F.col(key) == F.col("_hub"), "left").withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(by), F.lit(8)).cast("int")).otherwise(0)).drop("_hub")
+    right = used.join(hubs, F.col("doc_id") == F.col("_hub"), "left").select(F.col("doc_id").alias(key), F.col("text").alias(name), F.explode(F.when(hot, F.array(*[F.lit(i) for i in range(8)])).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """fp, root: the edges whose texts are as similar as that. Only texts of documents with an edge are joined."""
-    ends = edges.select(F.explode(F.array("fp", "root")).alias("doc_id")).distinct()
-    used = materialise(texts.join(ends, "doc_id").distinct(), "simhash-texts")
+    """fp, root: the edges whose texts are as similar as that. Only texts of documents with an edge are joined; they are
+    picked out where they are read if the ids are at most BROADCAST_IDS."""
+    ends = materialise(edges.select(F.explode(F.array("fp", "root")).alias("doc_id")).distinct(), "simhash-ends")
+    few = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    used = materialise(texts.join(F.broadcast(ends) if few else ends, "doc_id").distinct(), "simhash-texts")
 
     def run(batches):
         for b in batches:
             ok = [similar(x, y, width, similarity) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("root")], names=["fp", "root"]).filter(pa.array(ok, pa.bool_()))
 
-    one = salted_lookup(edges, used.select(F.col("doc_id").alias("fp"), F.col("text").alias("a")), "fp", "root", how="inner")
-    both = salted_lookup(one, used.select(F.col("doc_id").alias("root"), F.col("text").alias("b")), "root", "fp", how="inner")
+    both = _ends(_ends(edges, used, "fp", "root", "a"), used, "root", "fp", "b")
     return both.select("fp", "root", "a", "b").mapInArrow(run, "fp long, root long").distinct()
 
 
 def similar_links(docs: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
-    """fp, root: edges between doc_ids of documents whose similarity reaches the threshold, as many as connect them."""
+    """fp, root: edges between doc_ids of documents whose similarity reaches the threshold, as many as connect them. A pair
+    is checked once."""
     n, budget = shards(docs.sparkSession), budget_of(similarity, SPARE)
     rows = text_table(docs).where("doc_id is not null")
     prints = materialise(rows.mapInArrow(_wide_step(width, seed), "doc_id long, words binary, narrow binary, digest binary"), "simhash-wide")
     nodes = materialise(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("narrow").alias("narrow")), "simhash-nodes")
     equal = salted_lookup(prints.select(F.col("doc_id").alias("fp"), "digest"), nodes.select("digest", F.col("doc_id").alias("root")), "digest", "fp", how="inner").select("fp", "root")
-    edges, pieces, most = None, None, None
+    edges, checked, pieces, most = None, None, None, None
     while True:
         own = nodes.withColumn("piece", F.col("doc_id")) if pieces is None else nodes.join(pieces.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("piece", F.coalesce("root", "doc_id"))
         found = materialise(_candidates(own.select("doc_id", "words", "narrow", "piece"), n, budget, most), "simhash-pairs")
-        new = materialise(verified(found.where("fp <> root").select("fp", "root"), rows, width, similarity), "simhash-edges")
-        edges = new if edges is None else edges.union(new)
+        fresh = found.where("fp <> root").select("fp", "root")
+        if checked is not None:
+            fresh = materialise(fresh.join(checked, ["fp", "root"], "left_anti"), "simhash-fresh")
+        if not fresh.isEmpty():
+            new = materialise(verified(fresh, rows, width, similarity), "simhash-edges")
+            grown = not new.isEmpty()
+            edges, checked = (new, fresh) if edges is None else (edges.union(new), checked.union(fresh))
+            if grown:
+                pieces = components(edges)
         if most is not None and found.where("more").isEmpty():
-            return edges.union(equal).where("fp <> root").distinct()
-        pieces, most = components(edges), CLOSEST if most is None else 8 * most
+            return equal.where("fp <> root").distinct() if edges is None else edges.union(equal).where("fp <> root").distinct()
+        most = CLOSEST if most is None else 8 * most
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
