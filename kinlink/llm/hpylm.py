@@ -617,6 +617,8 @@ def score(docs: DataFrame, folds: int = 10, burn_in: int = BURN_IN, samples: int
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == part).mapInArrow(_token_step(n), MESSAGE_SQL)
         sums = step(own.union(model), _score_step(m, n))
         done = materialise(sums.groupBy("src").applyInArrow(_gather, _RESULT_SQL), "hpylm-scores")
+        del own, sums
+        release_shuffles(spark)  # the part's tokens go before the next part's come
         found = done if found is None else found.union(done)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m["N"]).cast("long").alias("train_tokens"), "base_score", "score")
 
