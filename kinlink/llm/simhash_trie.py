@@ -324,6 +324,16 @@ def _apart(a: np.ndarray, b: np.ndarray, budget: int) -> np.ndarray:
     return alive
 
 
+def _blocks_of(at: np.ndarray, count: np.ndarray):
+    """Groups in turn, as many together as make about PAIR_BLOCK / 4 pairs."""
+    ends = np.cumsum(count[at])
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIR_BLOCK // 4, "right")))
+        yield at[i:j]
+        i = j
+
+
 def leaf_links(leaf: np.ndarray, own: np.ndarray, member: np.ndarray, words: np.ndarray, budget: int) -> np.ndarray:
     """Smallest member index connected to each member over links found at the leaves. A pair is compared where one of
     the two is at its own leaf."""
@@ -334,8 +344,7 @@ def leaf_links(leaf: np.ndarray, own: np.ndarray, member: np.ndarray, words: np.
     homes = np.add.reduceat(own.astype(np.int64), start) if len(leaf) else size
     label = np.arange(len(words))
     small = (size <= SMALL) & (size > 1) & (homes > 0)
-    for k in range(0, int(small.sum()), 4096):
-        at = np.flatnonzero(small)[k : k + 4096]
+    for at in _blocks_of(np.flatnonzero(small), homes * size):
         count = homes[at] * size[at]
         base, total = np.repeat(start[at], count), int(count.sum())
         j = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
@@ -392,8 +401,7 @@ def leaf_pairs(leaf: np.ndarray, own: np.ndarray, member: np.ndarray, words: np.
         return cut
 
     small = np.flatnonzero((size <= SMALL) & (size > 1) & (homes > 0))
-    for k in range(0, len(small), 4096):
-        at = small[k : k + 4096]
+    for at in _blocks_of(small, homes * size):
         count = homes[at] * size[at]
         base = np.repeat(start[at], count)
         j = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
