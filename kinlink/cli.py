@@ -25,7 +25,7 @@ def main(argv: list[str] | None = None) -> int:
         sub.add_argument("--folds", type=int, default=5)
         if name == "train":
             sub.add_argument("--truth", required=True)
-            sub.add_argument("--trees", type=int, default=100)
+            sub.add_argument("--trees", type=int, default=1000)
         else:
             sub.add_argument("--out", required=True)
             sub.add_argument("--threshold", type=float)
@@ -35,6 +35,7 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_argument("--matching", required=True)
     sub.add_argument("--candidates", required=True)
     sub.add_argument("--code", required=True)
+    sub.add_argument("--document")
     sub.add_argument("--out", required=True)
     args, rest = parser.parse_known_args(argv)
     if args.command == "validate":
@@ -52,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
         if report.exit_code:
             print(*report.errors, sep="\n")
             return report.exit_code
-        print(*sinks.write_archive(args.out, [args.matching, args.candidates], args.code), sep="\n")
+        print(*sinks.write_archive(args.out, [args.matching, args.candidates], args.code, document=args.document), sep="\n")
     return 0
 
 

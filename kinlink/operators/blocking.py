@@ -2,7 +2,9 @@
 
 Tokens of both sides are exploded and joined on (country, class, token), so a pair without a common token is never made
 and no pair is made twice per token. Counts are summed with a partial aggregate before the shuffle; ranks are cut
-inside each task before rows travel; names and addresses are joined after the cut.
+inside each task before rows travel; names and addresses are joined after the cut. Token rows are written once, as
+counts and joins read them. A token with over HOT rows on either side is dealt over cells: its records are cut into
+groups of HOT, its candidates likewise, and each pair of groups is a key of its own, so no task takes a token whole.
 
 A token that many candidates share costs its list's length for every record that has it. `pruned_candidates` scores the
 rare tokens of a record first; where its k-th best score beats all that frequent tokens and the state could add, pairs
@@ -20,7 +22,10 @@ from pyspark.sql.window import Window as W
 
 from kinlink.functions import tokens
 from kinlink.profiles import PACKAGE, PROFILES, Profile
+from kinlink.scratch import materialise
 
+#: Rows of one token, on each side, that are joined under one key.
+HOT = 20_000
 CANDIDATE_COLUMNS = ["entity_id", "source", "country", "business_name", "clean_name", "business_address", "clean_address", "state", "house_number"]
 
 
@@ -64,6 +69,25 @@ def query_rows(s1: DataFrame, profile: Profile = PACKAGE) -> DataFrame:
     return token_rows(s1, profile, query=True).withColumnsRenamed({"entity_id": "s1_entity_id", "state": "s1_state"})
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, hot: int | None = None) -> DataFrame:
+    """Inner join on the given columns. A key of over `hot` rows on a side is cut into cells by hashes of the ids; the other
+    side's rows are repeated for each cell. Keys that are not hot are joined as they are."""
+    hot = HOT if hot is None else hot
+
+    def cells(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*on, F.ceil(F.col("_n") / hot).cast("int").alias(name))
+
+    big = cells(left, "_cl").join(cells(right, "_cr"), on, "full").na.fill(1, ["_cl", "_cr"])
+
+    def dealt(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        mine, theirs = (F.coalesce(c, F.lit(1)) for c in (own, other))
+        placed = rows.join(big, on, "left").withColumn(f"{own}_at", F.pmod(F.xxhash64(by), mine).cast("int"))
+        return placed.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), theirs - 1))).drop("_cl", "_cr")
+
+    keys = [*on, "_cl_at", "_cr_at"]
+    return dealt(left, left_id, "_cl", "_cr").join(dealt(right, right_id, "_cr", "_cl"), keys).drop("_cl_at", "_cr_at")
+
+
 def _counts(hits: DataFrame, profile: Profile) -> DataFrame:
     """One row for each pair with the number of common tokens by class, and whether states are equal."""
     kinds = [k for k in profile.weights if k != "state"]
@@ -73,7 +97,7 @@ def _counts(hits: DataFrame, profile: Profile) -> DataFrame:
 
 def token_overlap(s1: DataFrame, pool: DataFrame, profile: Profile = PACKAGE) -> DataFrame:
     """s1_entity_id, entity_id, common distinct tokens by class and state_match, for pairs of one country with any token."""
-    return token_hits(query_rows(s1, profile), token_rows(pool, profile), profile)
+    return token_hits(materialise(query_rows(s1, profile), "queries"), materialise(token_rows(pool, profile), "index"), profile)
 
 
 def gated(pairs: DataFrame, profile: Profile) -> DataFrame:
@@ -124,17 +148,17 @@ def top_candidates(s1: DataFrame, pool: DataFrame, profile: Profile = PACKAGE) -
 def pruned_candidates(s1: DataFrame, pool: DataFrame, profile: Profile = PACKAGE, frequent: int = 1000) -> DataFrame:
     """As block_topk, without pairs that only tokens of more than `frequent` candidates bring and that cannot rank."""
     weights, k = profile.weights, profile.top_k
-    index = token_rows(pool, profile)
+    index = materialise(token_rows(pool, profile), "index")
     q = query_rows(s1, profile)
     heavy = index.groupBy("country", "class", "token").agg(F.count("*").alias("df")).where(F.col("df") > frequent).select("country", "class", "token", F.lit(True).alias("heavy"))
-    marked = q.join(heavy, ["country", "class", "token"], "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    marked = materialise(q.join(heavy, ["country", "class", "token"], "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))), "marked")
     worth = reduce(lambda c, kv: c.when(F.col("class") == kv[0], F.lit(kv[1])), list(weights.items())[1:], F.when(F.col("class") == list(weights)[0], F.lit(weights[list(weights)[0]])))
     bound = marked.groupBy("s1_entity_id").agg(F.sum(F.when(F.col("heavy"), worth).otherwise(0.0)).alias("extra"))
-    light = _counts(marked.where("not heavy").drop("heavy").join(index, ["country", "class", "token"]), profile)
+    light = materialise(_counts(dealt_join(marked.where("not heavy").drop("heavy"), index, ["country", "class", "token"], "s1_entity_id", "entity_id"), profile), "light")
     own = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for c, w in weights.items() if c != "state"])
     least = ranked(light.withColumn("matching_score", own), k).where(F.col("rank") == k).select("s1_entity_id", F.col("matching_score").alias("kth"))
     # Strictly: a pair that could only tie may still win by its id. A gate must be passable by light tokens alone.
-    safe = bound.join(least, "s1_entity_id").where(F.col("kth") > F.col("extra") + weights.get("state", 0.0)).select("s1_entity_id")
+    safe = materialise(bound.join(least, "s1_entity_id").where(F.col("kth") > F.col("extra") + weights.get("state", 0.0)).select("s1_entity_id"), "safe")
     full = token_hits(marked.join(safe, "s1_entity_id", "left_anti").drop("heavy"), index, profile)
     few = light.join(safe, "s1_entity_id", "left_semi")
     more = marked.where("heavy").drop("heavy").join(safe, "s1_entity_id", "left_semi")
@@ -152,7 +176,7 @@ def pruned_candidates(s1: DataFrame, pool: DataFrame, profile: Profile = PACKAGE
 
 
 def token_hits(q: DataFrame, index: DataFrame, profile: Profile) -> DataFrame:
-    return _counts(q.join(index, ["country", "class", "token"]), profile)
+    return _counts(dealt_join(q, index, ["country", "class", "token"], "s1_entity_id", "entity_id"), profile)
 
 
 def retrieved(s1: DataFrame, pool: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
@@ -165,7 +189,8 @@ def retrieved(s1: DataFrame, pool: DataFrame, kind: str, limit: int | None = Non
         c = F.array_distinct(tokens.longer(tokens.words(F.col("clean_address"))))
         q = F.slice(F.array_sort(c), 1, limit) if limit else c
     left = s1.select(F.col("entity_id").alias("s1_entity_id"), "country", F.explode(q).alias("token"))
-    return left.join(pool.select("entity_id", "country", F.explode(c).alias("token")), ["country", "token"]).select("s1_entity_id", "entity_id").distinct()
+    right = pool.select("entity_id", "country", F.explode(c).alias("token"))
+    return dealt_join(materialise(left, "asked"), materialise(right, "index"), ["country", "token"], "s1_entity_id", "entity_id").select("s1_entity_id", "entity_id").distinct()
 
 
 def formula_a(s1: DataFrame, pool: DataFrame, profile: Profile = PROFILES["formula_a"]) -> DataFrame:
@@ -173,7 +198,7 @@ def formula_a(s1: DataFrame, pool: DataFrame, profile: Profile = PROFILES["formu
     counts = token_overlap(s1, pool, profile)
     words = tokens.words(F.col("clean_name"))
     joined = s1.select(F.col("entity_id").alias("s1_entity_id"), F.col("state").alias("s1_state"), "country", F.size(words).alias("_n"), F.explode(tokens.joined(words)).alias("token"))
-    hits = joined.join(token_rows(pool, profile).where(F.col("class") == "name"), ["country", "token"])
+    hits = dealt_join(joined, token_rows(pool, profile).where(F.col("class") == "name"), ["country", "token"], "s1_entity_id", "entity_id")
     match = F.coalesce(F.col("s1_state") == F.col("state"), F.lit(False)).cast("int").alias("state_match")
     whole = hits.select("s1_entity_id", "entity_id", F.lit(0).alias("name"), F.lit(0).alias("addr"), match, "_n")
     every = counts.withColumn("_n", F.lit(None).cast("int")).unionByName(whole)

@@ -88,3 +88,15 @@ def pair_features(s1: DataFrame, candidates: DataFrame, profile: Profile = PACKA
 def with_labels(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """label 1 for pairs in truth (s1_id, candidate_id)."""
     return pairs.join(truth.select("s1_id", "candidate_id").distinct().withColumn("_hit", F.lit(True)), ["s1_id", "candidate_id"], "left").withColumn("label", flag(F.col("_hit"))).drop("_hit")
+
+
+def looked_up(pairs: DataFrame, table: DataFrame, fields: list[str], key: str = "entity_id") -> DataFrame:
+    """pairs with the fields that they lack taken from the table (one row for each key); what they have stays. Only keys of
+    pairs with a gap are looked up."""
+    gap = F.lit(False)
+    for f in fields:
+        gap = gap | F.col(f).isNull()
+    wanted = pairs.where(gap).select(key).distinct()
+    found = table.select(key, *[F.col(f).alias(f"_{f}") for f in fields]).join(wanted, key, "left_semi")
+    filled_in = {f: F.coalesce(f, f"_{f}") for f in fields}
+    return pairs.join(found, key, "left").withColumns(filled_in).select(*pairs.columns)

@@ -17,13 +17,19 @@ def prepared(spark: SparkSession, path: str, profile: Profile = PACKAGE, cache:
     return entities.cached(spark, cache, build) if cache else build()
 
 
-def train(spark: SparkSession, source1: str, source2: str, source3: str, truth: str, model_path: str, profile: Profile = PACKAGE, folds: int = 5, trees: int = 100) -> float:
-    """Fits a model per fold, saves all of them, returns the threshold with the best macro F0.5 on held-out scores."""
+def train(spark: SparkSession, source1: str, source2: str, source3: str, truth: str, model_path: str, profile: Profile = PACKAGE, folds: int = 5, trees: int = learn.TREES) -> float:
+    """Fits a model per fold, saves all of them with the held-out scores and each fold's number of trees, returns the
+    threshold with the best macro F0.5 on held-out scores."""
     s1 = prepared(spark, source1, profile)
     pool = blocking.candidate_pool(prepared(spark, source2, profile), prepared(spark, source3, profile))
     pairs_of = entities.truth_pairs(spark.read.schema(entities.TRUTH).option("sep", "\t").option("header", True).csv(truth))
     models, scored = learn.train_folds(features.with_labels(linkage.linked_pairs(s1, pool, profile), pairs_of), folds, trees)
     learn.save(models, model_path)
+    kept = scored.select("s1_id", "candidate_id", "source", "label", "score", "fold")
+    sinks.write_table(kept, f"{model_path}/oof_scores")
+    scored = spark.read.parquet(f"{model_path}/oof_scores")
+    trees_of = list(enumerate(learn.best_iterations(models)))
+    sinks.write_table(spark.createDataFrame(trees_of, "fold int, trees int"), f"{model_path}/best_iterations")
     best = metrics.macro_threshold(s1, pairs_of, scored).orderBy(F.desc("macro_f05"), "threshold").first()
     return best.threshold
 

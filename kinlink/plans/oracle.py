@@ -217,3 +217,45 @@ GRID = f"""cells AS (SELECT greatest(least(floor(score * 100 + 1e-9), 90), 9)::I
  g AS (SELECT t::INT AS cell, coalesce(p, 0)::BIGINT AS p, coalesce(n, 0)::BIGINT AS n FROM range(9, 91) r(t) LEFT JOIN cells ON cells.cell = t),
  s AS (SELECT cell, (sum(p) OVER (ORDER BY cell DESC))::BIGINT AS tp, (sum(n - p) OVER (ORDER BY cell DESC))::BIGINT AS fp, (sum(p) OVER () - sum(p) OVER (ORDER BY cell DESC))::BIGINT AS fn FROM g),
  tt AS (SELECT cell / 100.0::DOUBLE AS threshold, tp, fp, fn, {", ".join(f"{v} AS {k}" for k, v in prf("tp", "fp", "fn").items())} FROM s WHERE cell >= 10)"""
+
+
+# ---- hygiene cleaning, script by script ------------------------------------------------------------------------------
+
+
+def romanised(x: str) -> str:
+    """x with letters that are still not ASCII replaced one by one; those of the nine Indic blocks by their names."""
+    from kinlink.functions import text
+
+    pairs = [(chr(c), r) for c in range(0x0900, 0x0D80) if (r := text._romanised(chr(c)))]
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN ascii(c) < 128 THEN c ELSE coalesce(({table(pairs)})[c], '') END), '')"
+
+
+def ocr(x: str) -> str:
+    """0 and 1 between letters, by walking over the characters."""
+    letter = lambda i: f"coalesce(regexp_matches(({x})[{i}], '^[a-z]$'), false)"
+    between = f"({letter('i - 1')} AND {letter('i + 1')} AND i > 1)"
+    return f"array_to_string(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN ({x})[i] = '0' AND {between} THEN 'o' WHEN ({x})[i] = '1' AND {between} THEN 'l' ELSE ({x})[i] END), '')"
+
+
+def name_steps(source: str = "business_name") -> str:
+    """CTEs that end in `named`: entity_id and a column for the name under each cleaning and each rule set."""
+    raw = rr(rr(rr(urls(f"coalesce({source}, '')"), D.HANDLE, ""), "(?i)" + D.DOMAIN_END, " "), "(?i)" + D.POSSESSIVE, "")
+    low = lambda x: f"lower({romanised(rr(latin(x), '[\u0300-\u036f]', ''))})"
+    brackets = rr("fixed", r"[\(\[\{]([^\)\]\}]+)[\)\]\}]", r" \1 ")
+    symbols = rr(rr(brackets, r"\s*&\s*", " and "), r"\s*\+\s*", " ")
+    hyphens = rr(rr(rr("fixed", r"[\(\)]+", " "), "&", " and "), r"\+", " ")
+    legal = "plain"
+    for words in (D.LEGAL_WORDS, D.STOPWORDS):
+        legal = rr(legal, words_rule("|".join(words)), "")
+    harmony = "hygiene"
+    for a, b in D.HARMONISED:
+        harmony = rr(harmony, words_rule(a), b)
+    bare = "harmony"
+    for g in D.DESCRIPTORS:
+        bare = rr(bare, words_rule(g), " ")
+    return f"""n0 AS MATERIALIZED (SELECT entity_id, {low(raw)} AS low, {squeeze(rr(low("coalesce(" + source + ", '')"), r'[^\w\s]', ' '))} AS plain FROM ent),
+ n1 AS MATERIALIZED (SELECT *, {ocr('low')} AS fixed FROM n0),
+ n2 AS MATERIALIZED (SELECT *, {squeeze(rr(symbols, r'[^a-z0-9\s]', ' '))} AS hygiene, {squeeze(rr(hyphens, r'[^\w\s-]', ' '))} AS hyphened FROM n1),
+ n3 AS MATERIALIZED (SELECT *, {harmony} AS harmony FROM n2),
+ n4 AS MATERIALIZED (SELECT *, {squeeze('harmony')} AS harmonised, {squeeze(bare)} AS bare, {squeeze(legal)} AS legal FROM n3),
+ named AS (SELECT entity_id, legal, hyphened, harmonised, CASE WHEN length(bare) >= 1 THEN bare ELSE hygiene END AS bare FROM n4)"""

@@ -10,7 +10,8 @@ from kinlink.operators import blocking, explore, features, learn, metrics, valid
 from kinlink.plans import golden, linkage
 from kinlink.plans import oracle as O
 from kinlink.profiles import BULK, GATED, NOTEBOOK, PACKAGE, PROFILES
-from kinlink.sources import entities
+from kinlink.scratch import scratch_path
+from kinlink.sources import entities, sinks
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -97,6 +98,107 @@ def required_ids(spark, d):
     return entities.source(spark, d, "S1").select("entity_id").distinct()
 
 
+# ---- files -----------------------------------------------------------------------------------------------------------
+
+_ONE_LINE = "regexp_replace({}, '[\\t\\r\\n\"]', ' ', 'g')"
+
+
+def _tsv(spark: SparkSession, d: str, name: str) -> str:
+    """A source as the tab-separated file that users have; line ends, tabs and quotes in values are blanks."""
+    path = scratch_path(spark, f"{name}.tsv")
+    flat = [F.regexp_replace(c, "[\\t\\r\\n\"]", " ").alias(c) for c in ("business_name", "business_address")]
+    rows = entities.source(spark, d, name).select("country", "entity_id", *flat)
+    rows.write.option("sep", "\t").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _na(column: str) -> str:
+    one = _ONE_LINE.format(column)
+    return f"CASE WHEN {one} NOT IN ({_NA}, '') THEN {one} END AS {column}"
+
+
+@_query(f"WITH {O.ENT} SELECT entity_id, {_na('business_name')}, {_na('business_address')}, country FROM ent WHERE source = 'S2'")
+def tsv_scan(spark, d):
+    return entities.read_entities(spark, _tsv(spark, d, "S2"))
+
+
+@_query(f"WITH {O.ENT} SELECT entity_id FROM ent WHERE source = 'S3'")
+def id_scan(spark, d):
+    path = scratch_path(spark, "ids.tsv")
+    sinks.write_lists(entities.source(spark, d, "S3").select("entity_id", "country"), path)
+    return entities.required_ids(spark, path)
+
+
+@_query("SELECT doc_id FROM labels")
+def first_path(spark, d):
+    return spark.read.parquet(entities.first_existing(spark, [f"{d}/no_such_table.parquet", f"{d}/labels.parquet"])).select("doc_id")
+
+
+@_query(f"WITH {O.ENT}, {O.NORM} SELECT entity_id, clean_name, has_state FROM (SELECT *, (state IS NOT NULL)::INT AS has_state FROM norm) WHERE source = 'S2'")
+def cached_table(spark, d):
+    """Written by the first call, read by the second, which may not build."""
+    path = scratch_path(spark, "clean")
+    entities.cached(spark, path, lambda: linkage.normalized(entities.source(spark, d, "S2"), PACKAGE, other_scripts=False))
+
+    def again():
+        raise RuntimeError("the cached table was not used")
+
+    return entities.cached(spark, path, again).select("entity_id", "clean_name", "has_state")
+
+
+_INTS = "s1_id, candidate_id, source, common_words_count, is_exact_core_match, state_match, address_common_words_count"
+
+
+@_query(f"WITH {O.BLOCK}, {O.FEAT} SELECT {_INTS} FROM feat")
+def features_reload(spark, d):
+    """Features from their CSV, as there is no Parquet."""
+    path = scratch_path(spark, "features")
+    linkage.linked_pairs(*_norm(spark, d)).write.option("header", True).csv(f"{path}.csv")
+    return entities.reload_features(spark, None, path, f"{path}.csv").select(*_INTS.split(", "))
+
+
+@_query(f"WITH {O.ENT} SELECT entity_id, country FROM ent")
+def select_present(spark, d):
+    rows = _ent(spark, d)
+    return rows.select(*blocking.present(rows, ["entity_id", "no_such_column", "country"]))
+
+
+@_query(f"WITH {O.ENT} SELECT entity_id, source, country FROM ent")
+def first_columns(spark, d):
+    rows = _ent(spark, d).select("entity_id", "source", "country", F.upper("source").alias("again"))
+    return linkage.distinct_columns(rows.toDF("entity_id", "source", "country", "source"))
+
+
+@_query(f"WITH {O.BLOCK} SELECT top.s1_entity_id, top.entity_id, b.clean_name, b.clean_address FROM top JOIN norm b ON b.entity_id = top.entity_id")
+def field_lookup(spark, d):
+    """Pairs of which some lack their candidate's fields, as after reading an older file."""
+    _, pool, top = _top(spark, d)
+    known = top.select("s1_entity_id", "entity_id", "rank").join(pool.select("entity_id", "clean_name", "clean_address"), "entity_id")
+    gaps = known.withColumns({c: F.when(F.col("rank") % 3 == k, F.col(c)) for k, c in enumerate(("clean_name", "clean_address"))}).drop("rank")
+    return features.looked_up(gaps, pool, ["clean_name", "clean_address"])
+
+
+_CASES = ["right", "missing", "commas", "not utf-8", "no source"]
+
+
+@_query("SELECT c AS \"case\", e AS exit_code, n::INT AS n_errors, w::INT AS n_warnings FROM (VALUES ('right', 0, 0, 0), ('missing', 1, 1, 1), ('commas', 1, 1, 1), ('not utf-8', 1, 1, 1), ('no source', 1, 1, 0)) v(c, e, n, w)")
+def val_files(spark, d):
+    """The validator on files: what `export_matching` and `export_candidates` write, and files with one fault each."""
+    s1, root = _norm(spark, d)[0], scratch_path(spark, "val")
+    lists = {"matching": (_filled(spark, d), "matched_entity_ids"), "candidates": (explore.filled_lists(s1, candidate_lists(spark, d)), "candidate_entity_ids")}
+    for name, (rows, column) in lists.items():
+        sinks.write_lists(rows.toDF("source1_entity_id", column), f"{root}/{name}")
+    sinks.write_lists(s1.select("entity_id", "country"), f"{root}/s1")
+    spark.createDataFrame([("source1_entity_id,matched_entity_ids",), ("S1-0,S2-1",)], "value string").coalesce(1).write.text(f"{root}/commas")
+    spark.createDataFrame([("source1_entity_id\tmatched_entity_ids\nS1-0\té",)], "value string").coalesce(1).write.option("encoding", "ISO-8859-1").option("header", False).csv(f"{root}/bytes")
+    files = {"right": f"{root}/matching", "missing": f"{root}/nothing", "commas": f"{root}/commas", "not utf-8": f"{root}/bytes", "no source": f"{root}/matching"}
+    out = []
+    for case in _CASES:
+        report = validate.validate(spark, f"{root}/nothing" if case == "no source" else f"{root}/s1", files[case], f"{root}/candidates" if case == "right" else None)
+        out.append((case, report.exit_code, len(report.errors), len(report.warnings)))
+    return spark.createDataFrame(out, "case string, exit_code int, n_errors int, n_warnings int")
+
+
 # ---- projections, filters --------------------------------------------------------------------------------------------
 
 
@@ -443,12 +545,15 @@ def _bare(x: str) -> str:
 _text("normalize_name_nb", _bare("business_name"), lambda: text.normalize_name(_name_col(), _NOTEBOOK_PLAIN, False))
 
 
-@_query()
+@_query(O.text_query(O.ocr(f"lower({_E})")))
 def clean_ocr(spark, d):
     return _gold(spark, d).select("entity_id", text.fix_digits(F.lower(text.or_empty(_name_col()))).alias("out"))
 
 
-@_query()
+_BY_PROFILE = {"package": "legal", "package_strict": "legal", "notebook": "bare", "formula_a": "bare", "bulk": "hyphened", "gated": "harmonised"}
+
+
+@_query(f"WITH {O.GOLD}, {O.name_steps()} SELECT entity_id, " + ", ".join(f"{v} AS {k}" for k, v in _BY_PROFILE.items()) + " FROM named")
 def normalize_name_hygiene(spark, d):
     """All profiles' names, scripts included."""
     return _gold(spark, d).select("entity_id", *[text.normalize_name(_name_col(), p).alias(n) for n, p in PROFILES.items()])
@@ -472,6 +577,7 @@ def _states(name: str, rules: str, expression: str):
 _states("state_all", "package", O.STATE)
 _states("state_nb", "notebook", O.nb_states("notebook"))
 _states("state_gated", "gated", O.nb_states("gated"))
+_states("state_test", "notebook_test", f"CASE WHEN {O.strip(O.A)} = '' THEN NULL WHEN trim(country) = 'France' THEN {O.FRANCE} ELSE {O.nb_states('notebook')} END")
 _states("state_bulk", "bulk", O.bulk_states())
 
 
@@ -514,6 +620,27 @@ def pair_features(spark, d):
     return rows.select("s1_id", "candidate_id", "source", *[F.round(f, 6).alias(f) if dict(rows.dtypes)[f] == "double" else F.col(f) for f in features.FEATURES])
 
 
+def _nb_feat() -> str:
+    """The features as the notebook has them: shares of three digits, address words of over one letter, any contained name."""
+    words = O.W_ADDR
+    sql = O.FEAT
+    for c in ("aa", "ba"):
+        own = words.replace("clean_address", c)
+        sql = sql.replace(f"list_distinct({own})", f"list_distinct({O.over(own)})")
+    sql = sql.replace("length(an) >= 3 AND length(bn) >= 3", "length(an) >= 1 AND length(bn) >= 1")
+    for a, n in (("common / un", "un"), ("acommon / aun", "aun")):
+        sql = sql.replace(f"CASE WHEN {n} = 0 THEN 0.0 ELSE {a} END", f"CASE WHEN {n} = 0 THEN 0.0 ELSE round_even({a}, 3) END")
+    return sql.replace("(common / un) * (acommon / aun)", "round_even(common / un, 3) * round_even(acommon / aun, 3)")
+
+
+@_query(f"WITH {O.BLOCK}, {_nb_feat()} SELECT s1_id, candidate_id, source, {_FCOLS} FROM feat")
+def pair_features_notebook(spark, d):
+    """The notebook's features on the package's candidates."""
+    s1, pool = _norm(spark, d)
+    rows = features.pair_features(s1, blocking.top_candidates(s1, pool), NOTEBOOK)
+    return rows.select("s1_id", "candidate_id", "source", *[F.round(f, 6).alias(f) if dict(rows.dtypes)[f] == "double" else F.col(f) for f in features.FEATURES])
+
+
 # ---- learning, metrics -----------------------------------------------------------------------------------------------
 
 
@@ -586,14 +713,20 @@ def macro_f05(spark, d):
     return metrics.macro_f05(s1, _truth(spark, d), predicted).select(*_r6("macro_f05"))
 
 
-@_query()
+_MACRO = f"""pr AS (SELECT top.s1_entity_id AS s1_id, (t.s1_id IS NOT NULL)::INT AS label, greatest(least(floor(least(matching_score / 60, 1.0) * 100 + 1e-9), 90), 9)::INT AS cell
+   FROM top LEFT JOIN truth t ON t.s1_id = top.s1_entity_id AND t.candidate_id = top.entity_id),
+ a AS (SELECT e.entity_id AS s1_id, count(t.s1_id) AS t FROM ent e LEFT JOIN truth t ON t.s1_id = e.entity_id WHERE e.source = 'S1' GROUP BY 1),
+ s AS (SELECT c, a.s1_id, any_value(t) AS t, count(pr.s1_id) AS p, coalesce(sum(label), 0) AS b FROM range(10, 91) g(c) CROSS JOIN a LEFT JOIN pr ON pr.s1_id = a.s1_id AND pr.cell >= c GROUP BY c, a.s1_id)"""
+
+
+@_query(f"WITH {O.BLOCK}, {O.TRUTH}, {_MACRO} SELECT (c / 100.0)::DOUBLE AS threshold, round(avg(CASE WHEN t = 0 AND p = 0 THEN 1.0 ELSE {O.ratio(f'5 * {O.ratio(chr(98), chr(112))} * {O.ratio(chr(98), chr(116))}', f'{O.ratio(chr(98), chr(112))} + 4 * {O.ratio(chr(98), chr(116))}')} END), 6)::DOUBLE AS macro_f05 FROM s GROUP BY c")
 def macro_threshold(spark, d):
     s1, _, top = _top(spark, d)
     pairs = features.with_labels(top.select(F.col("s1_entity_id").alias("s1_id"), F.col("entity_id").alias("candidate_id"), F.least(F.col("matching_score") / 60, F.lit(1.0)).alias("score")), _truth(spark, d))
     return metrics.macro_threshold(s1, _truth(spark, d), pairs).select("threshold", *_r6("macro_f05"))
 
 
-@_query()
+@_query(f"WITH {O.BLOCK}, z AS (SELECT s1_entity_id AS s1_id, count(*) AS n, ('0x' || substr(md5(s1_entity_id), 1, 8))::BIGINT % 1024 AS b FROM top GROUP BY 1) SELECT s1_id, ((row_number() OVER (PARTITION BY b ORDER BY n DESC, s1_id) + b - 1) % 5)::INT AS fold FROM z")
 def group_kfold(spark, d):
     return learn.group_folds(_top(spark, d)[2].select(F.col("s1_entity_id").alias("s1_id")))
 
@@ -664,12 +797,7 @@ def export_candidates(spark, d):
 
 
 def _round_trip(spark, rows):
-    import uuid
-
-    from kinlink.sources import sinks
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{root}/kinlink/export-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "export")
     sinks.write_lists(rows, path)
     key, listed = rows.columns
     back = spark.read.schema(f"{key} string, {listed} string").option("sep", "\t").option("header", True).option("quote", "").csv(path)

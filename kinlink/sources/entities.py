@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from kinlink.functions import dictionaries as D
+from kinlink.scratch import materialise
 
 ENTITY = T.StructType([T.StructField("entity_id", T.StringType())] + [T.StructField(c, T.StringType()) for c in ("business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField("source1_entity_id", T.StringType()), T.StructField("matched_entity_ids", T.StringType())])
@@ -88,12 +89,20 @@ def required_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, value of a text file; malformed lines stay. Lines are numbered by file and place, without one task for all."""
-    rows = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    counts = rows.groupBy(F.spark_partition_id().alias("_p")).count()
-    before = counts.select("_p", (F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    numbered = rows.withColumn("_p", F.spark_partition_id()).join(F.broadcast(before), "_p")
-    return numbered.select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"), "value")
+    """line_no, value of a text file, or of a folder of parts that each start with the same header; malformed lines stay. A
+    part's header counts once, for the first part. Lines are numbered by file and place: blocks of a file are counted,
+    and their numbers carried over, in tables of a row for each block."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_at"))
+    rows = materialise(raw, "lines")
+    blocks = rows.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    first = F.row_number().over(W.partitionBy("_f").orderBy("_b")) == 1
+    several = blocks.select("_f").distinct().count() > 1
+    order = W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)
+    leading = F.row_number().over(W.orderBy("_f", "_b")) == 1
+    marked = blocks.withColumn("_head", first & ~leading & F.lit(several)).withColumn("_own", F.col("_n") - F.col("_head").cast("long"))
+    before = marked.select("_f", "_b", "_first", "_head", F.coalesce(F.sum("_own").over(order), F.lit(0)).alias("_before"))
+    numbered = rows.join(F.broadcast(before), ["_f", "_b"]).withColumn("_place", F.col("_at") - F.col("_first") + 1 - F.col("_head").cast("long"))
+    return numbered.where("_place > 0").select((F.col("_before") + F.col("_place")).alias("line_no"), "value")
 
 
 def parse_lists(lines: DataFrame) -> DataFrame:

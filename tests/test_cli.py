@@ -27,13 +27,30 @@ def test_train_infer_validate_package(spark, tables, capsys):
     assert 0.1 <= threshold <= 0.9
     out = tables / "out"
     assert cli.main(["infer", *common, "--out", str(out), "--threshold", str(threshold)]) == 0
-    files = {}
-    for name in ("matching_results.tsv", "candidate_pairs.tsv"):  # parts of a table, put together for the checker
-        parts = sorted((out / name).glob("part-*"))
-        body = [line for p in parts for line in p.read_text().splitlines()[1:]]
-        files[name] = tables / name
-        files[name].write_text("\n".join([parts[0].read_text().splitlines()[0], *body]) + "\n")
-    check = ["--source1", str(tables / "s1.tsv"), "--matching", str(files["matching_results.tsv"]), "--candidates", str(files["candidate_pairs.tsv"])]
+    assert {r.fold for r in spark.read.parquet(str(tables / "model/oof_scores")).collect()} == {0, 1}
+    assert [r.trees <= 3 for r in spark.read.parquet(str(tables / "model/best_iterations")).collect()] == [True, True]
+    check = ["--source1", str(tables / "s1.tsv"), "--matching", str(out / "matching_results.tsv"), "--candidates", str(out / "candidate_pairs.tsv")]
     assert cli.main(["validate", *check, "--pool", str(tables / "s2.tsv"), "--pool", str(tables / "s3.tsv"), "--check-ids"]) == 0
-    assert cli.main(["package", *check, "--code", "kinlink/plans", "--out", str(tables / "s.zip")]) == 0
-    assert {"matching_results.tsv", "candidate_pairs.tsv", "code/inference.py"} <= set(zipfile.ZipFile(tables / "s.zip").namelist())
+    (tables / "about.md").write_text("what it is")
+    assert cli.main(["package", *check, "--code", "kinlink/plans", "--document", str(tables / "about.md"), "--out", str(tables / "s.zip")]) == 0
+    packed = zipfile.ZipFile(tables / "s.zip")
+    assert {"matching_results.tsv", "candidate_pairs.tsv", "about.md", "code/inference.py"} <= set(packed.namelist())
+    for name in ("matching_results.tsv", "candidate_pairs.tsv"):
+        lines = packed.read(name).decode().splitlines()
+        ids = [x.split("\t")[0] for x in lines[1:]]
+        want = [x.split("\t")[0] for x in (tables / "s1.tsv").read_text().splitlines()[1:]]
+        assert lines[0].startswith("source1_entity_id\t") and sorted(ids) == sorted(want)
+    # What was packed is a file that the checker takes.
+    packed.extract("matching_results.tsv", tables / "unpacked")
+    assert cli.main(["validate", "--source1", str(tables / "s1.tsv"), "--matching", str(tables / "unpacked/matching_results.tsv")]) == 0
+
+
+def test_package_needs_its_files(tables, spark):
+    from kinlink.sources import sinks
+
+    with pytest.raises(FileNotFoundError):
+        sinks.write_archive(str(tables / "none.zip"), [str(tables / "nothing.tsv")], "kinlink/plans")
+    empty = tables / "empty"
+    empty.mkdir()
+    with pytest.raises(FileNotFoundError):
+        sinks.write_archive(str(tables / "none.zip"), [str(empty)], "kinlink/plans")

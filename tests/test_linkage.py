@@ -241,4 +241,46 @@ def test_learning_queries_use_the_production_folds_and_trees(monkeypatch):
     for name in ("oof_scores", "feature_importance"):
         with pytest.raises(InterruptedError):
             registry.queries()[name](None, "")
-    assert calls == [(5, 100)] * 2
+    assert calls == [(5, 1000)] * 2
+
+
+def test_hot_tokens_are_cut_into_cells_and_lose_nothing(spark, monkeypatch):
+    left = spark.createDataFrame([(f"a{i}", "US", "t" if i % 3 else f"u{i % 7}") for i in range(60)], "s1 string, country string, token string")
+    right = spark.createDataFrame([(f"b{i}", "US", "t" if i % 2 else f"u{i % 5}") for i in range(90)], "id string, country string, token string")
+    want = sorted(map(tuple, left.join(right, ["country", "token"]).select("s1", "id").collect()))
+    for hot in (1, 7, 1000):
+        got = sorted(map(tuple, blocking.dealt_join(left, right, ["country", "token"], "s1", "id", hot).select("s1", "id").collect()))
+        assert got == want
+    s1, pool = registry._norm(spark, "/root/testdata/sf0.001")
+    whole = [sorted(map(tuple, f(s1, pool).select("s1_entity_id", "entity_id", "rank").collect())) for f in (blocking.block_topk, blocking.pruned_candidates)]
+    monkeypatch.setattr(blocking, "HOT", 3)
+    assert [sorted(map(tuple, f(s1, pool).select("s1_entity_id", "entity_id", "rank").collect())) for f in (blocking.block_topk, blocking.pruned_candidates)] == whole
+
+
+def test_lines_of_parts_are_numbered_under_one_header(spark, tmp_path):
+    rows = spark.createDataFrame([(f"S1-{i:02}", f"S2-{i}") for i in range(9)], "source1_entity_id string, matched_entity_ids string").repartition(3)
+    sinks.write_lists(rows, str(tmp_path / "parts"))
+    got = sorted(map(tuple, entities.read_lines(spark, str(tmp_path / "parts")).collect()))
+    assert [n for n, _ in got] == list(range(1, 11)) and got[0][1].startswith("source1") and sum("source1" in v for _, v in got) == 1
+    (tmp_path / "one.tsv").write_text("h\tx\n\nS1-1\ta\nh\tx\n")
+    assert [tuple(r) for r in entities.read_lines(spark, str(tmp_path / "one.tsv")).orderBy("line_no").collect()] == [(1, "h\tx"), (2, ""), (3, "S1-1\ta"), (4, "h\tx")]
+
+
+def test_features_fall_back_to_csv(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, 0.5)], "a int, b double")
+    assert sinks.write_features(rows, str(tmp_path / "f")).endswith("f")
+
+    def refuses(self, path):
+        raise OSError(path)
+
+    monkeypatch.setattr(type(rows.write), "parquet", refuses)
+    with pytest.warns(UserWarning):
+        used = sinks.write_features(rows, str(tmp_path / "g"))
+    assert used.endswith(".csv") and entities.reload_features(spark, None, str(tmp_path / "none"), used).count() == 1
+
+
+def test_boosting_ends_early_and_says_when(spark):
+    pairs = registry._labelled(spark, "/root/testdata/sf0.01")
+    models, scored = learn.train_folds(pairs, k=2, trees=40)
+    assert len(learn.best_iterations(models)) == 2 and all(1 <= n <= 40 for n in learn.best_iterations(models))
+    assert scored.groupBy("s1_id").agg(F.countDistinct("fold").alias("n")).where("n > 1").isEmpty()
