@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import materialise, salted_lookup, shards, text_table
+from kinlink.llm.common import materialise, salted_lookup, tasks_for, text_table, trim
 
 #: Shingle hashes are counted in blocks of this many, node pairs walked in blocks of that many: bounds on memory.
 HASH_BLOCK, PAIR_BLOCK = 1 << 14, 1 << 21
+#: Distinct fingerprints of a task of walks.
+PRINTS = 20_000
 
 
 def shingles(text: str, width: int = 3) -> list[bytes]:
@@ -158,7 +160,7 @@ def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     """fp, root: a spanning star for each connected piece within each block's walks. distinct: column fp, no repeats."""
-    blocks, n = _blocks(bits), shards(distinct.sparkSession)
+    blocks, n = _blocks(bits), max(1, distinct.count() // PRINTS)
     keyed = []
     for k, (first, width) in enumerate(blocks):
         value = F.shiftrightunsigned(F.col("fp"), 64 - first - width).bitwiseAND(F.lit((1 << width) - 1))
@@ -231,6 +233,8 @@ WORDS, BLOCK_BITS, BLOCKS, PROBES = 4, 16, 8, 4
 SPARE, CLOSEST = 4.0, 8
 #: Edges of a node over which it is spread; ids of documents with a candidate that are sent to all tasks.
 HUB, BROADCAST_IDS = 256, 1_000_000
+#: Bytes of text whose leaves are walked in one task.
+SHARD_BYTES = 4 << 20
 #: Groups up to this many members are compared as one array, larger ones member by member.
 SMALL = 64
 
@@ -276,6 +280,7 @@ def _wide_step(width: int, seed: int):
         for b in batches:
             found = [_wide(x, width, seed) for x in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), *(pa.array([bytes(x[i]) for x in found], pa.binary()) for i in range(3))], names=["doc_id", "words", "narrow", "digest"])
+        trim()
 
     return run
 
@@ -310,6 +315,8 @@ def _leaf_step(n: int):
                     rows.append((s, ids[used].tobytes(), pieces[used].tobytes(), words[used].tobytes(), place.astype(np.uint32).tobytes(), (leaf[at] * 2 + own[at]).astype(np.uint32).tobytes()))
             kinds = (pa.int32(), *[pa.binary()] * 5)
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "ids", "pieces", "words", "member", "leaf"])
+            del rows, leaf, own, member, shard, order, block, change
+        trim()
 
     return run
 
@@ -439,7 +446,10 @@ def _candidates(nodes: DataFrame, n: int, budget: int, most: int | None) -> Data
             b, more = label[a], False
         else:
             a, b, more = leaf_pairs(leaf, own, member, words, pieces, budget, most)
-        return pa.table({"fp": np.maximum(ids[a], ids[b]), "root": np.minimum(ids[a], ids[b]), "more": np.full(len(a), more)})
+        found = pa.table({"fp": np.maximum(ids[a], ids[b]), "root": np.minimum(ids[a], ids[b]), "more": np.full(len(a), more)})
+        del parts, ids, pieces, words, member, leaf, own
+        trim()
+        return found
 
     found = nodes.mapInArrow(_leaf_step(n), _LEAF_SQL).groupBy("shard").applyInArrow(run, "fp long, root long, more boolean")
     return found.groupBy("fp", "root").agg(F.max("more").alias("more"))
@@ -472,6 +482,7 @@ def verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float)
         for b in batches:
             ok = [similar(x, y, width, similarity) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("root")], names=["fp", "root"]).filter(pa.array(ok, pa.bool_()))
+        trim()
 
     both = _ends(_ends(edges, used, "fp", "root", "a"), used, "root", "fp", "b")
     return both.select("fp", "root", "a", "b").mapInArrow(run, "fp long, root long").distinct()
@@ -480,8 +491,8 @@ def verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float)
 def similar_links(docs: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
     """fp, root: edges between doc_ids of documents whose similarity reaches the threshold, as many as connect them. A pair
     is checked once."""
-    n, budget = shards(docs.sparkSession), budget_of(similarity, SPARE)
     rows = text_table(docs).where("doc_id is not null")
+    n, budget = tasks_for(rows, SHARD_BYTES), budget_of(similarity, SPARE)
     prints = materialise(rows.mapInArrow(_wide_step(width, seed), "doc_id long, words binary, narrow binary, digest binary"), "simhash-wide")
     nodes = materialise(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("narrow").alias("narrow")), "simhash-nodes")
     equal = salted_lookup(prints.select(F.col("doc_id").alias("fp"), "digest"), nodes.select("digest", F.col("doc_id").alias("root")), "digest", "fp", how="inner").select("fp", "root")
