@@ -52,6 +52,8 @@ PARTS = 2
 #: Names of the end token and of the context at a text's start; tokens that are counted together in a task.
 END, START, CHUNK = 1, 2, 3 << 18
 _MASK = (1 << 48) - 1
+#: Above this many combinations of text and pair in a chunk, they do not fit one number and are sorted by columns.
+WIDE = 1 << 62
 #: Partial sums of logarithms travel as integers in units of 2 ** -30, so they add up the same in any order.
 FIXED = float(1 << 30)
 MESSAGE_SQL = "kind int, shard int, src long, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary, b5 binary, b6 binary"
@@ -179,7 +181,7 @@ def _token_step(n: int):
                 chunk, seq = (task << 32) | seq, seq + 1
                 rows = [(TEXTS, chunk % n, chunk, pack(ids[i:j].view(np.int64)), pack(held[i:j].astype(np.int64)), pack(null[i:j].astype(np.int64)), pack(np.bincount(text, minlength=j - i)))]
                 size = len(names)
-                if (j - i) * size * size < 2**62:
+                if (j - i) * size * size < WIDE:
                     key = np.sort((w * size + u) * (j - i) + text)
                     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                     times = np.diff(np.r_[first, len(key)])

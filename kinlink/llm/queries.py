@@ -158,7 +158,7 @@ SELECT d.doc_id, s.k IS NOT NULL AS contaminated, coalesce(s.coverage, 0.0)::DOU
 """
 
 OP10_SQL = """
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce("text", '')) AS b FROM documents WHERE doc_id IS NOT NULL),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce("text", '')) AS b FROM documents),
 w AS (SELECT k, doc_id, i, array_slice(b, i, i + 49) AS s FROM d, range(1, octet_length(b) - 48) t(i)),
 m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
 g AS (SELECT w.k, w.i, lag(w.i) OVER (PARTITION BY w.k ORDER BY w.i) AS p FROM w JOIN m ON w.s = m.s WHERE m.least < w.doc_id),

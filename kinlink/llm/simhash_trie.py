@@ -9,9 +9,10 @@ block's bits on top) and every node at that depth is an independent walk from th
 A group of copies becomes one fingerprint before the join, and a walk hands out a spanning star per connected piece,
 never its pairs. Components come from alternating star contraction on tables in the shared folder.
 
-Defined results: null or blank text has fingerprint zero and links like any other; rows with a null doc_id are
-ignored (they cannot be a component's name); a repeated doc_id with several texts is in the component of all of them
-only by its own rows; an empty table gives an empty result; extra columns are never read.
+Defined results: null or blank text has fingerprint zero and links like any other; rows with a null doc_id are linked like
+others but name no component (a component of such rows alone has none); a repeated doc_id with several texts is in the
+component of all of them only by its own rows; repeated rows are repeated; an empty table gives an empty result; extra
+columns are never read.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fp = np.array([fingerprint(x, width, seed) for x in b.column("text").to_pylist()], np.uint64)
             yield pa.record_batch([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return text_table(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, fp long")
+    return text_table(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def _blocks(bits: int) -> list[tuple[int, int]]:
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, seed: int =
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     label = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    found = salted_lookup(prints, label, "fp", "doc_id", how="inner")
+    found = salted_lookup(prints, label, "fp", "doc_id", how="inner")  # null ids of one fingerprint share a salt
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

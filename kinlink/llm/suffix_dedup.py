@@ -5,21 +5,24 @@ sorted with the difference-cover algorithm (DC3): triples at positions 1 and 2 m
 sorted by recursion, the remaining suffixes are merged in, and neighbours in the order are compared on their first
 LENGTH bytes.
 
-What is distributed is the text, cut so that equal strings always meet: every string of LENGTH bytes is owned by its
-smallest SEED-byte substring (by hash, leftmost of equals), so equal strings have equal owners. Strings with one owner
-that start side by side travel as one context. Four steps, each a job over hash-dealt blocks:
+The sort itself runs inside tasks, on blocks of about SORT bytes; what is distributed is the text, cut so that equal
+strings always meet in one block. So this is the difference-cover algorithm over a distributed text, not one sort that
+spans the cluster. Every string of LENGTH bytes is owned by its smallest SEED-byte substring (by hash, leftmost of
+equals), so equal strings have equal owners. Strings with one owner that start side by side travel as one context. Four
+steps, each a job over hash-dealt blocks:
 1. owners of every document block, with smallest and largest doc_id; owners seen in two documents are shared,
 2. contexts of shared owners, each once for a block of documents, to the owner's task,
 3. there: DC3 over the distinct contexts; each string learns the smallest doc_id that it starts in,
 4. blocks of documents apply this to their occurrences.
 So a passage in a third of all documents is one context for each block, not one row for each document. An owner with
-over HOT occurrences has its strings dealt one by one, by their own hash, as its contexts may all differ.
+over HOT occurrences has its strings dealt one by one, by their own hash, as its contexts may all differ. The number of
+blocks follows the bytes of text (BLOCK_BYTES each), so a task's share does not grow with the corpus.
 
 Numbers travel as sorted, byte-plane-wise compressed arrays. Only Spark reads and writes files.
 
 Defined results: null text is empty; texts under LENGTH bytes keep all; rows with equal doc_id are one document, so
-neither loses to the other; rows with a null doc_id have no place in the order and are ignored; an empty table gives an
-empty result; extra columns are never read.
+neither loses to the other; rows with a null doc_id have no place in the order, so they keep all and take nothing from
+others; an empty table gives an empty result; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -33,9 +36,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import materialise, release_shuffles, shards, text_table
+from kinlink.llm.common import materialise, release_shuffles, tasks_for, text_table
 
 LENGTH, SEED, HOT = 50, 20, 20_000
+#: Bytes of text of a block of documents.
+BLOCK_BYTES = 16 << 20
 #: Bytes of text that are hashed at a time (a bound on arrays; a longer text is cut with overlap), and bytes of
 #: contexts that are sorted together.
 SLICE, SORT = 1 << 15, 1 << 21
@@ -450,8 +455,9 @@ def _removal_step(length: int, seed: int, outputs: bool):
 def deduplicate(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT, outputs: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with outputs, the kept bytes and the removed spans."""
     spark = docs.sparkSession
-    n = shards(spark)
-    rows = text_table(docs).where("doc_id is not null").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    known = text_table(docs).where("doc_id is not null")
+    n = tasks_for(known, BLOCK_BYTES)
+    rows = known.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     dealt = rows.mapInArrow(_owner_step(length, seed, n), _OWNER_SQL)
     shared = materialise(dealt.groupBy("shard").applyInArrow(_shared_step(hot), _SHARED_SQL), "owners")
     del dealt
@@ -460,4 +466,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: in
     least = materialise(contexts.groupBy("shard").applyInArrow(_least_step(length), _LEAST_SQL), "least")
     del contexts
     release_shuffles(spark)
-    return rows.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(_removal_step(length, seed, outputs), _RESULT_SQL)
+    done = rows.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(_removal_step(length, seed, outputs), _RESULT_SQL)
+    whole = F.encode("text", "UTF-8")
+    spans = "array<struct<start:bigint,end:bigint>>"
+    lone = text_table(docs).where("doc_id is null").select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"),
+        (whole if outputs else F.lit(None).cast("binary")).alias("kept"), (F.array().cast(spans) if outputs else F.lit(None).cast(spans)).alias("spans"),
+    )
+    return done.union(lone)

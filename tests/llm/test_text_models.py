@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from kinlink.llm import bpe_dropout, bradley_terry, hpylm
 
@@ -47,6 +48,52 @@ def test_heap_and_rounds_agree(vocabulary):
         assert sym[of == i].tolist() == tool._agenda(w, int(base[i])).tolist()
 
 
+M64 = (1 << 64) - 1
+
+
+def splitmix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def plain_dropout(sp, word, variant, rate, seed):
+    """Merge-dropout from its definition: of all adjacent pairs whose concatenation is a piece and whose span is not
+    skipped, the one of the best score, the leftmost of equals, until there is none."""
+    pieces = {sp.id_to_piece(i).replace("\u2581", " "): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    key = splitmix((xxhash.xxh64_intdigest(word.encode(), seed) + variant * 0x9E3779B97F4A7C15) & M64)
+    skipped = lambda a, b: splitmix(key ^ splitmix(a << 32 | b)) < int(rate * (2**64 - 2048))
+    parts = [(c, i, i + 1) for i, c in enumerate(word)]
+    while True:
+        found = []
+        for k in range(len(parts) - 1):
+            (x, a, _), (y, _, b) = parts[k : k + 2]
+            if x in pieces and y in pieces and x + y in pieces and not skipped(a, b):
+                found.append((-sp.get_score(pieces[x + y]), k))
+        if not found:
+            break
+        _, k = min(found)
+        parts[k : k + 2] = [(parts[k][0] + parts[k + 1][0], parts[k][1], parts[k + 1][2])]
+    out = []
+    for x, _, _ in parts:
+        out += [pieces[x]] if x in pieces else [sp.piece_to_id(f"<0x{b:02X}>") for b in x.encode()]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
+def test_dropout_equals_its_definition(vocabulary, rate):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=bpe_dropout.MODEL)
+    tool = bpe_dropout.Segmenter(vocabulary, rate, seed=20)
+    rng = random.Random(6)
+    words = [" international", " the", "   deep", " é日x", " " + "ab" * 40, " x"] + [" " + "".join(rng.choices("abcdeinorstué", k=rng.randint(1, 14))) for _ in range(40)]
+    for variant in range(4):
+        got, count = tool.segment(words, np.full(len(words), variant))
+        for w, own in zip(words, np.split(got, np.cumsum(count)[:-1])):
+            assert own.tolist() == plain_dropout(sp, w, variant, rate, 20)
+
+
 def test_all_dropped_leaves_characters(vocabulary):
     tool = bpe_dropout.Segmenter(vocabulary, 1.0)
     assert len(tool.encode(["hello"], [0])[0]) == 6
@@ -88,6 +135,19 @@ def test_base_scores_and_gain(docs_of):
     assert sum(r.score for r in own) > sum(r.base_score for r in own)
 
 
+def test_wide_chunks_are_sorted_another_way(docs_of, monkeypatch):
+    rows = corpus()
+    want = sorted((r.doc_id or -1, r.n_tokens, r.score) for r in hpylm.score(docs_of(rows), burn_in=1, samples=1).collect())
+    monkeypatch.setattr(hpylm, "WIDE", 0)
+    assert sorted((r.doc_id or -1, r.n_tokens, r.score) for r in hpylm.score(docs_of(rows), burn_in=1, samples=1).collect()) == want
+
+
+def test_very_long_texts(docs_of):
+    long = " ".join(f"w{i % 5000}" for i in range(300_000))
+    got = {r.doc_id: r for r in hpylm.score(docs_of([(1, long), (2, "w1 w2"), (3, "x" * 500_000)]), burn_in=1, samples=1).collect()}
+    assert got[1].n_tokens == 300_001 and all(math.isfinite(r.score) for r in got.values())
+
+
 def test_language_model_without_text(docs_of):
     assert hpylm.score(docs_of([])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
@@ -244,6 +304,40 @@ def test_quality_on_held_out_labels(spark, docs_of):
     assert len(wrong) <= 1
 
 
+def test_fit_minimises_the_pairwise_loss():
+    """The loss over the drawn pairs, written out, does not fall in any direction from the fitted weights."""
+    rng = np.random.default_rng(3)
+    width = bradley_terry.features("").size
+    good, bad = rng.normal(0.3, 1, (60, width)), rng.normal(0, 1, (40, width))
+    model = bradley_terry.fit(good, bad, 0.3, pairs=4000)
+    draw = np.random.default_rng(7)
+    a, b = draw.integers(0, 60, 4000), draw.integers(0, 40, 4000)
+    scale = np.concatenate([good, bad]).std(0)
+    w = model["w"] * scale
+
+    def loss(w):
+        total = 0.0
+        for i, j in zip(a, b):
+            total += math.log1p(math.exp(-float(((good[i] - bad[j]) / scale) @ w)))
+        return total / len(a) + 0.5e-3 * float(w @ w)
+
+    least = loss(w)
+    for k in range(width):
+        for step in (1e-2, -1e-2):
+            other = w.copy()
+            other[k] += step
+            assert loss(other) > least
+    strength = np.concatenate([good, bad]) @ model["w"] - model["mean"] @ model["w"]
+    assert abs((strength >= model["at"]).mean() - 0.6) < 0.02
+
+
+def test_a_sampled_id_counts_once(spark, docs_of):
+    rows, labels = marked(spark)
+    many = docs_of(rows + [rows[0]] * 50)
+    one, again = bradley_terry.labelled_features(docs_of(rows), labels, labels.doc_id >= 0), bradley_terry.labelled_features(many, labels, labels.doc_id >= 0)
+    assert all(np.array_equal(x, y) for x, y in zip(one, again))
+
+
 def test_quality_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in bradley_terry.classify(docs_of([(1, "a"), (2, None)]), none).collect()} == {0.5}
