@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from kinlink.llm.common import text_table
+from kinlink.llm.common import text_table, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, RATE, VARIANTS = 20, 0.1, 4
@@ -300,6 +300,9 @@ def tokenise(docs: DataFrame, path: str = MODEL, rate: float = RATE, seed: int =
                     ],
                     names=["doc_id", "pieces", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"],
                 )
+        del tool
+        vocabulary.__dict__.pop("_value", None)  # a worker outlives its task; the next one reads the broadcast's file again
+        trim()
 
     return text_table(docs).mapInArrow(run, "doc_id long, pieces array<int>, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinlink.scratch import LOCAL_CHECKPOINTS, drop_path, materialise, release_shuffles, scratch_path, scratch_root
 
-__all__ = ["LOCAL_CHECKPOINTS", "batch", "drop_path", "materialise", "release_shuffles", "salted_lookup", "scratch_path", "scratch_root", "shards", "tasks_for", "text_table", "trim"]
+__all__ = ["LOCAL_CHECKPOINTS", "batch", "drop_path", "materialise", "release_shuffles", "salted_lookup", "scratch_path", "scratch_root", "shards", "sliced", "tasks_for", "text_table", "trim"]
 
 
 def shards(spark: SparkSession) -> int:
@@ -38,6 +38,13 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, by: str, salts: i
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
+def sliced(batches, rows: int = 2048):
+    """Record batches of at most that many rows: what a task makes of a batch is held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def trim() -> None:
     """Give freed memory back: a Python worker lives on after its task, and what it keeps is lost to the others."""
     import ctypes

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import materialise, salted_lookup, tasks_for, text_table, trim
+from kinlink.llm.common import materialise, salted_lookup, sliced, tasks_for, text_table, trim
 
 #: Shingle hashes are counted in blocks of this many, node pairs walked in blocks of that many: bounds on memory.
 HASH_BLOCK, PAIR_BLOCK = 1 << 14, 1 << 21
@@ -235,7 +235,7 @@ SPARE, CLOSEST = 4.0, 8
 #: Edges of a node over which it is spread; ids of documents with a candidate that are sent to all tasks.
 HUB, BROADCAST_IDS = 256, 1_000_000
 #: Bytes of text whose leaves are walked in one task.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
 #: Groups up to this many members are compared as one array, larger ones member by member.
 SMALL = 64
 
@@ -278,7 +278,7 @@ def _wide_step(width: int, seed: int):
     """doc_id, words, narrow, digest of every document."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [_wide(x, width, seed) for x in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), *(pa.array([bytes(x[i]) for x in found], pa.binary()) for i in range(3))], names=["doc_id", "words", "narrow", "digest"])
         trim()
@@ -291,7 +291,7 @@ def _leaf_step(n: int):
 
     def run(batches):
         flips = np.arange(1 << PROBES)
-        for b in batches:
+        for b in sliced(batches, 4096):
             ids, pieces = b.column("doc_id").to_numpy(), b.column("piece").to_numpy()
             if not len(ids):
                 continue
@@ -480,7 +480,7 @@ def verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float)
     used = materialise(texts.join(F.broadcast(ends) if few else ends, "doc_id").distinct(), "simhash-texts")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 512):
             ok = [similar(x, y, width, similarity) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("root")], names=["fp", "root"]).filter(pa.array(ok, pa.bool_()))
         trim()
