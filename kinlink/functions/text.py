@@ -67,6 +67,11 @@ def transliterate(text: Column, other_scripts: bool = True) -> Column:
     return F.when(foreign, _romanise(F.when(foreign, latin))).otherwise(latin)  # other rows send a null
 
 
+def foreign(text: Column) -> Column:
+    """Whether letters of other scripts are left once Latin ones are plain."""
+    return F.coalesce(transliterate(text, False).rlike("[^\\x00-\\x7f]"), F.lit(False))
+
+
 def squeeze(text: Column) -> Column:
     """Runs of blanks to one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

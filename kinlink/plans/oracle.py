@@ -193,7 +193,7 @@ FEAT = f"""pr AS (SELECT top.*, a.clean_name AS an, b.clean_name AS bn, a.clean_
    acommon AS address_common_words_count, CASE WHEN aun = 0 THEN 0.0 ELSE acommon / aun END AS address_word_jaccard, (source = 'S3')::INT AS source_is_s3,
    CASE WHEN un = 0 OR aun = 0 THEN 0.0 ELSE (common / un) * (acommon / aun) END AS name_x_addr_jaccard, (an = bn AND an <> '' AND coalesce(lower(ast) = lower(bst), false))::INT AS both_exact_and_state,
    matching_score / greatest(common, 1) AS score_per_word FROM cc)"""
-SCORES = """sc AS (SELECT d.doc_id, l.quality AS label, round(least(d.n_chars, 5000) / 5000.0, 4)::DOUBLE AS score FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+SCORES = """sc AS (SELECT d.doc_id, l.quality AS label, round(d.n_chars / (d.n_chars + 5000.0::DOUBLE), 4) AS score FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
 def ratio(a: str, b: str) -> str:

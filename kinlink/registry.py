@@ -48,7 +48,10 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _norm(spark: SparkSession, d: str, profile=PACKAGE) -> tuple[DataFrame, DataFrame]:
-    rows = linkage.normalized(_ent(spark, d), profile, other_scripts=False)
+    """Normalised records. The Arrow function for other scripts is planned in if any record needs it."""
+    own = _ent(spark, d)
+    needed = not own.where(text.foreign(text.or_empty(F.col("business_name"))) | text.foreign(text.or_empty(F.col("business_address")))).isEmpty()
+    rows = linkage.normalized(own, profile, other_scripts=needed)
     return rows.where("source = 'S1'"), rows.where("source in ('S2', 'S3')")
 
 
@@ -62,9 +65,9 @@ def _truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    """label and a made-up score: quality labels against text length."""
+    """label and a made-up score between 0 and 1 that grows with the text's length: quality labels against it."""
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    score = F.round(F.least(F.col("n_chars"), F.lit(5000)) / 5000.0, 4)
+    score = F.round(F.col("n_chars") / (F.col("n_chars") + 5000.0), 4)
     return docs.select("doc_id", score.alias("score")).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
 
 
