@@ -54,23 +54,32 @@ def score_pairs(model: PipelineModel, pairs: DataFrame) -> DataFrame:
     return model.transform(pairs).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def _validation_share(train: DataFrame) -> int | None:
+    """Hundredths of the groups, the least of a few, such that they and the rest hold both classes."""
+    kinds = train.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).collect()  # a row for each of 100 buckets
+    for share in (10, 20, 30, 50):
+        parts = [r for r in kinds if r.bucket < share], [r for r in kinds if r.bucket >= share]
+        if all(p and min(r.low for r in p) < max(r.high for r in p) for p in parts):
+            return share
+    return None
+
+
 def train_folds(pairs: DataFrame, k: int = 5, trees: int = TREES, seed: int = 42, early_stop: bool = True) -> tuple[list[PipelineModel], DataFrame]:
     """One model per fold, and every pair scored by the model that did not see it. A tenth of the training groups of each
-    fold, by hash, decides when boosting ends; the fold itself is never looked at."""
+    fold, by hash (more where a tenth lacks a class), decides when boosting ends; the fold itself is never looked at."""
     rows = pairs.join(group_folds(pairs, k), "s1_id").withColumn("label", F.col("label").cast("double"))
-    rows = materialise(rows.withColumn("validation", _bucket("s1_id", 100) < 10), "pairs")
+    rows = materialise(rows.withColumn("bucket", _bucket("s1_id", 100)), "pairs")
     # Each tree is a few jobs over the pairs; on small tables tasks of few rows would cost more than they do.
     rows = rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK)))
     models, scored = [], []
     for fold in range(k):
         train = balanced(rows.where(F.col("fold") != fold)).persist(StorageLevel.MEMORY_AND_DISK)
-        kinds = train.groupBy("validation").agg(F.countDistinct("label").alias("n")).collect()
-        both = early_stop and len(kinds) == 2 and all(r.n == 2 for r in kinds)
-        model = classifier(seed + fold, trees, "validation" if both else None).fit(train)
+        share = _validation_share(train) if early_stop else None
+        model = classifier(seed + fold, trees, "validation" if share else None).fit(train.withColumn("validation", F.col("bucket") < (share or 0)))
         train.unpersist()
         models.append(model)
         scored.append(score_pairs(model, rows.where(F.col("fold") == fold)))
-    return models, reduce(DataFrame.unionByName, scored).drop("validation").withColumn("label", F.col("label").cast("int"))
+    return models, reduce(DataFrame.unionByName, scored).drop("bucket").withColumn("label", F.col("label").cast("int"))
 
 
 def best_iterations(models: list[PipelineModel]) -> list[int]:

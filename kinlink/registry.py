@@ -181,10 +181,10 @@ def field_lookup(spark, d):
     return features.looked_up(gaps, pool, ["clean_name", "clean_address"])
 
 
-_CASES = ["right", "missing", "commas", "not utf-8", "no source"]
+_CASES = ["right", "missing", "commas", "not utf-8", "no source", "no pool"]
 
 
-@_query("SELECT c AS \"case\", e AS exit_code, n::INT AS n_errors, w::INT AS n_warnings FROM (VALUES ('right', 0, 0, 0), ('missing', 1, 1, 1), ('commas', 1, 1, 1), ('not utf-8', 1, 1, 1), ('no source', 1, 1, 0)) v(c, e, n, w)")
+@_query("SELECT c AS \"case\", e AS exit_code, n::INT AS n_errors, w::INT AS n_warnings FROM (VALUES ('right', 0, 0, 0), ('missing', 1, 1, 1), ('commas', 1, 1, 1), ('not utf-8', 1, 1, 1), ('no source', 1, 1, 0), ('no pool', 0, 0, 1)) v(c, e, n, w)")
 def val_files(spark, d):
     """The validator on files: what `export_matching` and `export_candidates` write, and files with one fault each."""
     s1, root = _norm(spark, d)[0], scratch_path(spark, "val")
@@ -194,10 +194,10 @@ def val_files(spark, d):
     sinks.write_lists(s1.select("entity_id", "country"), f"{root}/s1")
     spark.createDataFrame([("source1_entity_id,matched_entity_ids",), ("S1-0,S2-1",)], "value string").coalesce(1).write.text(f"{root}/commas")
     spark.createDataFrame([("source1_entity_id\tmatched_entity_ids\nS1-0\té",)], "value string").coalesce(1).write.option("encoding", "ISO-8859-1").option("header", False).csv(f"{root}/bytes")
-    files = {"right": f"{root}/matching", "missing": f"{root}/nothing", "commas": f"{root}/commas", "not utf-8": f"{root}/bytes", "no source": f"{root}/matching"}
+    files = {"right": f"{root}/matching", "missing": f"{root}/nothing", "commas": f"{root}/commas", "not utf-8": f"{root}/bytes", "no source": f"{root}/matching", "no pool": f"{root}/matching"}
     out = []
     for case in _CASES:
-        report = validate.validate(spark, f"{root}/nothing" if case == "no source" else f"{root}/s1", files[case], f"{root}/candidates" if case == "right" else None)
+        report = validate.validate(spark, f"{root}/nothing" if case == "no source" else f"{root}/s1", files[case], f"{root}/candidates" if case in ("right", "no pool") else None, (f"{root}/nothing",) if case == "no pool" else (), case == "no pool")
         out.append((case, report.exit_code, len(report.errors), len(report.warnings)))
     return spark.createDataFrame(out, "case string, exit_code int, n_errors int, n_warnings int")
 
