@@ -425,7 +425,8 @@ def leaf_pairs(leaf: np.ndarray, own: np.ndarray, member: np.ndarray, words: np.
             rest = group[piece[group] != piece[a]]
             more |= add(np.full(len(rest), a), rest)
     a, b = (np.concatenate(x) for x in zip(*found))
-    return a, b, more
+    pair = np.unique(np.minimum(a, b) * len(words) + np.maximum(a, b))  # a pair meets at several leaves, and from both sides
+    return pair // max(len(words), 1), pair % max(len(words), 1), more
 
 
 def _candidates(nodes: DataFrame, n: int, budget: int, most: int | None) -> DataFrame:
