@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import scratch_path, text_table
+from kinlink.llm.common import scratch_path, sliced, text_table, trim
 
 ROW = 64
 ITEM_SQL = "position:int,kind:string,text:string,ref:string,caption:string,length:bigint"
 SEQUENCE_SQL = f"array<struct<{ITEM_SQL}>>"
 _ITEM = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string()), ("length", pa.int64())]))
 FEATURES_SQL = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Rows that are turned into pages, items or payloads at a time.
+SLICE = 1024
 #: References to one digest leave a task in lists of at most this many.
 GROUP = 4096
 
@@ -110,8 +112,9 @@ def sequences(pages: DataFrame, key: str, page: str = "html") -> DataFrame:
     """key, items: each page's ordered text and media items."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, SLICE):
             yield pa.record_batch([b.column(0), pa.array([sequence_of(x) for x in b.column(1).to_pylist()], _ITEM)], names=[key, "items"])
+        trim()
 
     return pages.select(F.col(key).cast("long").alias(key), F.col(page).cast("string").alias("_page")).mapInArrow(run, f"{key} long, items {SEQUENCE_SQL}")
 
@@ -138,7 +141,7 @@ def write_store(docs: DataFrame, path: str) -> None:
 
     def run(batches):
         seen: set[bytes] = set()
-        for b in batches:
+        for b in sliced(batches, SLICE):
             out = []
             for text in b.column("text").to_pylist():
                 payload = payload_of(text)
@@ -149,6 +152,7 @@ def write_store(docs: DataFrame, path: str) -> None:
                     seen.add(digest.digest())
                     out.append((digest.hexdigest(), encode_media(payload)))
             yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in ((0, pa.string()), (1, pa.binary()))], names=["digest", "media"])
+        trim()
 
     text_table(docs).select("text").mapInArrow(run, "digest string, media binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
@@ -165,7 +169,7 @@ def stored_features(spark: SparkSession, path: str) -> DataFrame:
     """One row for each digest, from the stored bytes as read back; a payload that fails its digest is an error."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, SLICE):
             out = []
             for digest, media in zip(*(b.column(c).to_pylist() for c in ("digest", "media"))):
                 samples = decode_media(media)
@@ -184,7 +188,7 @@ def document_pages(docs: DataFrame) -> DataFrame:
     """Each document as a page of its paragraphs and a figure that refers to its payload: doc_id, html."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, SLICE):
             pages = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 text = text or ""
@@ -192,6 +196,7 @@ def document_pages(docs: DataFrame) -> DataFrame:
                 figure = f'<img src="sha256:{hashlib.sha256(payload_of(text)).hexdigest()}" data-length="{len(text.encode("utf-8"))}"><figcaption>Document {doc_id}</figcaption>'
                 pages.append(f"<article>{body}<figure>{figure}</figure></article>")
             yield pa.record_batch([b.column("doc_id"), pa.array(pages, pa.string())], names=["doc_id", "html"])
+        trim()
 
     return text_table(docs).mapInArrow(run, "doc_id long, html string")
 
