@@ -290,3 +290,44 @@ def test_percents_round_as_c_does(spark):
     pairs = [(15, 48), (1, 16), (3, 16), (321, 2000), (1, 3), (0, 7), (7, 7), (1, 2000), (3, 2000), (1999, 2000)]
     got = spark.createDataFrame(pairs, "f long, n long").select("f", "n", metrics.percent(100.0 * F.col("f") / F.col("n")).alias("p")).collect()
     assert {(r.f, r.n): r.p for r in got} == {(f, n): f"{100.0 * f / n:.1f}%" for f, n in pairs}
+
+
+def test_tiles_equal_brute_force_and_shuffle_no_pairs(spark, monkeypatch):
+    """Small cells, copies, missing states, ties: against a double loop in Python."""
+    import random
+
+    from kinlink.operators import tiles
+
+    r = random.Random(3)
+    words = ["oak", "elm", "a", "b", "lime", "oaklime", "elma", "group"]
+
+    def record(i, side):
+        return (f"{side}{i}", r.choice(["US", "France", None]), r.choice(["x", "y", None]), " ".join(r.choices(words, k=r.randrange(4))), " ".join(r.choices(words, k=r.randrange(3))))
+
+    left, right = [record(i, "Q") for i in range(40)], [record(i, "C") for i in range(70)]
+    schema = "entity_id string, country string, state string, clean_name string, clean_address string"
+    s1, pool = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+
+    def brute():
+        for q in left:
+            n = q[3].split()
+            gt1 = {w for w in n if len(w) > 1} | ({"".join(n)} if len(n) > 1 else set())
+            for c in right:
+                if q[1] is not None and q[1] == c[1]:
+                    cn = set(c[3].split())
+                    len1 = len({w for w in n if len(w) == 1} & cn)
+                    more, addr = len(gt1 & {w for w in cn if len(w) > 1}), len({w for w in q[4].split() if len(w) > 1} & set(c[4].split()))
+                    if len1 + more + addr:
+                        same = int(q[2] is not None and q[2] == c[2])
+                        yield q[0], c[0], len1, more, addr, same, 1.0 * len1 + 4 * more + 2 * addr + 2 * same
+
+    want = sorted(brute())
+    for cells in ((8192, 32768), (3, 4)):
+        monkeypatch.setattr(tiles, "QUERY_CELL", cells[0])
+        monkeypatch.setattr(tiles, "POOL_CELL", cells[1])
+        every = blocking.scored_candidates(s1, pool)
+        assert sorted(map(tuple, every.collect())) == want
+        got = {(x.s1_entity_id, x.entity_id, x.rank) for x in blocking.block_topk(s1, pool).where("rank <= 3").collect()}
+        best = {q: sorted((-x[6], x[1]) for x in want if x[0] == q)[:3] for q in {x[0] for x in want}}
+        assert got == {(q, c, k + 1) for q, rows in best.items() for k, (_, c) in enumerate(rows)}
+    assert "hashpartitioning(s1_entity_id" not in every._jdf.queryExecution().executedPlan().toString()
