@@ -224,27 +224,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, seed: int =
 # document is put at its own leaf and at those that differ in its PROBES narrowest bits, and pairs that meet at a leaf go on
 # word by word over all 256 bits, adding up differing bits and leaving as soon as they exceed the budget.
 #
-# Such pairs are candidates only: an edge is kept if the exact Jaccard similarity of the two shingle sets reaches the
-# threshold. Documents of equal shingle sets are one node. The first round checks a spanning star of each estimated
-# piece; later rounds check pairs that the edges so far leave in different components, the CLOSEST ones of each document
-# first and eight times as many in every round, until no candidate is left unchecked.
+# Such pairs are candidates only, and a leaf hands out a spanning star of them. What they connect is a blob: all candidate
+# pairs lie inside one. The texts of a blob meet once in one task, as the hashes of their shingles, and every pair there is
+# compared exactly: common shingles are counted by posting lists, those of many texts by matrix products, and no pair is a
+# row. An edge is kept if the Jaccard similarity of the two shingle sets reaches the threshold, so a large group of similar
+# texts costs its square in products, never in rows or disk. A blob of over CELL shingles is dealt over cells, and each
+# pair of cells is a task. Documents of equal shingle sets are one node.
 
 WORDS, BLOCK_BITS, BLOCKS, PROBES = 4, 16, 8, 4
-#: Deviations over the mean that a candidate pair may differ by; candidates a document hands out in the second round.
+#: Deviations over the mean that a candidate pair may differ by; texts up to which all pairs are counted by posting lists.
 SPARE, CLOSEST = 4.0, 8
-#: Edges of a node over which it is spread; ids of documents with a candidate that are sent to all tasks.
-HUB, BROADCAST_IDS = 256, 1_000_000
+#: Ids of documents with a candidate that are sent to all tasks; shingles of a blob's cell, and of the blobs of one task.
+BROADCAST_IDS, CELL = 1_000_000, 1 << 21
 #: Bytes of text whose leaves are walked in one task.
 SHARD_BYTES = 16 << 20
 #: Groups up to this many members are compared as one array, larger ones member by member.
 SMALL = 64
 
 
-def _wide(text: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """256 majority bits of the shingle set as words, for each block the bits of its leaf with the narrowest
-    majorities, and the digest of the set."""
+def _hashes(text: str, width: int, seed: int) -> np.ndarray:
+    """The shingle set, as sorted hashes."""
     digest = xxhash.xxh64_intdigest
-    parts = np.unique(np.fromiter((digest(x, seed) for x in shingles(text, width)), np.uint64))
+    return np.unique(np.fromiter((digest(x, seed) for x in shingles(text, width)), np.uint64))
+
+
+def _wide(text: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, bytes, int]:
+    """256 majority bits of the shingle set as words, for each block the bits of its leaf with the narrowest
+    majorities, the digest of the set and its size."""
+    parts = _hashes(text, width, seed)
     margin = np.zeros(64 * WORDS, np.int64)
     for k in range(0, len(parts), HASH_BLOCK):
         h = parts[k : k + HASH_BLOCK]
@@ -255,7 +262,7 @@ def _wide(text: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, byt
     margin -= len(parts)
     words = np.frombuffer(np.packbits(margin > 0).tobytes(), ">u8").astype(np.uint64)
     narrow = np.argsort(np.abs(margin[: BLOCK_BITS * BLOCKS]).reshape(BLOCKS, BLOCK_BITS), axis=1, kind="stable")[:, :PROBES]
-    return words, np.left_shift(1, BLOCK_BITS - 1 - narrow).astype(np.int64), hashlib.blake2b(parts.tobytes(), digest_size=16).digest()
+    return words, np.left_shift(1, BLOCK_BITS - 1 - narrow).astype(np.int64), hashlib.blake2b(parts.tobytes(), digest_size=16).digest(), len(parts)
 
 
 def _remixed(h: np.ndarray, i: int) -> np.ndarray:
@@ -271,16 +278,17 @@ def budget_of(similarity: float, spare: float = 2.0) -> int:
     return int(64 * WORDS * angle + spare * np.sqrt(64 * WORDS * angle * (1 - angle)))
 
 
-_LEAF_SQL = "shard int, ids binary, pieces binary, words binary, member binary, leaf binary"
+_LEAF_SQL = "shard int, ids binary, words binary, member binary, leaf binary"
 
 
 def _wide_step(width: int, seed: int):
-    """doc_id, words, narrow, digest of every document."""
+    """doc_id, words, narrow, digest, shingles of every document."""
 
     def run(batches):
         for b in sliced(batches):
             found = [_wide(x, width, seed) for x in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), *(pa.array([bytes(x[i]) for x in found], pa.binary()) for i in range(3))], names=["doc_id", "words", "narrow", "digest"])
+            own = [pa.array([bytes(x[i]) for x in found], pa.binary()) for i in range(3)]
+            yield pa.record_batch([b.column("doc_id"), *own, pa.array([x[3] for x in found], pa.int64())], names=["doc_id", "words", "narrow", "digest", "shingles"])
         trim()
 
     return run
@@ -292,7 +300,7 @@ def _leaf_step(n: int):
     def run(batches):
         flips = np.arange(1 << PROBES)
         for b in sliced(batches, 4096):
-            ids, pieces = b.column("doc_id").to_numpy(), b.column("piece").to_numpy()
+            ids = b.column("doc_id").to_numpy()
             if not len(ids):
                 continue
             words = np.frombuffer(b"".join(b.column("words").to_pylist()), np.uint64).reshape(-1, WORDS)
@@ -313,9 +321,9 @@ def _leaf_step(n: int):
                 at = order[cut[s] : cut[s + 1]]
                 if len(at):
                     used, place = np.unique(member[at], return_inverse=True)
-                    rows.append((s, ids[used].tobytes(), pieces[used].tobytes(), words[used].tobytes(), place.astype(np.uint32).tobytes(), (leaf[at] * 2 + own[at]).astype(np.uint32).tobytes()))
-            kinds = (pa.int32(), *[pa.binary()] * 5)
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "ids", "pieces", "words", "member", "leaf"])
+                    rows.append((s, ids[used].tobytes(), words[used].tobytes(), place.astype(np.uint32).tobytes(), (leaf[at] * 2 + own[at]).astype(np.uint32).tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "ids", "words", "member", "leaf"])
             del rows, leaf, own, member, shard, order, block, change
         trim()
 
@@ -380,58 +388,8 @@ def leaf_links(leaf: np.ndarray, own: np.ndarray, member: np.ndarray, words: np.
     return label
 
 
-def _closest(a: np.ndarray, b: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Of the pairs a-b the `most` closest for each a, and whether that leaves any out."""
-    at = np.unique(a * len(words) + b)
-    a, b = at // len(words), at % len(words)
-    order = np.lexsort((np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64), a))
-    a, b = a[order], b[order]
-    start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
-    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
-    keep = rank < most
-    return a[keep], b[keep], not keep.all()
-
-
-def leaf_pairs(leaf: np.ndarray, own: np.ndarray, member: np.ndarray, words: np.ndarray, piece: np.ndarray, budget: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of members of different pieces that are within the budget and meet at a leaf, for each member at its own
-    leaves the `most` closest; and whether that leaves any out."""
-    order = np.lexsort((~own, leaf))
-    leaf, own, member = leaf[order], own[order], member[order]
-    start = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]]) if len(leaf) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, len(leaf)])
-    homes = np.add.reduceat(own.astype(np.int64), start) if len(leaf) else size
-    found, more = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], False
-
-    def add(a: np.ndarray, b: np.ndarray) -> bool:
-        hit = _apart(words[a], words[b], budget)
-        x, y, cut = _closest(a[hit], b[hit], words, most)
-        found.append((x, y))
-        return cut
-
-    small = np.flatnonzero((size <= SMALL) & (size > 1) & (homes > 0))
-    for at in _blocks_of(small, homes * size):
-        count = homes[at] * size[at]
-        base = np.repeat(start[at], count)
-        j = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        wide = np.repeat(size[at], count)
-        a, b = member[base + j // wide], member[base + j % wide]
-        keep = piece[a] != piece[b]
-        more |= add(a[keep], b[keep])
-    for g in np.flatnonzero((size > SMALL) & (homes > 0)):
-        group = member[start[g] : start[g] + size[g]]
-        if (piece[group] == piece[group[0]]).all():
-            continue
-        for a in np.unique(group[: homes[g]]):
-            rest = group[piece[group] != piece[a]]
-            more |= add(np.full(len(rest), a), rest)
-    a, b = (np.concatenate(x) for x in zip(*found))
-    pair = np.unique(np.minimum(a, b) * len(words) + np.maximum(a, b))  # a pair meets at several leaves, and from both sides
-    return pair // max(len(words), 1), pair % max(len(words), 1), more
-
-
-def _candidates(nodes: DataFrame, n: int, budget: int, most: int | None) -> DataFrame:
-    """fp, root, more: candidate edges between nodes (doc_id, words, narrow, piece); spanning stars without `most`,
-    else pairs of different pieces, where `more` says that some were left out."""
+def _candidates(nodes: DataFrame, n: int, budget: int) -> DataFrame:
+    """fp, root: spanning stars of the candidate pairs among nodes (doc_id, words, narrow)."""
 
     def run(key, table):
         parts = []
@@ -439,81 +397,133 @@ def _candidates(nodes: DataFrame, n: int, budget: int, most: int | None) -> Data
         for r in table.to_pylist():
             ids = np.frombuffer(r["ids"], np.int64)
             code = np.frombuffer(r["leaf"], np.uint32).astype(np.int64)
-            parts.append((ids, np.frombuffer(r["pieces"], np.int64), np.frombuffer(r["words"], np.uint64).reshape(-1, WORDS), np.frombuffer(r["member"], np.uint32).astype(np.int64) + base, code >> 1, (code & 1).astype(bool)))
+            parts.append((ids, np.frombuffer(r["words"], np.uint64).reshape(-1, WORDS), np.frombuffer(r["member"], np.uint32).astype(np.int64) + base, code >> 1, (code & 1).astype(bool)))
             base += len(ids)
-        ids, pieces, words, member, leaf, own = (np.concatenate(x) for x in zip(*parts))
-        if most is None:
-            label = leaf_links(leaf, own, member, words, budget)
-            a = np.flatnonzero(label != np.arange(len(label)))
-            b, more = label[a], False
-        else:
-            a, b, more = leaf_pairs(leaf, own, member, words, pieces, budget, most)
-        found = pa.table({"fp": np.maximum(ids[a], ids[b]), "root": np.minimum(ids[a], ids[b]), "more": np.full(len(a), more)})
-        del parts, ids, pieces, words, member, leaf, own
+        ids, words, member, leaf, own = (np.concatenate(x) for x in zip(*parts))
+        label = leaf_links(leaf, own, member, words, budget)
+        a = np.flatnonzero(label != np.arange(len(label)))
+        b = label[a]
+        found = pa.table({"fp": np.maximum(ids[a], ids[b]), "root": np.minimum(ids[a], ids[b])})
+        del parts, ids, words, member, leaf, own
         trim()
         return found
 
-    found = nodes.mapInArrow(_leaf_step(n), _LEAF_SQL).groupBy("shard").applyInArrow(run, "fp long, root long, more boolean")
-    return found.groupBy("fp", "root").agg(F.max("more").alias("more"))
+    return nodes.mapInArrow(_leaf_step(n), _LEAF_SQL).groupBy("shard").applyInArrow(run, "fp long, root long").distinct()
+
+
+def set_links(sets: list[np.ndarray], similarity: float, first: int | None = None) -> np.ndarray:
+    """Smallest index connected to each of these sets (sorted distinct hashes) over pairs whose Jaccard similarity reaches
+    the threshold. With `first`, only pairs of one of the first so many sets and one of the others count."""
+    m = len(sets)
+    label, size = np.arange(m), np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(label, size)
+    _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = max(CLOSEST, m // 8)  # beyond so many owners, a shingle is a column of a matrix
+    place = np.full(len(df), -1)
+    wide = np.flatnonzero(df > many)
+    place[wide] = np.arange(len(wide))
+    matrix = np.zeros((m, len(wide)), np.uint8)
+    at = place[code]
+    matrix[owner[at >= 0], at[at >= 0]] = 1
+    rare = (at < 0) & (df[code] > 1)
+    owner, code = owner[rare], code[rare]
+    starts = np.searchsorted(owner, np.arange(m + 1))
+    order = np.argsort(code, kind="stable")
+    posts = owner[order]
+    begin, count = np.searchsorted(code[order], code), df[code]
+    rows, above = (m if first is None else first), np.arange(m)
+    step = max(1, min(256, PAIR_BLOCK // m))
+    for low in range(0, rows, step):
+        if (label == label[0]).all():
+            break
+        high = min(low + step, rows)
+        common = np.zeros((high - low, m), np.float32)
+        for c in range(0, m, 1024) if len(wide) else ():
+            common[:, c : c + 1024] = matrix[low:high].astype(np.float32) @ matrix[c : c + 1024].astype(np.float32).T
+        for i in range(low, high):
+            n = count[starts[i] : starts[i + 1]]
+            if len(n):
+                flat = np.arange(int(n.sum())) + np.repeat(begin[starts[i] : starts[i + 1]] - (np.cumsum(n) - n), n)
+                common[i - low] += np.bincount(posts[flat], minlength=m)
+        both = common.astype(np.int64)
+        near = both / np.maximum(1, size[low:high, None] + size[None, :] - both) >= similarity
+        near &= (above[None, :] > above[low:high, None]) if first is None else (above[None, :] >= first)
+        a, b = np.nonzero(near)
+        if len(a):
+            label = _merged(label, a + low, b)
+    return label
 
 
-def similar(a: str, b: str, width: int, similarity: float) -> bool:
-    """Whether the Jaccard similarity of the two sets of shingles reaches the threshold."""
-    x, y = set(shingles(a, width)), set(shingles(b, width))
-    both = len(x & y)
-    return both / max(1, len(x) + len(y) - both) >= similarity
+def _set_step(width: int, seed: int):
+    """Members of blobs with their shingle sets, equal rows once in a task."""
 
+    def run(batches):
+        seen = set()
+        for b in sliced(batches, 512):
+            sets = [_hashes(x, width, seed).tobytes() for x in b.column("text").to_pylist()]
+            keys = [(i, hashlib.blake2b(x, digest_size=16).digest()) for i, x in zip(b.column("doc_id").to_pylist(), sets)]
+            new = [not (k in seen or seen.add(k)) for k in keys]
+            kept = [b.column(c) for c in ("doc_id", "blob", "cells")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], names=["doc_id", "blob", "cells", "hashes"]).filter(pa.array(new, pa.bool_()))
+        trim()
 
-def _ends(edges: DataFrame, used: DataFrame, key: str, by: str, name: str) -> DataFrame:
-    """edges with the text of one end. An end of very many edges is spread over tasks; its text is repeated for that."""
-    hubs = edges.groupBy(F.col(key).alias("_hub")).count().where(F.col("count") > HUB).select("_hub")
-    hot = F.col("_hub").isNotNull()
-    left = edges.join(hubs, F.col(key) == F.col("_hub"), "left").withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(by), F.lit(8)).cast("int")).otherwise(0)).drop("_hub")
-    right = used.join(hubs, F.col("doc_id") == F.col("_hub"), "left").select(F.col("doc_id").alias(key), F.col("text").alias(name), F.explode(F.when(hot, F.array(*[F.lit(i) for i in range(8)])).otherwise(F.array(F.lit(0)))).alias("_salt"))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    return run
 
 
-def verified(edges: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """fp, root: the edges whose texts are as similar as that. Only texts of documents with an edge are joined; they are
-    picked out where they are read if the ids are at most BROADCAST_IDS."""
-    ends = materialise(edges.select(F.explode(F.array("fp", "root")).alias("doc_id")).distinct(), "simhash-ends")
-    few = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    used = materialise(texts.join(F.broadcast(ends) if few else ends, "doc_id").distinct(), "simhash-texts")
+def verified(members: DataFrame, texts: DataFrame, n: int, width: int, similarity: float, seed: int) -> DataFrame:
+    """fp, root: spanning stars of the pairs of a blob whose texts are as similar as that. members: doc_id, blob, cells.
+    Only their texts are read on; they are picked out where they are read if the ids are at most BROADCAST_IDS."""
+    few = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    own = texts.join(F.broadcast(members) if few else members, "doc_id").select("doc_id", "text", "blob", "cells")
+    sets = own.mapInArrow(_set_step(width, seed), "doc_id long, blob long, cells int, hashes binary")
+    cell = F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int")
+    dealt = sets.withColumn("cell", cell).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    tiled = dealt.select("doc_id", "blob", "cell", "hashes", F.least("cell", "other").alias("a"), F.greatest("cell", "other").alias("b"), "cells")
+    tile = F.when(F.col("cells") == 1, F.pmod(F.xxhash64("blob"), F.lit(n))).otherwise(n + F.pmod(F.xxhash64("blob", "a", "b"), F.lit(1 << 40)))
+    keyed = tiled.select(tile.cast("long").alias("shard"), "doc_id", "blob", "cell", "a", "b", "hashes")
 
-    def run(batches):
-        for b in sliced(batches, 512):
-            ok = [similar(x, y, width, similarity) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("root")], names=["fp", "root"]).filter(pa.array(ok, pa.bool_()))
+    def run(key, table):
+        groups = {}
+        for r in zip(*(table.column(c).to_pylist() for c in ("blob", "a", "b", "cell", "doc_id", "hashes"))):
+            groups.setdefault(r[:3], set()).add(r[3:])
+        fp, root = [], []
+        for (_, a, b), rows in groups.items():
+            rows = sorted(rows)
+            first = None if a == b else sum(x[0] == a for x in rows)
+            if len(rows) < 2 or first in (0, len(rows)):
+                continue
+            label = set_links([np.frombuffer(x[2], np.uint64) for x in rows], similarity, first)
+            for i in np.flatnonzero(label != np.arange(len(rows))).tolist():
+                x, y = rows[i][1], rows[label[i]][1]
+                if x != y:
+                    fp.append(max(x, y))
+                    root.append(min(x, y))
+        found = pa.table({"fp": pa.array(fp, pa.int64()), "root": pa.array(root, pa.int64())})
+        del groups, table
         trim()
+        return found
 
-    both = _ends(_ends(edges, used, "fp", "root", "a"), used, "root", "fp", "b")
-    return both.select("fp", "root", "a", "b").mapInArrow(run, "fp long, root long").distinct()
+    return keyed.groupBy("shard").applyInArrow(run, "fp long, root long").distinct()
 
 
 def similar_links(docs: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
-    """fp, root: edges between doc_ids of documents whose similarity reaches the threshold, as many as connect them. A pair
-    is checked once."""
+    """fp, root: edges between doc_ids of documents whose similarity reaches the threshold, as many as connect them."""
     rows = text_table(docs).where("doc_id is not null")
     n, budget = tasks_for(rows, SHARD_BYTES), budget_of(similarity, SPARE)
-    prints = materialise(rows.mapInArrow(_wide_step(width, seed), "doc_id long, words binary, narrow binary, digest binary"), "simhash-wide")
-    nodes = materialise(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("narrow").alias("narrow")), "simhash-nodes")
-    equal = salted_lookup(prints.select(F.col("doc_id").alias("fp"), "digest"), nodes.select("digest", F.col("doc_id").alias("root")), "digest", "fp", how="inner").select("fp", "root")
-    edges, checked, pieces, most = None, None, None, None
-    while True:
-        own = nodes.withColumn("piece", F.col("doc_id")) if pieces is None else nodes.join(pieces.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("piece", F.coalesce("root", "doc_id"))
-        found = materialise(_candidates(own.select("doc_id", "words", "narrow", "piece"), n, budget, most), "simhash-pairs")
-        fresh = found.where("fp <> root").select("fp", "root")
-        if checked is not None:
-            fresh = materialise(fresh.join(checked, ["fp", "root"], "left_anti"), "simhash-fresh")
-        if not fresh.isEmpty():
-            new = materialise(verified(fresh, rows, width, similarity), "simhash-edges")
-            grown = not new.isEmpty()
-            edges, checked = (new, fresh) if edges is None else (edges.union(new), checked.union(fresh))
-            if grown:
-                pieces = components(edges)
-        if most is not None and found.where("more").isEmpty():
-            return equal.where("fp <> root").distinct() if edges is None else edges.union(equal).where("fp <> root").distinct()
-        most = CLOSEST if most is None else 8 * most
+    prints = materialise(rows.mapInArrow(_wide_step(width, seed), "doc_id long, words binary, narrow binary, digest binary, shingles long"), "simhash-wide")
+    nodes = materialise(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("words", "narrow", "shingles")]), "simhash-nodes")
+    equal = salted_lookup(prints.select(F.col("doc_id").alias("fp"), "digest"), nodes.select("digest", F.col("doc_id").alias("root")), "digest", "fp", how="inner").select("fp", "root").where("fp <> root").distinct()
+    found = materialise(_candidates(nodes.select("doc_id", "words", "narrow"), n, budget), "simhash-pairs")
+    if found.where("fp <> root").isEmpty():
+        return equal
+    blobs = components(found).select(F.col("node").alias("doc_id"), F.col("root").alias("blob"))
+    placed = materialise(blobs.union(blobs.select(F.col("blob").alias("doc_id"), "blob")).distinct(), "simhash-blobs")
+    held = placed.join(nodes.groupBy("doc_id").agg(F.sum("shingles").alias("shingles")), "doc_id")
+    sizes = materialise(held.groupBy("blob").agg(F.sum("shingles").alias("shingles")), "simhash-sizes")
+    total = sizes.agg(F.coalesce(F.sum("shingles"), F.lit(0)).alias("n")).first().n
+    tasks = max(1, -(-total // CELL), min(docs.sparkSession.sparkContext.defaultParallelism, total >> 16))
+    members = materialise(salted_lookup(placed, sizes.select("blob", F.ceil(F.greatest("shingles", F.lit(1)) / CELL).cast("int").alias("cells")), "blob", "doc_id", how="inner").select("doc_id", "blob", "cells"), "simhash-members")
+    return materialise(verified(members, rows, tasks, width, similarity, seed), "simhash-edges").union(equal).distinct()
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:

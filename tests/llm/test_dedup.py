@@ -209,3 +209,55 @@ def test_only_exact_similarity_links(docs_of, monkeypatch, small, closest):
     want = exact_kept(rows)
     assert near >= 5 and len(want) < len(rows) - 5
     assert {r.doc_id for r in simhash_trie.representatives(docs_of(rows)).collect()} == want
+
+
+def test_set_links_equal_brute_force():
+    rng = np.random.default_rng(8)
+    sets = []
+    for g in range(12):
+        base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        for _ in range(9):
+            own = base.copy()
+            own[rng.integers(0, 60, rng.integers(0, 14))] = rng.integers(0, 2**63, 1, dtype=np.uint64)
+            sets.append(np.unique(own[: rng.integers(40, 61)]))
+    sets += [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    rng.shuffle(sets)
+    for first in (None, 50):
+        for closest in (1, 8, 500):
+            simhash_trie.CLOSEST, before = closest, simhash_trie.CLOSEST
+            got = simhash_trie.set_links(sets, 0.8, first).tolist()
+            simhash_trie.CLOSEST = before
+            want = list(range(len(sets)))
+            for i, x in enumerate(sets):
+                for j, y in enumerate(sets):
+                    both = len(np.intersect1d(x, y))
+                    if (i < j if first is None else i < first <= j) and both >= 0.8 * max(1, len(x) + len(y) - both):
+                        low, high = sorted((want[i], want[j]))
+                        want = [low if w == high else w for w in want]
+            assert got == want
+
+
+@pytest.mark.parametrize("cell", [1 << 21, 2000])
+def test_a_group_below_the_threshold_is_not_paired(docs_of, monkeypatch, cell):
+    """All 90 texts are alike at about 0.7, so all pairs are candidates; some have a copy at 0.9. Rows do not grow with the pairs."""
+    monkeypatch.setattr(simhash_trie, "CELL", cell)
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(204)]
+    rows = []
+    for v in range(90):
+        words = list(base)
+        for j in range(4):
+            words[10 + 50 * j + rng.randrange(30)] = f"x{v}y{j}"
+        rows.append((v, " ".join(words)))
+        if v % 9 == 0:
+            rows.append((1000 + v, " ".join(words[:-1] + ["end"])))
+    made, write = [], simhash_trie.materialise
+
+    def counted(df, tag, path=None):
+        out = write(df, tag, path)
+        made.append((out.count(), tag))
+        return out
+
+    monkeypatch.setattr(simhash_trie, "materialise", counted)
+    assert {r.doc_id for r in simhash_trie.representatives(docs_of(rows)).collect()} == exact_kept(rows)
+    assert max(made)[0] <= 2 * len(rows), made
