@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Scores travel with their rows, so nothing is joined. Without labels of
     both kinds every score is 0.5, and all documents are kept."""
-    model = bradley_terry.fit(*bradley_terry.labelled_features(docs, _table(spark, sf_dir, "labels"), bradley_terry._fold("doc_id", 5) != 0), 0.3)
+    model = bradley_terry.fitted(docs, _table(spark, sf_dir, "labels"), bradley_terry._fold("doc_id", 5) != 0, 0.3)
     return bradley_terry.accepted(docs, model).select(*COLUMNS)
 
 

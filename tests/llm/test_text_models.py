@@ -347,3 +347,47 @@ def test_quality_without_labels(spark, docs_of):
 def test_quality_features_are_finite():
     for t in ("", " ", "\n\n", "x" * 100_000, "é" * 10, "! ! !", "a a a a"):
         assert np.isfinite(bradley_terry.features(t)).all()
+
+
+@pytest.fixture
+def feature_rows(spark):
+    """A table of random feature rows of both classes, and the rows."""
+    rng = np.random.default_rng(5)
+    width = bradley_terry.features("").size
+    good, bad = rng.normal(0.3, 1, (300, width)), rng.normal(0, 1.5, (150, width))
+    good[:, 3] = bad[:, 3] = 0.3  # says nothing
+    rows = [(i, 1, x.tobytes()) for i, x in enumerate(good)] + [(1000 + i, 0, x.tobytes()) for i, x in enumerate(bad)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, f binary").repartition(3), good, bad
+
+
+def test_all_pairs_of_all_rows_are_fitted(feature_rows):
+    """The slope of the loss over all pairs, written out, is nothing at the fitted weights."""
+    table, good, bad = feature_rows
+    model = bradley_terry.fit_table(table, 0.3)
+    every = np.concatenate([good, bad])
+    scale = every.std(0)
+    scale[scale < 1e-9] = np.inf
+    w = np.where(np.isinf(scale), 0, model["w"] * np.where(np.isinf(scale), 0, scale))
+    x = ((good[:, None] - bad[None, :]) / scale).reshape(-1, len(w))
+    p = 1 / (1 + np.exp(-x @ w))
+    assert np.abs(x.T @ (p - 1) / len(x) + 1e-3 * w).max() < 1e-4 and np.abs(w).max() > 0.1
+    strength = (every - model["mean"]) @ model["w"]
+    assert model["at"] == pytest.approx(np.quantile(strength, 150 / 450), abs=1e-9)
+
+
+def test_order_statistics_are_exact(feature_rows):
+    table, good, bad = feature_rows
+    every = np.concatenate([good, bad])
+    for strength in (lambda f: f[:, 0] * 1e6, lambda f: np.round(f[:, 0]), lambda f: f[:, 3]):
+        for few in (1, 100):
+            ranks = [0, 1, 200, 201, 448, 449]
+            assert bradley_terry._order_statistics(table, strength, ranks, few) == np.sort(strength(every))[ranks].tolist()
+
+
+def test_every_label_counts(spark, docs_of):
+    """More labelled documents than the 20,000 that were fitted once."""
+    n = 20_500
+    docs = docs_of([(i, f"a{i % 7}") for i in range(n)])
+    labels = spark.range(n).select("id", "id").toDF("doc_id", "x").selectExpr("doc_id", "cast(x % 2 as int) quality")
+    good, bad = bradley_terry.labelled_features(docs, labels, labels.doc_id >= 0)
+    assert len(good) + len(bad) == n
