@@ -368,3 +368,10 @@ def test_true_pairs_are_not_expanded(spark, monkeypatch, name):
     monkeypatch.setattr(learn, "train_folds", lambda pairs: ([], pairs.withColumn("score", F.lit(0.0))))
     monkeypatch.setattr(learn, "importances", lambda spark, models: spark.range(1))
     assert registry.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_records_are_normalised_once(spark):
+    """Queries that join records to their candidates read them from a table."""
+    for name in ("pair_attach", "common_tokens", "blocking_summary"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "documents.parquet" not in plan and "regexp_replace" not in plan
