@@ -359,7 +359,7 @@ def test_equal_keys_count_as_pairs_do_and_pairs_are_no_rows(spark):
     assert {x.band: x.n for x in metrics.rank_bands(per).collect()} == {b: sum(band(x) == b for x in ranks) for b in set(map(band, ranks))}
 
 
-@pytest.mark.parametrize("name", ["rank_bands", "blocking_recall", "entity_f05"])
+@pytest.mark.parametrize("name", ["rank_bands", "blocking_recall", "entity_f05", "oof_scores", "feature_importance"])
 def test_true_pairs_are_not_expanded(spark, monkeypatch, name):
     def expanded(*_, **__):
         raise AssertionError("pairs of equal names became rows")
