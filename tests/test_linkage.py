@@ -333,6 +333,28 @@ def test_tiles_equal_brute_force_and_shuffle_no_pairs(spark, monkeypatch):
     assert "hashpartitioning(s1_entity_id" not in every._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["score_a", "state_match"])
+def test_all_pairs_shuffle_records_not_cells(spark, monkeypatch, name):
+    """Over many cells a record is shuffled twice at most, once in a cell, once with it, and all pairs are handed out."""
+    from kinlink.operators import tiles
+
+    def written():
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    schema = "entity_id string, country string, state string, clean_name string, clean_address string"
+    s1 = spark.createDataFrame([(f"Q{i}", "US", "x", "oak elm", f"lane w{i % 7}") for i in range(200)], schema)
+    pool = spark.createDataFrame([(f"C{i}", "US", "x", "oak fir", f"road w{i % 5}") for i in range(300)], schema)
+    monkeypatch.setattr(tiles, "QUERY_CELL", 50)
+    monkeypatch.setattr(tiles, "POOL_CELL", 50)
+    rows = blocking.formula_a(s1, pool) if name == "score_a" else blocking.scored_candidates(s1, pool)
+    before = written()
+    got = rows.select("s1_entity_id", "entity_id", "addr").collect()
+    assert written() - before < 3 * (200 + 300)
+    assert sorted(map(tuple, got)) == sorted((f"Q{i}", f"C{j}", int(i % 7 == j % 5)) for i in range(200) for j in range(300))
+
+
 def test_equal_keys_count_as_pairs_do_and_pairs_are_no_rows(spark):
     """Truth by key against truth by pairs: groups of copies, missing names, records and candidates without a match."""
     import random
