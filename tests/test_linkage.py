@@ -355,6 +355,48 @@ def test_all_pairs_shuffle_records_not_cells(spark, monkeypatch, name):
     assert sorted(map(tuple, got)) == sorted((f"Q{i}", f"C{j}", int(i % 7 == j % 5)) for i in range(200) for j in range(300))
 
 
+def _frequent_words(spark):
+    """Records of words of which some are frequent, as in texts."""
+    import random
+
+    r = random.Random(7)
+    some = lambda k: " ".join(f"w{int(300 * r.random() ** 3)}" for _ in range(k))
+    schema = "entity_id string, country string, state string, clean_name string, clean_address string"
+    sides = ([(f"{side}-{i:06d}", "US", r.choice(["x", "y", None]), some(4), some(8)) for i in range(n)] for side, n in (("S1", 200), ("S2", 4000)))
+    return tuple(spark.createDataFrame(rows, schema) for rows in sides)
+
+
+def _bits_a_pair(rows, path):
+    """Bits of Parquet a row, without what a file has besides."""
+    import pyarrow.parquet as pq
+
+    rows.write.parquet(str(path))
+    groups = [m.row_group(i) for f in path.glob("*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    return 8 * sum(g.column(i).total_compressed_size for g in groups for i in range(g.num_columns)) / sum(g.num_rows for g in groups)
+
+
+@pytest.mark.parametrize("name, bits", [("score_a", 12)])
+def test_all_pairs_are_written_small(spark, monkeypatch, tmp_path, name, bits):
+    """All pairs are handed out in an order in which columns of files are runs."""
+    monkeypatch.setattr(registry, "_norm", lambda *_: _frequent_words(spark))
+    assert _bits_a_pair(registry.queries()[name](spark, ""), tmp_path / "pairs") < bits
+
+
+def test_pairs_of_many_common_words(spark, monkeypatch):
+    """Counters of more values than two bytes tell apart, more queries in a cell than are taken at once, equal ids."""
+    from kinlink.operators import tiles
+
+    monkeypatch.setattr(tiles, "PAIR_STRIP", 3)
+    words = [f"w{i}" for i in range(400)]
+    schema = "entity_id string, country string, state string, clean_name string, clean_address string"
+    left = [(f"Q{i % 7}", "US", "x", " ".join(words[: 40 * i]), " ".join(words[: 35 * i])) for i in range(10)]
+    right = [(f"C{i % 6}", "US", "xy"[i % 2], " ".join(words[30 * i :]), " ".join(words[20 * i :])) for i in range(12)]
+    got = blocking.formula_a(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).drop("matching_score")
+    common = lambda a, b: len(set(a.split()) & set(b.split()))
+    want = [(q[0], c[0], common(q[3], c[3]), common(q[4], c[4]), int(q[2] == c[2])) for q in left for c in right]
+    assert sorted(map(tuple, got.collect())) == sorted(x for x in want if x[2] or x[3])
+
+
 def test_equal_keys_count_as_pairs_do_and_pairs_are_no_rows(spark):
     """Truth by key against truth by pairs: groups of copies, missing names, records and candidates without a match."""
     import random
