@@ -375,7 +375,7 @@ def _bits_a_pair(rows, path):
     return 8 * sum(g.column(i).total_compressed_size for g in groups for i in range(g.num_columns)) / sum(g.num_rows for g in groups)
 
 
-@pytest.mark.parametrize("name, bits", [("score_a", 12)])
+@pytest.mark.parametrize("name, bits", [("score_a", 12), ("state_match", 5)])
 def test_all_pairs_are_written_small(spark, monkeypatch, tmp_path, name, bits):
     """All pairs are handed out in an order in which columns of files are runs."""
     monkeypatch.setattr(registry, "_norm", lambda *_: _frequent_words(spark))
